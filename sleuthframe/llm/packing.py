@@ -242,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, large: int =
     """
     spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, tokenizer, capacity))
-    parts = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
     sizes = materialise(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
