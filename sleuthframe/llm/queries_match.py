@@ -1,11 +1,11 @@
-"""Queries of the decontamination and URL operators (4, 5)."""
+"""Queries of the HTML, decontamination and URL operators (2, 4, 5)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm import decontam
+from sleuthframe.llm import decontam, html, urls
 from sleuthframe.sources.tables import table
 
 
@@ -38,5 +38,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
-QUERIES = {"op4_decontaminate": op4_decontaminate}
+#: The contract's URL rules.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), RULES)
+
+
+QUERIES = {f.__name__: f for f in (op2_html_extract, op4_decontaminate, op5_url_filter)}
 ORACLES = {"op4_decontaminate": OP4_SQL}
