@@ -1,11 +1,12 @@
-"""Queries of the classifiers (6, 7)."""
+"""Queries of the classifiers (6, 7, 10)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm import quality, toxicity
+from sleuthframe.llm import html, langid, quality, toxicity
 from sleuthframe.sources.tables import table
 
 #: Labels of the rows with this remainder of crc32(doc_id) are never learned: (divisor, remainder).
@@ -35,5 +36,28 @@ def op7_toxicity_fst(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(TOXIC_FOLD).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_gbdt, op7_toxicity_fst)}
+def document_evidence(docs: DataFrame) -> DataFrame:
+    """Documents as language identification reads them: ``lang`` is the declared language, ``source`` the host."""
+    return docs.withColumns({"declared": F.col("lang"), "suffix": F.lit(None).cast("string"), "host": F.col("source"), "domain": F.lit(None).cast("string")})
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return langid.identify(document_evidence(docs)).select("doc_id", "language", "probability", "text_language", "kept")
+
+
+def llm_page_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of the pages' main texts, by text, markup, address and host."""
+    pages = table(spark, folder, "pages").select("page_id", "url", langid.declared_language(F.col("html")).alias("declared"), "html")
+    host, domain, suffix = langid.host_domain_suffix(F.col("url"))
+
+    @F.pandas_udf("string")
+    def main(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda h: html.main_text(h if isinstance(h, str) else None))
+
+    read = pages.select("page_id", "declared", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), main("html").alias("text"))
+    return langid.identify(read).select("page_id", "language", "probability", "text_language", "declared", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op6_quality_gbdt, op7_toxicity_fst, op10_language_id, llm_page_language)}
 ORACLES: dict[str, str] = {}
