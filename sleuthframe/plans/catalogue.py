@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from sleuthframe.plans import queries_graph, queries_rollups
+
+MODULES = (queries_rollups, queries_graph)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
-FLAGSHIP = ""
+FLAGSHIP = "daily_lanes_expected"
