@@ -78,13 +78,11 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     levels = [jumps.select("tree", "node", "up")]
     inner = jumps.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     for _ in range(max(0, deepest - 1).bit_length()):
-        j, k = jumps.alias("j"), jumps.alias("k")
-        jumps = j.join(k, F.col("j.tree").eqNullSafe(F.col("k.tree")) & (F.col("j.up") == F.col("k.node")), "left").select(
-            "j.tree", "j.node", F.col("k.up").alias("up"),
-            (F.col("j.score") + F.coalesce("k.score", F.lit(0.0))).alias("score"),
-            (F.col("j.n_nodes") + F.coalesce("k.n_nodes", F.lit(0))).alias("n_nodes"),
-        )
-        jumps = materialise(jumps)
+        j, k = jumps.where("up is not null").alias("j"), jumps.alias("k")
+        longer = j.join(k, F.col("j.tree").eqNullSafe(F.col("k.tree")) & (F.col("j.up") == F.col("k.node"))).select(
+            "j.tree", "j.node", F.col("k.up").alias("up"), (F.col("j.score") + F.col("k.score")).alias("score"), (F.col("j.n_nodes") + F.col("k.n_nodes")).alias("n_nodes")
+        )
+        jumps = materialise(longer.unionByName(jumps.where("up is null")))  # nodes that have reached their root stay as they are
         if jumps.where("up is not null").isEmpty():
             break
         levels.append(jumps.select("tree", "node", "up"))
