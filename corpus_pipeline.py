@@ -23,7 +23,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is sure."""
-    return langid.identify(document_evidence(docs)).where("kept").select(*docs.columns)
+    whole = docs.withColumn("_row", F.struct(*docs.columns))  # so that no column of the documents meets one of the operator's
+    return langid.identify(document_evidence(whole.select("_row", "text", "lang", "source"))).where("kept").select("_row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that aren't contaminated with benchmark windows."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
     bad = decontam.small(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.xxhash64(docs["text"]) == F.col("bad_mark")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_mark"]), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
