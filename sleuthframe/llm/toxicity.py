@@ -18,7 +18,7 @@ from sleuthframe.llm.quality import bounded_sample
 from sleuthframe.plans.lineage import materialise
 
 #: Labelled rows that lexicon and weights are fitted on, at most.
-MAX_ROWS = 20_000
+MAX_ROWS = 16_000
 #: Lengths of stems that may be learned, how often a toxic text may be explained, and by how many texts an entry earns its place.
 STEMS, EXPLAINED, LEAST_GAIN = range(3, 8), 12, 3
 #: Most clean texts an entry may be in, for each toxic one.
@@ -174,27 +174,28 @@ def entries(text: str | None) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
 
-def choose(toxic: list[set[str]], clean: dict[str, int], n_clean: int) -> Lexicon:
-    """Entries that explain the toxic documents and hardly stand in clean ones.
+def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> set[str]:
+    """Entries that chance hardly puts into so many toxic and so few clean texts, as many entries as are tried."""
+    base = n_toxic / max(1, n_toxic + n_clean)
+    bar = math.log(len(toxic) + 1) + 2.0
 
-    Greedy cover: each time the entry (of two alike the longer) that explains
-    most of the documents not yet explained EXPLAINED times.
-    """
-    base = len(toxic) / max(1, len(toxic) + n_clean)
-    count = Counter(e for doc in toxic for e in doc)
-    count = {e: n for e, n in count.items() if n >= LEAST_GAIN}
-    bar = math.log(len(count) + 1) + 2.0
-
-    def telling(e: str, n: int) -> bool:
-        """Whether chance hardly puts an entry of any of them into so many toxic and so few clean texts."""
-        c = clean.get(e, 0)
+    def tells(n: int, c: int) -> bool:
         q = n / (n + c)
         return c <= MOST_CLEAN * n and n * math.log(q / base) + (c * math.log((1 - q) / (1 - base)) if c else 0.0) >= bar
 
-    allowed = {e for e, n in count.items() if telling(e, n)}
+    return {e for e, n in toxic.items() if tells(n, clean.get(e, 0))}
+
+
+def choose(toxic: list[set[str]]) -> Lexicon:
+    """Of each toxic text's telling entries those that explain the texts.
+
+    Greedy cover: each time the entry (of two alike the longer) that explains
+    most of the texts not yet explained EXPLAINED times.
+    """
+    count = Counter(e for doc in toxic for e in doc)
     where: dict[str, list[int]] = {}
     for i, doc in enumerate(toxic):
-        for e in doc & allowed:
+        for e in doc:
             where.setdefault(e, []).append(i)
     left, gain, picked = [EXPLAINED] * len(toxic), {e: len(d) for e, d in where.items()}, set()
     while gain:
@@ -247,21 +248,27 @@ def fit(sample: DataFrame) -> Model:
             yield pd.DataFrame({"found": [list(entries(t if isinstance(t, str) else None)) for t in frame["text"]]})
 
     toxic_sets = materialise(sample.where("y = 1").mapInPandas(candidates, "found array<string>"))
-    n_clean = sample.where("y = 0").count()
+    n_toxic, n_clean = toxic_sets.count(), sample.where("y = 0").count()
     frequent = toxic_sets.select(F.explode("found").alias("e")).groupBy("e").count().where(F.col("count") >= LEAST_GAIN)
-    shared = sample.sparkSession.sparkContext.broadcast(frozenset(r["e"] for r in frequent.select("e").collect()))  # a bounded sample's entries
+    frequent = {r["e"]: r["count"] for r in frequent.toLocalIterator()}  # of a bounded sample
+    share = sample.sparkSession.sparkContext.broadcast
+    wanted = share(frozenset(frequent))
 
     def clean_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, counted = shared.value, Counter()
+        counted = Counter()
         for frame in frames:
             for t in frame["text"]:
-                counted.update(entries(t if isinstance(t, str) else None) & wanted)
+                counted.update(entries(t if isinstance(t, str) else None) & wanted.value)
         yield pd.DataFrame({"e": list(counted), "n": list(counted.values())}).astype({"e": str, "n": "int64"})
 
-    clean = sample.where("y = 0").mapInPandas(clean_counts, "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).collect()
-    clean = {r["e"]: r["n"] for r in clean}
-    toxic = [set(r["found"]) & shared.value for r in toxic_sets.collect()]
-    lexicon = choose(toxic, clean, n_clean)
+    clean = sample.where("y = 0").mapInPandas(clean_counts, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    allowed = share(telling(frequent, {r["e"]: r["n"] for r in clean.toLocalIterator()}, n_toxic, n_clean))
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"found": [[e for e in found if e in allowed.value] for found in frame["found"]]})
+
+    lexicon = choose([set(r["found"]) for r in toxic_sets.mapInPandas(keep, "found array<string>").collect()])
 
     def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(lexicon)
