@@ -178,12 +178,18 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block) -> str:
-    """A block's own label: good, bad, near (good if neighbours agree) or short."""
-    if block.region == "out":
+def first_pass(block: Block, marked: bool = False) -> str:
+    """A block's own label: good, bad, near (good if neighbours agree), short, or inner (ambiguous inside the article).
+
+    Where the page marks its article (``marked``), what stands outside is bad, and
+    inside length and link density decide; stop words needn't be there.
+    """
+    if block.region == "out" or marked and block.region != "main":
         return "bad"
     size = len(block.text)
     links = block.linked / max(1, size - block.text.count(" "))
+    if block.region == "main":
+        return "good" if size >= SHORT and links <= MAX_LINKS else "inner"
     if links > MAX_LINKS or block.text.startswith("\xa9") or "&copy" in block.text:
         return "bad"
     if size < SHORT:
@@ -201,22 +207,26 @@ def second_pass(page: list[Block], labels: list[str]) -> list[bool]:
     Neighbours are looked for in the block's own container, and on the whole page
     only if none is decided there; the page's ends are bad. ``near`` is good if
     either side is good, ``short`` if no side is bad, and a heading before a good
-    block is good.
+    block is good. ``inner`` blocks look no further than their article: they are
+    bad only if all its decided blocks next to them are.
     """
-    sides: list[tuple[str, str]] = []
+    sides: list[list[tuple[str, str, str]]] = []
     for walk in (range(len(page)), range(len(page) - 1, -1, -1)):
         own: dict[int, str] = {}
-        last, seen = "bad", [("", "")] * len(page)
+        last, article, seen = "bad", "", [("", "", "")] * len(page)
         for i in walk:
-            seen[i] = own.get(page[i].parent, ""), last
+            seen[i] = own.get(page[i].parent, ""), last, article
             if labels[i] in ("good", "bad"):
                 own[page[i].parent] = last = labels[i]
+                article = last if page[i].region == "main" else article
         sides.append(seen)
     kept = []
     for block, label, before, after in zip(page, labels, *sides, strict=True):
         near = {before[0], after[0]} - {""} or {before[1], after[1]}
         if label == "near":
             kept.append("good" in near)
+        elif label == "inner":
+            kept.append({before[2], after[2]} - {""} != {"bad"})
         elif label == "short":
             kept.append(near == {"good"} or block.heading and "good" in (after[0] or after[1]))
         else:
@@ -227,14 +237,12 @@ def second_pass(page: list[Block], labels: list[str]) -> list[bool]:
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks joined by two line ends; empty if there is none.
 
-    Blocks in menus, forms, comments and the like are bad by their place. Where
-    the page marks its article, the other blocks in it are the text. Elsewhere
-    both passes decide.
+    Blocks in menus, forms, comments and the like are bad by their place, and
+    those outside an article that the page marks; both passes decide on the rest.
     """
     page = blocks(html or "")
-    if any(b.region == "main" for b in page):
-        return "\n\n".join(b.text for b in page if b.region == "main")
-    kept = second_pass(page, [first_pass(b) for b in page])
+    marked = any(b.region == "main" for b in page)
+    kept = second_pass(page, [first_pass(b, marked) for b in page])
     return "\n\n".join(b.text for b, good in zip(page, kept, strict=True) if good)
 
 
