@@ -182,14 +182,17 @@ def first_pass(block: Block, marked: bool = False) -> str:
     """A block's own label: good, bad, near (good if neighbours agree), short, or inner (ambiguous inside the article).
 
     Where the page marks its article (``marked``), what stands outside is bad, and
-    inside length and link density decide; stop words needn't be there.
+    inside length and link density decide; stop words needn't be there. Link-dense
+    blocks inside are bad, but for headings, which may link to their own page.
     """
     if block.region == "out" or marked and block.region != "main":
         return "bad"
     size = len(block.text)
     links = block.linked / max(1, size - block.text.count(" "))
     if block.region == "main":
-        return "good" if size >= SHORT and links <= MAX_LINKS else "inner"
+        if links > MAX_LINKS:
+            return "inner" if block.heading else "bad"
+        return "good" if size >= SHORT else "inner"
     if links > MAX_LINKS or block.text.startswith("\xa9") or "&copy" in block.text:
         return "bad"
     if size < SHORT:
@@ -207,18 +210,21 @@ def second_pass(page: list[Block], labels: list[str]) -> list[bool]:
     Neighbours are looked for in the block's own container, and on the whole page
     only if none is decided there; the page's ends are bad. ``near`` is good if
     either side is good, ``short`` if no side is bad, and a heading before a good
-    block is good. ``inner`` blocks look no further than their article: they are
-    bad only if all its decided blocks next to them are.
+    block is good. ``inner`` blocks look no further than the article's blocks, those
+    in their own container first: they are bad only if all decided ones next to
+    them are, and a heading goes with what follows it.
     """
-    sides: list[list[tuple[str, str, str]]] = []
+    sides: list[list[tuple[str, str, str, str]]] = []
     for walk in (range(len(page)), range(len(page) - 1, -1, -1)):
         own: dict[int, str] = {}
-        last, article, seen = "bad", "", [("", "", "")] * len(page)
+        inside: dict[int, str] = {}
+        last, article, seen = "bad", "", [("", "", "", "")] * len(page)
         for i in walk:
-            seen[i] = own.get(page[i].parent, ""), last, article
+            seen[i] = own.get(page[i].parent, ""), last, inside.get(page[i].parent, ""), article
             if labels[i] in ("good", "bad"):
                 own[page[i].parent] = last = labels[i]
-                article = last if page[i].region == "main" else article
+                if page[i].region == "main":
+                    inside[page[i].parent] = article = last
         sides.append(seen)
     kept = []
     for block, label, before, after in zip(page, labels, *sides, strict=True):
@@ -226,7 +232,9 @@ def second_pass(page: list[Block], labels: list[str]) -> list[bool]:
         if label == "near":
             kept.append("good" in near)
         elif label == "inner":
-            kept.append({before[2], after[2]} - {""} != {"bad"})
+            around = {before[2], after[2]} - {""} or {before[3], after[3]} - {""}
+            follows = after[2] or after[3]
+            kept.append(follows == "good" if block.heading and follows else around != {"bad"})
         elif label == "short":
             kept.append(near == {"good"} or block.heading and "good" in (after[0] or after[1]))
         else:

@@ -153,6 +153,16 @@ def test_html_two_passes():
     assert html.main_text(page) == f"Short heading\n\n{text}\n\nShort one.\n\n{text}"
 
 
+def test_html_link_lists_inside_a_marked_article():
+    long = "Zor bel tak mip sul rav den kol fim wex yan pod gar hul nib qua ret sop. " * 2
+    text = " ".join(long.split())
+    links = "".join(f"<li><a href={i}>Story {i}</a></li>" for i in range(3))
+    page = f"<article><h1><a href=0>Title</a></h1><p>{long}</p><p>Short.</p><p>{long} <a href=1>one</a></p><div><h2>Elsewhere</h2><ul>{links}<li>More</li></ul><p>{f'<a href=9>{long}</a>'}</p></div></article>"
+    assert html.main_text(page) == f"Title\n\n{text}\n\nShort.\n\n{text} one"
+    assert html.main_text(f"<main><p>Alone</p><ul>{links}</ul></main>") == ""
+    assert html.main_text("<main><h1>Title</h1><p>Alone</p></main>") == "Title\n\nAlone"
+
+
 def test_boosted_trees_learn_and_flatten():
     draw = np.random.default_rng(5)
     x = draw.normal(size=(800, 4))
