@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sleuthframe.llm.decontam import small
 from sleuthframe.plans.lineage import materialise
 
-#: Longest context in characters, and the least share of all positions at which a (context, next) pair is kept.
-#: So a class keeps at most 1 / LEAST_SHARE pairs of each order, however many URLs it has.
-ORDER, LEAST_SHARE = 4, 2e-5
+#: Longest context in characters.
+ORDER = 4
+#: Keys with more than this share of a join's rows are joined by broadcast, of which there are at most 1 / HOT; all others are shuffled.
+HOT = 1e-3
 #: Share of held-out accepted URLs that may be blocked; it sets the threshold.
 FALSE_BLOCKS = 0.005
 #: One URL in FOLDS is held out of the counts and calibrates the threshold.
@@ -52,16 +52,24 @@ def spelling(host: Column, path: Column) -> Column:
     return F.concat(F.lit(BEGIN), F.regexp_replace(F.lower(F.concat(host, path)), r"\p{N}", "0"), F.lit(END))
 
 
+def pairs_of(spelled: DataFrame, most: Column) -> DataFrame:
+    """A row per character after BEGIN: all columns but ``spelling``, and ``context``, the ``most`` characters before it or what there is of them, and ``next``."""
+    at = spelled.select("*", F.explode(F.sequence(F.lit(2), F.length("spelling"))).alias("i")).withColumn("size", F.least(most, F.col("i") - 1))
+    context = F.substr("spelling", F.col("i") - F.col("size"), F.col("size"))
+    return at.withColumns({"context": context, "next": F.substr("spelling", F.col("i"), F.lit(1))}).drop("spelling", "i", "size")
+
+
 def pair_counts(urls: DataFrame) -> DataFrame:
-    """``rejected, size, context, next, n``: how often each character follows each context of 0 to ORDER characters."""
-    at = urls.select("rejected", "spelling", F.explode(F.sequence(F.lit(2), F.length("spelling"))).alias("i"))
-    sized = at.select("rejected", "spelling", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(ORDER), F.col("i") - 1))).alias("size"))
-    pair = sized.select("rejected", "size", F.substr("spelling", F.col("i") - F.col("size"), F.col("size")).alias("context"), F.substr("spelling", F.col("i"), F.lit(1)).alias("next"))
-    return pair.groupBy("rejected", "size", "context", "next").agg(F.count(F.lit(1)).alias("n"))
+    """``size, context, next, rejected, accepted``: how often in either class each character follows each context of 0 to ORDER characters."""
+    spelled = urls.groupBy("rejected", "spelling").agg(F.count(F.lit(1)).alias("n"))
+    whole = pairs_of(spelled, F.lit(ORDER)).groupBy("rejected", "context", "next").agg(F.sum("n").alias("n"))
+    sized = whole.select("rejected", "next", "n", "context", F.explode(F.sequence(F.lit(0), F.length("context"))).alias("size"))
+    count = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
+    return sized.groupBy("size", F.right("context", F.col("size")).alias("context"), "next").agg(count(F.col("rejected")).alias("rejected"), count(~F.col("rejected")).alias("accepted"))
 
 
 class MarkovModel:
-    """Variable-order Markov model: Witten-Bell mixing over the kept contexts."""
+    """Variable-order Markov model in plain Python: Witten-Bell mixing over all contexts; tests hold ``pair_gains`` against it."""
 
     def __init__(self, pairs: pd.DataFrame):
         self.next: dict[str, dict[str, int]] = {}
@@ -102,16 +110,49 @@ class Ratio:
         return sum(self.gain(spelled[max(0, i - ORDER) : i], spelled[i]) for i in range(1, len(spelled))) / max(1, len(spelled) - 1)
 
 
-def fit_ratio(urls: DataFrame) -> Ratio | None:
-    """Models of accepted and rejected URLs (``spelling``, boolean ``rejected``), or None if either class is empty.
+def pair_gains(used: DataFrame, counts: DataFrame) -> DataFrame:
+    """``used`` (distinct ``context, next``, and more) with ``gain``: the log of the two classes' probabilities' ratio.
 
-    Counts are taken over all rows; the driver gets the pairs that pass LEAST_SHARE, of which there are boundedly many.
+    Orders are mixed from the shortest up, each by a join with all counts of that
+    order; a context that a class hasn't seen leaves its probability as it is.
+    """
+    flags = ("rejected", "accepted")
+    sums = [f(flag).alias(f"{name}_{flag}") for flag in flags for f, name in ((F.sum, "total"), (lambda c: F.count_if(F.col(c) > 0), "kinds"))]
+    contexts = materialise(counts.groupBy("size", "context").agg(*sums))
+    rows = used.withColumns({f"p_{flag}": F.lit(1 / 256) for flag in flags})
+    for k in range(ORDER + 1):
+        rows = rows.withColumn("suffix", F.when(F.length("context") >= k, F.right("context", F.lit(k))))
+        around = contexts.where(F.col("size") == k).drop("size").withColumnRenamed("context", "suffix")
+        seen = counts.where(F.col("size") == k).drop("size").withColumnRenamed("context", "suffix")
+        rows = rows.join(small(around, "suffix"), "suffix", "left").join(small(seen, "suffix", "next"), ["suffix", "next"], "left")
+        mixed = {f"p_{f}": F.when(F.col(f"total_{f}") > 0, (F.coalesce(f, F.lit(0)) + F.col(f"kinds_{f}") * F.col(f"p_{f}")) / (F.col(f"total_{f}") + F.col(f"kinds_{f}"))).otherwise(F.col(f"p_{f}")) for f in flags}
+        rows = rows.select(*used.columns, *[p.alias(name) for name, p in mixed.items()])
+    return rows.select(*used.columns, F.log(F.col("p_rejected") / F.col("p_accepted")).alias("gain"))
+
+
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with the ``value`` of their ``keys``, which all stand once in ``values``, ``n`` being how many rows have them."""
+    limit = HOT * (values.agg(F.sum("n")).first()[0] or 0)
+    hot = values.where(F.col("n") > limit).select(*keys, F.col(value).alias("hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("hot is null").drop("hot").join(values.where(F.col("n") <= limit).select(*keys, value), keys)
+    return marked.where("hot is not null").withColumnRenamed("hot", value).unionByName(cold)
+
+
+def scores(spelled: DataFrame, learned: DataFrame) -> DataFrame | None:
+    """Distinct ``spelling, n`` with ``score``, above 0 if likelier among the rejected of ``learned`` (``spelling``, boolean ``rejected``).
+
+    None if either class is empty. All counts are tables and stay so. Gains are
+    added as decimals, so that their order doesn't matter.
     """
-    counts = materialise(pair_counts(urls))
-    totals = counts.where("size = 0").groupBy("rejected").agg(F.sum("n").alias("total"))
-    kept = counts.join(F.broadcast(totals), "rejected").where(F.col("n") >= LEAST_SHARE * F.col("total")).toPandas()
-    models = {flag: MarkovModel(part) for flag, part in kept.groupby("rejected")}
-    return Ratio(models[True], models[False]) if len(models) == 2 else None
+    counts = materialise(pair_counts(learned))
+    if not all(counts.where("size = 0").agg(F.coalesce(F.sum("rejected"), F.lit(0)), F.coalesce(F.sum("accepted"), F.lit(0))).first()):
+        return None
+    spelled = materialise(spelled.withColumn("key", F.monotonically_increasing_id()))
+    pairs = pairs_of(spelled.select("key", "spelling"), F.lit(ORDER))
+    gains = materialise(pair_gains(pairs.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n")), counts))
+    sums = looked_up(pairs, gains, ["context", "next"], "gain").groupBy("key").agg(F.sum(F.col("gain").cast("decimal(20,15)")).alias("sum"))
+    return spelled.join(sums, "key").select("spelling", "n", (F.col("sum").cast("double") / (F.length("spelling") - 1)).alias("score"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -131,21 +172,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     split = split.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("spelling", spelling(F.col("host"), F.col("path")))
     rejected = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(s) for s in seeds]))
     split = split.withColumn("rejected", rejected).withColumn("held", F.pmod(F.xxhash64("spelling"), F.lit(FOLDS)) == 0)
-    ratio = fit_ratio(split.where("found is null and host <> '' and not held"))
-    if ratio is None:
+    found = scores(split.groupBy("spelling").agg(F.count(F.lit(1)).alias("n")), split.where("found is null and host <> '' and not held").select("spelling", "rejected"))
+    if found is None:
         scored = split.withColumn("score", F.lit(0.0))
         limit = math.inf
     else:
-        shared = pages.sparkSession.sparkContext.broadcast(ratio)
-
-        @F.pandas_udf("double")
-        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = shared.value
-            for batch in batches:
-                values, where = np.unique(batch.to_numpy(str), return_inverse=True)
-                yield pd.Series(np.array([model.score(v) for v in values.tolist()], float)[where])
-
-        scored = materialise(split.withColumn("score", score("spelling")))
+        scored = materialise(looked_up(split, materialise(found), ["spelling"], "score"))
         clean = scored.where("found is null and host <> '' and held and not rejected")
         limit = max(0.0, clean.agg(F.percentile_approx("score", 1 - FALSE_BLOCKS, 10000)).first()[0] or 0.0)
     verdict = F.coalesce(F.col("found.action"), F.when((F.col("score") > limit) & (F.col("host") != ""), "block").otherwise("allow"))

@@ -221,6 +221,29 @@ def test_urls(spark):
     assert urls.judge(rows.where(F.lit(False)), RULES).count() == 0
 
 
+def test_urls_are_scored_by_all_pairs_however_rare(spark):
+    import pandas as pd
+
+    stem = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    given = [f"https://{stem(i)}.example.org/{'käse' if i % 3 else '😀'}/{i}" for i in range(2500)] + [f"http://casino.{stem(i)[:9]}.net/{i}" for i in range(60)] * 2 + [None, "http://a"] + ["http://same.org/"] * 500
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(given)], "page_id long, url string")
+    found = urls.judge(rows, [("allow", "unused.test/")]).collect()
+    spelled = {r["page_id"]: r for r in rows.select("page_id", urls.spelling(*urls.host_and_path(F.col("url"))).alias("s"), F.pmod(F.xxhash64("s"), F.lit(urls.FOLDS)).alias("fold")).collect()}
+    texts = {True: [], False: []}
+    for i, u in enumerate(given):
+        if u and spelled[i]["fold"]:
+            texts["casino" in u].append(spelled[i]["s"])
+
+    def model(ts):
+        pairs = [(t[max(0, i - k) : i], t[i]) for t in ts for i in range(1, len(t)) for k in range(min(urls.ORDER, i) + 1)]
+        return urls.MarkovModel(pd.DataFrame(pairs, columns=["context", "next"]).groupby(["context", "next"]).size().reset_index(name="n"))
+
+    ratio = urls.Ratio(model(texts[True]), model(texts[False]))
+    assert sum(map(len, texts[False])) > 60_000 and len(found) == len(given)
+    for r in found:
+        assert r["score"] == pytest.approx(ratio.score(spelled[r["page_id"]]["s"]), abs=1e-9)
+
+
 def labelled(spark, texts):
     docs = frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])
     labels = spark.createDataFrame([(i, y, y) for i, (_, y) in enumerate(texts) if y is not None], "doc_id long, quality int, toxic int")
