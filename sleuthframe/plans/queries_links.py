@@ -40,7 +40,7 @@ RARITY = "CASE WHEN n < 2 OR n >= p THEN 0 ELSE ln(p / n) / ln(p) END"
 
 @query(w.sql("transfers", f"WITH {OWNED}, {SIZES} SELECT x.subject AS a, y.subject AS b, count(*) AS n_keys FROM owned x JOIN owned y ON x.key = y.key AND x.subject < y.subject JOIN sizes s ON s.key = x.key WHERE n BETWEEN 2 AND 250 GROUP BY 1, 2"))
 def candidate_pairs(spark, d):
-    return c.candidates(partners(spark, d))[0]
+    return c.candidates(partners(spark, d), c.FAN_OUT)[0]
 
 
 @query(w.sql("transfers", f"WITH {OWNED}, {SIZES} SELECT key, n, round({RARITY}, 6) AS rarity FROM sizes, g"))
@@ -173,7 +173,7 @@ def phonetic_codes(spark, d):
 @query()
 def record_verdicts(spark, d):
     rows = records(spark, d).withColumn("clean", r.normalised("name"))
-    pairs = r.block_pairs(blocked(spark, d))[0]
+    pairs = r.block_pairs(blocked(spark, d), None)[0]
     left, right = (rows.select(*[F.col(x).alias(f"{x}_{s}") for x in ("ref", "clean", "phone", "p_size")]) for s in "ab")
     both = pairs.join(left, F.col("a") == F.col("ref_a")).join(right, F.col("b") == F.col("ref_b"))
     rules = {"name": (3.0, r.name_similarity("clean_a", "clean_b")), "phone": (4.0, r.phone_similarity(F.col("phone_a"), F.col("phone_b"))), "size": (1.0, F.when(F.col("p_size_a") == F.col("p_size_b"), 1.0).otherwise(0.0))}

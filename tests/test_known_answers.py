@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sleuthframe.functions import distributions as dist
-from sleuthframe.operators import components, ingest, resolution, sequences
+from sleuthframe.operators import components, correlation, ingest, resolution, sequences
 from sleuthframe.streaming import feeds
 
 
@@ -56,3 +56,16 @@ def test_streamed_lines_arrive_once(spark, tmp_path):
     query = feed.writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(120)
     assert spark.table("arrived").count() == 2
+
+
+def test_pairs_of_keys_beyond_the_fan_out(spark):
+    own = {i: {"hot", f"k{i % 7}"} | ({"big"} if i % 2 else set()) for i in range(600)}
+    rows = spark.createDataFrame([(i, k) for i, keys in own.items() for k in keys] * 2, "subject long, key string")
+    pairs, large = correlation.candidates(rows)
+    want = {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b}
+    assert {(r["a"], r["b"]): r["n_keys"] for r in pairs.collect()} == want
+    assert {r["key"]: r["n"] for r in large.collect()} == {"hot": 600, "big": 300}
+    kept, told = correlation.candidates(rows, 250)
+    assert kept.count() == sum(a % 7 == b % 7 for a, b in want) and told.count() == 2
+    keyed = spark.createDataFrame([(i, ["one"]) for i in range(100)], "ref long, keys array<string>")
+    assert resolution.block_pairs(keyed, None)[0].count() == 4950 and resolution.block_pairs(keyed)[0].count() == 0
