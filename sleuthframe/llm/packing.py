@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,6 +29,14 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _encoding(path: str, added: dict[str, int]):
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
+
+
 def rank_encoder(path: str):
     """A function from a text to its ids, by a file of byte-level BPE ranks (``base64 rank`` lines).
 
@@ -34,11 +44,20 @@ def rank_encoder(path: str):
     special tokens read as ordinary text (a test holds them against each other);
     merging by ranks takes a third of the CPU time.
     """
-    import tiktoken
+    return _encoding(path, {}).encode_ordinary
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+def text_encoder(path: str):
+    """A function from a text to the ids that the ``tokenizers`` file beside the ranks file gives it without further settings.
+
+    The file (``.json``) names added tokens; where one stands in a text it is its
+    own id, and what is between them is encoded by ranks.
+    """
+    added = json.loads(Path(path).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("added tokens that take more than their own characters aren't supported")
+    encoding = _encoding(path, {t["content"]: t["id"] for t in added})
+    return lambda text: encoding.encode(text, allowed_special="all")
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -49,7 +68,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> D
     """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = rank_encoder(tokenizer)
+        encode = text_encoder(tokenizer)
         for frame in frames:
             rows = []
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):

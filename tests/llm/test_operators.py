@@ -187,6 +187,13 @@ def test_packing(spark):
     assert packing.pack(frame(spark, []), path).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    import public_tokenizers
+
+    got = packing.pack(spark.createDataFrame([(1, "<|endoftext|>")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken")).first()
+    assert got["length"] == 2 and got["ids_crc32"] == zlib.crc32((50256).to_bytes(4, "little") + bytes(4))
+
+
 def test_html_rows(spark):
     pages = [(1, "u", "<article><p>A"), (2, None, None), (None, "u", ""), (1, "u", "<article><p>A"), (4, "u", "<p>" + "<div>" * 20_000)]
     found = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1)))

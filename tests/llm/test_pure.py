@@ -137,6 +137,21 @@ def test_token_ids_are_those_of_the_tokenizers_file():
         assert encode(text) == want.ids
 
 
+def test_text_ids_are_those_of_the_tokenizers_file_with_its_added_tokens():
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    encode = packing.text_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    texts += [end, f"{end} x", f"a {end}", f"  a \n {end}  \n b{end}{end}'s", f"<|{end}|>", "<|endoftext|", "<|EndOfText|>", "", " ", "日本 😀\r\n"]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == want.ids
+    assert encode(end) == [50256]
+
+
 def test_html_structure():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Top</header><nav><a href=x>Home</a></nav>
     <div class="ad">Buy</div><article><header><h1>A &amp; B</h1></header><p>One <b>two</b><br>three<p>Four &lt;4&gt;<form>Name</form><aside>Side</aside>
