@@ -15,11 +15,13 @@ from sleuthframe.plans.lineage import materialise
 ORDER = 4
 #: Keys with more than this share of a join's rows are joined by broadcast, of which there are at most 1 / HOT; all others are shuffled.
 HOT = 1e-3
-#: Share of held-out accepted URLs that may be blocked; it sets the threshold.
+#: Share of different held-out accepted URLs that may be blocked; it sets the threshold.
 FALSE_BLOCKS = 0.005
-#: One URL in FOLDS is held out of the counts and calibrates the threshold.
+#: One URL in FOLDS is held out of the final counts and calibrates the threshold; sites are scored by the other folds when labels are revised.
 FOLDS = 5
-#: Host words that mark an unruled URL as rejected when the models are fitted.
+#: A URL without a seed counts as rejected if it scores as this share of those with one do, or higher.
+LIKE_SEEDS = 0.75
+#: Host words that mark an unruled URL as rejected when the models are first fitted.
 SEEDS = ("ads", "adult", "banner", "bet", "bets", "bonus", "casino", "cheap", "click", "free", "loan", "pills", "poker", "porn", "promo", "spam", "track", "tracker", "viagra", "win", "xxx")
 BEGIN, END = "^", "$"
 
@@ -60,12 +62,14 @@ def pairs_of(spelled: DataFrame, most: Column) -> DataFrame:
 
 
 def pair_counts(urls: DataFrame) -> DataFrame:
-    """``size, context, next, rejected, accepted``: how often in either class each character follows each context of 0 to ORDER characters."""
-    spelled = urls.groupBy("rejected", "spelling").agg(F.count(F.lit(1)).alias("n"))
-    whole = pairs_of(spelled, F.lit(ORDER)).groupBy("rejected", "context", "next").agg(F.sum("n").alias("n"))
-    sized = whole.select("rejected", "next", "n", "context", F.explode(F.sequence(F.lit(0), F.length("context"))).alias("size"))
+    """``fold, size, context, next, rejected, accepted``: how often in either class each character follows each context of 0 to ORDER characters.
+
+    Each of ``urls`` (``spelling, rejected, n, folds``) counts in all of its ``folds``.
+    """
+    whole = pairs_of(urls.select("rejected", "spelling", "n", "folds"), F.lit(ORDER)).groupBy("rejected", "folds", "context", "next").agg(F.sum("n").alias("n"))
+    sized = whole.select("rejected", "next", "n", "context", "folds", F.explode(F.sequence(F.lit(0), F.length("context"))).alias("size")).withColumn("fold", F.explode("folds"))
     count = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
-    return sized.groupBy("size", F.right("context", F.col("size")).alias("context"), "next").agg(count(F.col("rejected")).alias("rejected"), count(~F.col("rejected")).alias("accepted"))
+    return sized.groupBy("fold", "size", F.right("context", F.col("size")).alias("context"), "next").agg(count(F.col("rejected")).alias("rejected"), count(~F.col("rejected")).alias("accepted"))
 
 
 class MarkovModel:
@@ -111,20 +115,20 @@ class Ratio:
 
 
 def pair_gains(used: DataFrame, counts: DataFrame) -> DataFrame:
-    """``used`` (distinct ``context, next``, and more) with ``gain``: the log of the two classes' probabilities' ratio.
+    """``used`` (distinct ``fold, context, next``, and more) with ``gain``: the log of the two classes' probabilities' ratio.
 
     Orders are mixed from the shortest up, each by a join with all counts of that
     order; a context that a class hasn't seen leaves its probability as it is.
     """
     flags = ("rejected", "accepted")
     sums = [f(flag).alias(f"{name}_{flag}") for flag in flags for f, name in ((F.sum, "total"), (lambda c: F.count_if(F.col(c) > 0), "kinds"))]
-    contexts = materialise(counts.groupBy("size", "context").agg(*sums))
+    contexts = materialise(counts.groupBy("fold", "size", "context").agg(*sums))
     rows = used.withColumns({f"p_{flag}": F.lit(1 / 256) for flag in flags})
     for k in range(ORDER + 1):
         rows = rows.withColumn("suffix", F.when(F.length("context") >= k, F.right("context", F.lit(k))))
         around = contexts.where(F.col("size") == k).drop("size").withColumnRenamed("context", "suffix")
         seen = counts.where(F.col("size") == k).drop("size").withColumnRenamed("context", "suffix")
-        rows = rows.join(small(around, "suffix"), "suffix", "left").join(small(seen, "suffix", "next"), ["suffix", "next"], "left")
+        rows = rows.join(small(around, "suffix"), ["fold", "suffix"], "left").join(small(seen, "suffix", "next"), ["fold", "suffix", "next"], "left")
         mixed = {f"p_{f}": F.when(F.col(f"total_{f}") > 0, (F.coalesce(f, F.lit(0)) + F.col(f"kinds_{f}") * F.col(f"p_{f}")) / (F.col(f"total_{f}") + F.col(f"kinds_{f}"))).otherwise(F.col(f"p_{f}")) for f in flags}
         rows = rows.select(*used.columns, *[p.alias(name) for name, p in mixed.items()])
     return rows.select(*used.columns, F.log(F.col("p_rejected") / F.col("p_accepted")).alias("gain"))
@@ -140,7 +144,7 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], value: str) -
 
 
 def scores(spelled: DataFrame, learned: DataFrame) -> DataFrame | None:
-    """Distinct ``spelling, n`` with ``score``, above 0 if likelier among the rejected of ``learned`` (``spelling``, boolean ``rejected``).
+    """Distinct ``spelled`` (``spelling, fold, n``) with ``score``, above 0 if likelier among the rejected of its fold's ``learned`` (see ``pair_counts``).
 
     None if either class is empty. All counts are tables and stay so. Gains are
     added as decimals, so that their order doesn't matter.
@@ -149,10 +153,31 @@ def scores(spelled: DataFrame, learned: DataFrame) -> DataFrame | None:
     if not all(counts.where("size = 0").agg(F.coalesce(F.sum("rejected"), F.lit(0)), F.coalesce(F.sum("accepted"), F.lit(0))).first()):
         return None
     spelled = materialise(spelled.withColumn("key", F.monotonically_increasing_id()))
-    pairs = pairs_of(spelled.select("key", "spelling"), F.lit(ORDER))
-    gains = materialise(pair_gains(pairs.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n")), counts))
-    sums = looked_up(pairs, gains, ["context", "next"], "gain").groupBy("key").agg(F.sum(F.col("gain").cast("decimal(20,15)")).alias("sum"))
-    return spelled.join(sums, "key").select("spelling", "n", (F.col("sum").cast("double") / (F.length("spelling") - 1)).alias("score"))
+    pairs = pairs_of(spelled.select("key", "fold", "spelling"), F.lit(ORDER))
+    gains = materialise(pair_gains(pairs.groupBy("fold", "context", "next").agg(F.count(F.lit(1)).alias("n")), counts))
+    sums = looked_up(pairs, gains, ["fold", "context", "next"], "gain").groupBy("key").agg(F.sum(F.col("gain").cast("decimal(20,15)")).alias("sum"))
+    return spelled.join(sums, "key").drop("key").withColumn("score", F.col("sum").cast("double") / (F.length("spelling") - 1)).drop("sum")
+
+
+def site(host: Column) -> Column:
+    """The longest label of a host, digits as 0: what its subdomains and endings share."""
+    labels = F.transform(F.split(F.regexp_replace(host, r"\p{N}", "0"), r"\."), lambda x: F.struct(F.length(x).alias("size"), x.alias("label")))
+    return F.array_max(labels)["label"]
+
+
+def revised(labelled: DataFrame) -> DataFrame:
+    """``labelled`` (``spelling, site_fold, rejected, n``) with ``rejected`` true as well for what scores like the seeds' URLs.
+
+    Every site is scored by models that were fitted without it, so a site without
+    a seed is judged by what it has in common with the others of either class.
+    """
+    others = F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda f: f != F.col("site_fold"))
+    found = scores(labelled.withColumnRenamed("site_fold", "fold"), labelled.withColumn("folds", others))
+    if found is None:
+        return labelled
+    found = materialise(found)
+    bar = max(0.0, found.where("rejected").agg(F.percentile_approx("score", 1 - LIKE_SEEDS, 10000)).first()[0] or 0.0)
+    return found.select("spelling", (F.col("rejected") | (F.col("score") > bar)).alias("rejected"), "n")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -162,23 +187,28 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...]
     longest fitting rule decides. Any other URL gets the length-normalised log
     likelihood difference of two Markov models, and is blocked above a threshold
     that blocks FALSE_BLOCKS of held-out accepted ones. The models are fitted on
-    the URLs without a rule: rejected are those with a seed among their host's
-    words, accepted are all others. Where one class is empty nothing is blocked
-    but by rule. Null urls and urls without ``://`` have an empty host and path;
+    the URLs without a rule: first, rejected are those with a seed among their
+    host's words and accepted all others; then also those that models of other
+    sites score like them. Where one class is empty nothing is blocked but by
+    rule. Null urls and urls without ``://`` have an empty host and path;
     repeated rows get equal verdicts; an empty table gives an empty table.
     """
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     split = split.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).withColumn("spelling", spelling(F.col("host"), F.col("path")))
-    rejected = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(s) for s in seeds]))
-    split = split.withColumn("rejected", rejected).withColumn("held", F.pmod(F.xxhash64("spelling"), F.lit(FOLDS)) == 0)
-    found = scores(split.groupBy("spelling").agg(F.count(F.lit(1)).alias("n")), split.where("found is null and host <> '' and not held").select("spelling", "rejected"))
+    seeded = F.arrays_overlap(F.split("host", "[^a-z0-9]+"), F.array(*[F.lit(s) for s in seeds]).cast("array<string>"))
+    free = split.where("found is null and host <> ''").withColumn("site_fold", F.pmod(F.xxhash64(site(F.col("host"))), F.lit(FOLDS)).cast("int"))
+    labelled = materialise(revised(materialise(free.groupBy("spelling", "site_fold").agg(F.max(seeded).alias("rejected"), F.count(F.lit(1)).alias("n")))))
+    labelled = labelled.withColumn("held", F.pmod(F.xxhash64("spelling"), F.lit(FOLDS)) == 0)
+    every = split.groupBy("spelling").agg(F.count(F.lit(1)).alias("n")).withColumn("fold", F.lit(0))
+    found = scores(every, labelled.where("not held").withColumn("folds", F.array(F.lit(0))))
     if found is None:
         scored = split.withColumn("score", F.lit(0.0))
         limit = math.inf
     else:
-        scored = materialise(looked_up(split, materialise(found), ["spelling"], "score"))
-        clean = scored.where("found is null and host <> '' and held and not rejected")
+        found = materialise(found)
+        clean = found.drop("n").join(labelled.where("held and not rejected"), "spelling")
         limit = max(0.0, clean.agg(F.percentile_approx("score", 1 - FALSE_BLOCKS, 10000)).first()[0] or 0.0)
+        scored = looked_up(split, found, ["spelling"], "score")
     verdict = F.coalesce(F.col("found.action"), F.when((F.col("score") > limit) & (F.col("host") != ""), "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", F.col("found.rule").alias("rule"), "score", verdict.alias("verdict"))
