@@ -21,8 +21,10 @@ from sleuthframe.plans.lineage import materialise
 MAX_ROWS = 16_000
 #: Lengths of stems that may be learned, how often a toxic text may be explained, and by how many texts an entry earns its place.
 STEMS, EXPLAINED, LEAST_GAIN = range(3, 8), 12, 3
-#: Most clean texts an entry may be in, for each toxic one.
-MOST_CLEAN = 0.1
+#: Most clean texts that an insult may be in, and that a slur may be in twice within REACH clauses, for each toxic one.
+MOST_CLEAN, MOST_CHAINED = 0.02, 0.2
+#: Clauses after a slur within which another one counts as more than chance.
+REACH = 8
 #: From this score on a document is toxic.
 THRESHOLD = 0.3
 
@@ -43,10 +45,10 @@ _PART = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 
 # --- transducers -------------------------------------------------------------------------------------------------
 
-#: Tags of words, the alphabet of the grammar.
-TAGS = ("other", "insult", "threat", "target", "negation", "report", "will", "quote", "end")
-#: What a matched clause is scored as, with the weight it has before labels are seen.
-KINDS = {"bare": 3.0, "targeted": 4.0, "threat": 4.0, "negated": 0.5, "reported": 0.5}
+#: Tags of words, the alphabet of the grammar. A slur is a word that clean texts may hold by chance.
+TAGS = ("other", "insult", "slur", "threat", "target", "negation", "report", "will", "quote", "end")
+#: What a matched clause is, with the weight that its arc has before labels are seen.
+KINDS = {"bare": 3.0, "targeted": 4.0, "threat": 4.0, "negated": 0.5, "reported": 0.5, "chained": 3.0, "lone": 0.2}
 BIAS = -4.0
 
 
@@ -73,10 +75,11 @@ def fading(tag: str, span: int) -> Transducer:
     return Transducer(0, lambda s, t: span if t == tag else 0 if t == "end" else max(0, s - 1))
 
 
-#: The parts of the grammar: a negation reaches four words far, a report to the clause's end or through its quotation, a target six words.
+#: The parts of the grammar: a negation reaches four words far, a report to the clause's end or through its quotation, a target six words, a slur REACH clauses.
 NEGATION = fading("negation", 4)
 TARGET = fading("target", 6)
 THREAT = Transducer("", lambda s, t: "" if t == "end" else "will" if t == "will" else "act" if s == "will" and t == "threat" else "done" if s == "act" and t == "target" else "" if s == "done" else s)
+CHAIN = Transducer(0, lambda s, t: REACH + 1 if t == "slur" else s - 1 if t == "end" and s else s)
 REPORT = Transducer("", lambda s, t: "said" if t == "report" and s != "quoted" else "quoted" if t == "quote" and s == "said" else "" if t == "quote" and s == "quoted" else "" if t == "end" and s == "said" else s)
 
 
@@ -89,19 +92,19 @@ def compose(*parts: Transducer) -> tuple[list[tuple], np.ndarray]:
     return states, table
 
 
-def _grammar() -> tuple[list[list[int]], list[list[str]]]:
-    """Next state and scored kind ("" if none) by state and tag."""
-    states, table = compose(NEGATION, TARGET, THREAT, REPORT)
-    kinds = []
+def _grammar() -> tuple[list[list[int]], list[list[int]]]:
+    """Next state, and the number of the kind that the arc matches (-1 if none), by state and tag."""
+    states, table = compose(NEGATION, TARGET, THREAT, CHAIN, REPORT)
+    kinds, number = [], {k: i for i, k in enumerate(KINDS)}
     for state, after in zip(states, table, strict=True):
-        row = []
-        for tag, to in zip(TAGS, after, strict=True):
-            negated, targeted, reported = state[0] > 0, state[1] > 0, state[3] != ""
+        negated, targeted, chained, reported = state[0] > 0, state[1] > 0, state[3] > 0, state[4] != ""
+        row = [-1] * len(TAGS)
+        for i, (tag, to) in enumerate(zip(TAGS, after, strict=True)):
             threat = states[to][2] == "done"
             if tag == "insult" or threat:
-                row.append("reported" if reported else "negated" if negated else "threat" if threat else "targeted" if targeted else "bare")
-            else:
-                row.append("")
+                row[i] = number["reported" if reported else "negated" if negated else "threat" if threat else "targeted" if targeted else "bare"]
+            elif tag == "slur":
+                row[i] = number["chained" if chained else "lone"]
         kinds.append(row)
     return table.tolist(), kinds
 
@@ -112,14 +115,17 @@ _TAG = {tag: i for i, tag in enumerate(TAGS)}
 
 @dataclass
 class Lexicon:
-    """Insults beside the fixed ones: whole words and stems (that longer words begin with)."""
+    """Insults beside the fixed ones, whole words and stems (that longer words begin with); and slurs, words and stems that only tell in company."""
 
     words: frozenset[str] = frozenset()
     stems: frozenset[str] = frozenset()
+    slurs: frozenset[str] = frozenset()
 
     def tag(self, word: str) -> str:
         if word in INSULTS or word in self.words or any(word[:k] in self.stems for k in STEMS if len(word) > k):
             return "insult"
+        if word in self.slurs or any(word[:k] + "*" in self.slurs for k in STEMS if len(word) > k):
+            return "slur"
         for tag, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("will", WILLS)):
             if word in words:
                 return tag
@@ -127,19 +133,25 @@ class Lexicon:
 
 
 class Matcher:
-    """Counts of KINDS in whole texts. A text without any insult or threat costs one look at its different words."""
+    """How many arcs of a whole text match as each of KINDS.
+
+    Arcs carry the weight of their kind, and of the arcs that match in a clause
+    the heaviest says what all of them count as. A text without any insult, slur
+    or threat costs one look at its different words.
+    """
 
     MOST_KNOWN = 400_000
 
-    def __init__(self, lexicon: Lexicon):
+    def __init__(self, lexicon: Lexicon, weights: tuple[float, ...] = tuple(KINDS.values())):
         self.lexicon = lexicon
+        self.arcs = [[weights[k] if k >= 0 else 0.0 for k in row] for row in _KIND]
         self.harmless: set[str] = set()
 
     def _may_match(self, text: str) -> bool:
         fresh = set(text.split()) - self.harmless
         clean = []
         for chunk in fresh:
-            if any(self.lexicon.tag(w) in ("insult", "threat") for w in _PART.findall(chunk)):
+            if any(self.lexicon.tag(w) in ("insult", "slur", "threat") for w in _PART.findall(chunk)):
                 return True
             clean.append(chunk)
         if len(self.harmless) + len(clean) <= self.MOST_KNOWN:
@@ -148,10 +160,12 @@ class Matcher:
 
     def counts(self, text: str | None) -> list[int]:
         text = (text or "").lower()
+        found = [0] * len(KINDS)
         if not self._may_match(text):
-            return [0] * len(KINDS)
-        state, found, tag = 0, Counter(), self.lexicon.tag
+            return found
+        state, tag, end = 0, self.lexicon.tag, _TAG["end"]
         known: dict[str, int] = {}
+        best, heaviest, hits = -1, -math.inf, 0
         for m in _CLAUSE.finditer(text):
             piece = m[0]
             symbol = known.get(piece)
@@ -159,19 +173,47 @@ class Matcher:
                 first = piece[0]
                 name = "end" if first in ".,;:!?\n\r" else "quote" if first in "\"“”«»" else tag(piece.replace("’", "'"))
                 symbol = known[piece] = _TAG[name]
-            if kind := _KIND[state][symbol]:
-                found[kind] += 1
+            if (kind := _KIND[state][symbol]) >= 0:
+                hits += 1
+                if self.arcs[state][symbol] > heaviest:
+                    best, heaviest = kind, self.arcs[state][symbol]
             state = _NEXT[state][symbol]
-        return [found[k] for k in KINDS]
+            if symbol == end and hits:
+                found[best] += hits
+                best, heaviest, hits = -1, -math.inf, 0
+        if hits:
+            found[best] += hits
+        return found
+
 
+#: In front of an entry: it comes again within REACH clauses.
+CHAINED = "+"
 
 # --- fitting -----------------------------------------------------------------------------------------------------
 
 
-def entries(text: str | None) -> set[str]:
-    """Words of a text, and their stems with a star."""
-    words = set(_PART.findall((text or "").lower()))
-    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
+def _forms(word: str) -> list[str]:
+    """A word, and its stems with a star."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+
+
+def entries(text: str | None, wanted: frozenset[str] | None = None) -> set[str]:
+    """Words and stems of a text (those ``wanted``); with CHAINED in front, those that come again within REACH clauses."""
+    found, last, known, clause = set(), {}, {}, 0
+    for m in _CLAUSE.finditer((text or "").lower()):
+        piece = m[0]
+        if piece[0] in ".,;:!?\n\r":
+            clause += 1
+            continue
+        forms = known.get(piece)
+        if forms is None:
+            forms = known[piece] = [f for f in _forms(piece) if wanted is None or f in wanted or CHAINED + f in wanted]
+        for f in forms:
+            if clause - last.get(f, -REACH - 1) <= REACH:
+                found.add(CHAINED + f)
+            last[f] = clause
+            found.add(f)
+    return found if wanted is None else found & wanted
 
 
 def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> set[str]:
@@ -179,18 +221,19 @@ def telling(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     base = n_toxic / max(1, n_toxic + n_clean)
     bar = math.log(len(toxic) + 1) + 2.0
 
-    def tells(n: int, c: int) -> bool:
+    def tells(e: str, n: int, c: int) -> bool:
         q = n / (n + c)
-        return c <= MOST_CLEAN * n and n * math.log(q / base) + (c * math.log((1 - q) / (1 - base)) if c else 0.0) >= bar
+        most = MOST_CHAINED if e.startswith(CHAINED) else MOST_CLEAN
+        return c <= most * n and n * math.log(q / base) + (c * math.log((1 - q) / (1 - base)) if c else 0.0) >= bar
 
-    return {e for e, n in toxic.items() if tells(n, clean.get(e, 0))}
+    return {e for e, n in toxic.items() if tells(e, n, clean.get(e, 0))}
 
 
-def choose(toxic: list[set[str]]) -> Lexicon:
+def cover(toxic: list[set[str]]) -> set[str]:
     """Of each toxic text's telling entries those that explain the texts.
 
-    Greedy cover: each time the entry (of two alike the longer) that explains
-    most of the texts not yet explained EXPLAINED times.
+    Greedy: each time the entry (of two alike the longer) that explains most of
+    the texts not yet explained EXPLAINED times.
     """
     count = Counter(e for doc in toxic for e in doc)
     where: dict[str, list[int]] = {}
@@ -212,11 +255,24 @@ def choose(toxic: list[set[str]]) -> Lexicon:
             if left[i] == 0:
                 for e in toxic[i] & gain.keys():
                     gain[e] -= 1
-    return Lexicon(frozenset(p for p in picked if p[-1] != "*"), frozenset(p[:-1] for p in picked if p[-1] == "*"))
+    return picked
+
+
+def choose(toxic: list[set[str]]) -> Lexicon:
+    """Insults and slurs that explain the toxic texts, given the telling entries of each.
+
+    A slur is an entry that tells when it comes again but not alone; a word that a
+    slur's stem has is no insult of its own, as chance gives clean texts some.
+    """
+    alone = {e for doc in toxic for e in doc if not e.startswith(CHAINED)}
+    slurs = cover([{e[len(CHAINED) :] for e in doc if e.startswith(CHAINED)} - alone for doc in toxic])
+    stems = tuple(s[:-1] for s in slurs if s[-1] == "*")
+    insults = cover([{e for e in doc if not e.startswith(CHAINED) and not e.startswith(stems)} for doc in toxic])
+    return Lexicon(frozenset(p for p in insults if p[-1] != "*"), frozenset(p[:-1] for p in insults if p[-1] == "*"), frozenset(slurs))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 12) -> np.ndarray:
-    """Bias and weights of log(1 + count) by kind: logistic regression with a normal prior around KINDS."""
+    """Bias and arc weights by kind, each for the logarithm of 1 + the arcs matched as the kind: logistic regression with a normal prior around KINDS."""
     prior = np.array([BIAS, *KINDS.values()])
     a, w = np.insert(np.log1p(x), 0, 1.0, axis=1), prior.copy()
     for _ in range(steps):
@@ -227,9 +283,14 @@ def fit_weights(x: np.ndarray, y: np.ndarray, steps: int = 12) -> np.ndarray:
 
 @dataclass
 class Model:
+    """A lexicon, and the bias and weights of the arcs."""
+
     lexicon: Lexicon
     weights: np.ndarray
 
+    def matcher(self) -> Matcher:
+        return Matcher(self.lexicon, tuple(self.weights[1:].tolist()))
+
     def score(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(np.insert(np.log1p(counts), 0, 1.0, axis=1) @ self.weights)))
 
@@ -258,7 +319,7 @@ def fit(sample: DataFrame) -> Model:
         counted = Counter()
         for frame in frames:
             for t in frame["text"]:
-                counted.update(entries(t if isinstance(t, str) else None) & wanted.value)
+                counted.update(entries(t if isinstance(t, str) else None, wanted.value))
         yield pd.DataFrame({"e": list(counted), "n": list(counted.values())}).astype({"e": str, "n": "int64"})
 
     clean = sample.where("y = 0").mapInPandas(clean_counts, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
@@ -291,7 +352,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(shared.value.lexicon)
+        matcher = shared.value.matcher()
         for batch in batches:
             x = np.array([matcher.counts(t if isinstance(t, str) else None) for t in batch], float).reshape(-1, len(KINDS))
             yield pd.Series(shared.value.score(x))
