@@ -11,19 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.decontam import small
-from sleuthframe.llm.quality import bounded_sample
+from sleuthframe.llm.quality import hash_bound
 from sleuthframe.plans.lineage import materialise
 
-#: Rows with a declared language that the text model is fitted on, at most.
-MAX_ROWS = 12_000
+#: Different texts of each declared language that the text model is fitted on, at most about.
+MAX_TEXTS = 3_000
 #: Hashed character trigrams, and how much a trigram's evidence counts: neighbouring ones say nearly the same.
 BUCKETS, TEMPER = 1 << 14, 0.4
 #: Rows that a parent's distribution counts for in its child's; weight of the overall share of a declared language or suffix.
 PRIOR_ROWS, SMOOTHING = 20.0, 1.0
 #: The share of rows by which a host's or a declaration's word may be wrong, whatever the counts say.
 DOUBT = 0.002
-#: Greatest number of languages; the most frequent declared ones are told apart.
-MOST_LANGUAGES = 128
+#: Trigrams of the mean language that each language's counts are mixed with.
+POOLED = 100.0
 #: A document is kept if its language has at least this probability and its text has a letter.
 KEEP = 0.5
 
@@ -54,10 +54,18 @@ class TextModel:
 
 
 def fit_text(docs: DataFrame) -> TextModel:
-    """A naive Bayes model of trigrams from a bounded sample of rows (``text, declared``) with a declared language."""
+    """A naive Bayes model of trigrams of every declared language, from rows ``text, declared``.
+
+    Of each language at most about MAX_TEXTS different texts are read, those with
+    the least hashes, so that copies and frequent languages don't crowd out rare
+    ones. A language with few texts stays close to the mean one. The model has
+    BUCKETS numbers of four bytes a language.
+    """
     declared = docs.where("declared is not null")
-    names = [r["declared"] for r in declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()]
-    sample = bounded_sample(declared.where(F.col("declared").isin(names) if names else F.lit(False)).select("text", "declared"), "text", MAX_ROWS)
+    seen = declared.groupBy("declared").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(F.desc("n"), "declared").collect()  # a row a language
+    names = [r["declared"] for r in seen]
+    bounds = docs.sparkSession.createDataFrame([(r["declared"], hash_bound(MAX_TEXTS, r["n"])) for r in seen], "declared string, bound long")
+    sample = declared.join(small(bounds, "declared"), "declared").where(F.xxhash64("text") <= F.col("bound")).select("declared", "text").distinct()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -69,11 +77,14 @@ def fit_text(docs: DataFrame) -> TextModel:
             yield pd.DataFrame({"declared": name, "bucket": at.astype(np.int32), "n": values[at]})
 
     counts = sample.mapInPandas(count, "declared string, bucket int, n double").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS x languages at most
-    table = np.full((BUCKETS, len(names)), 0.5)
+    table = np.zeros((BUCKETS, len(names)))
     if len(counts):
         np.add.at(table, (counts["bucket"].to_numpy(), counts["declared"].map({n: i for i, n in enumerate(names)}).to_numpy()), counts["n"].to_numpy())
-    logs = np.log(table / table.sum(0, keepdims=True)) if names else table
-    return TextModel(names, logs - logs.mean(1, keepdims=True) if names else logs)
+    if not names:
+        return TextModel(names, table)
+    pooled = (table.sum(1, keepdims=True) + 0.5) / (table.sum() + 0.5 * BUCKETS)
+    logs = np.log((table + POOLED * pooled) / (table.sum(0, keepdims=True) + POOLED))
+    return TextModel(names, (logs - logs.mean(1, keepdims=True)).astype(np.float32))
 
 
 def with_evidence(docs: DataFrame, model: TextModel) -> DataFrame:
@@ -140,8 +151,12 @@ def fit(docs: DataFrame) -> Fusion:
     return Fusion(model, materialise(hosts), materialise(make("declared", everything, "all").select("declared", "share")), materialise(make("suffix", everything, "all").select("suffix", "share")))
 
 
+#: Columns that identification adds.
+ADDED = ("language", "probability", "text_language", "kept")
+
+
 def fuse(docs: DataFrame, fusion: Fusion) -> DataFrame:
-    """``docs`` with ``language``, ``probability`` and ``text_language``.
+    """``docs`` with ``language``, ``probability`` and ``text_language`` in place of any it has.
 
     The host's distribution is the prior; declared language and suffix add what
     their distributions say beyond the overall one; the text adds its
@@ -149,7 +164,9 @@ def fuse(docs: DataFrame, fusion: Fusion) -> DataFrame:
     long as their table is small, which is counted; beyond, they are joined.
     """
     names = F.array(*[F.lit(x) for x in fusion.model.languages]).cast("array<string>")
-    rows = with_evidence(docs, fusion.model)
+    own = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*own).alias("_row"), "text", "declared", "suffix", "host")  # so that no column of docs meets one made here
+    rows = with_evidence(rows, fusion.model)
     for table, key in ((fusion.declared, "declared"), (fusion.suffixes, "suffix"), (fusion.hosts, "host")):
         known = table.select(F.col(key).alias(f"{key}_"), F.transform("share", lambda x: F.log(x * (1 - DOUBT) + DOUBT)).alias(f"{key}_log"))
         rows = rows.join(small(known.withColumn("size", F.col(f"{key}_")), f"{key}_").drop("size"), F.col(key) == F.col(f"{key}_"), "left").drop(f"{key}_")
@@ -159,8 +176,7 @@ def fuse(docs: DataFrame, fusion: Fusion) -> DataFrame:
     rows = rows.withColumn("p", normalised(total)).withColumn("at", F.array_position("p", F.array_max("p")).cast("int"))
     text_at = F.array_position("evidence", F.array_max("evidence")).cast("int")
     pick = lambda array, at: F.when(at > 0, F.get(array, at - 1))
-    rows = rows.withColumn("language", pick(names, F.col("at"))).withColumn("probability", F.coalesce(F.array_max("p"), F.lit(0.0))).withColumn("text_language", pick(names, text_at))
-    return rows.drop("evidence", "p", "at", "declared_log", "suffix_log", "host_log")
+    return rows.select("_row.*", pick(names, F.col("at")).alias("language"), F.coalesce(F.array_max("p"), F.lit(0.0)).alias("probability"), pick(names, text_at).alias("text_language"))
 
 
 def accepted() -> Column:
@@ -175,6 +191,12 @@ def host_domain_suffix(url: Column) -> tuple[Column, Column, Column]:
     return host, F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
+def address_suffix(text: Column) -> Column:
+    """The last label of the first web or mail address in a text; null if there is none."""
+    found = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?:://|@)[A-Za-z0-9.-]*\.([A-Za-z]{2,24})\b", 1))
+    return F.when(found != "", found)
+
+
 def declared_language(html: Column) -> Column:
     """The two or three letters of the ``lang`` that a page's markup declares; null if it declares none."""
     found = F.lower(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
@@ -182,7 +204,7 @@ def declared_language(html: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Languages of ``docs``: all its columns, then ``language, probability, text_language, kept``.
+    """Languages of ``docs``: its columns, then ``language, probability, text_language, kept`` in place of any it has.
 
     ``docs`` needs ``text, declared, suffix, host, domain`` and may have more.
     Null and empty texts add no evidence and aren't kept; ties go to the more

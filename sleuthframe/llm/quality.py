@@ -110,12 +110,15 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
     return Trees(*(np.stack(part) for part in zip(*made, strict=True)), base)
 
 
+def hash_bound(most: int, n: int) -> int:
+    """The 64-bit hashes up to this one are ``most`` of every ``n``, however large n is."""
+    return -(1 << 63) + (min(most, n) << 64) // max(1, n) - (most >= n)
+
+
 def bounded_sample(labelled: DataFrame, key: str, most: int = MAX_ROWS) -> DataFrame:
-    """At most about ``most`` rows, by a hash of ``key``: the share is set from the count of all."""
-    n = labelled.count()
-    if n <= most:
-        return labelled
-    return labelled.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    """Rows with at most about ``most`` different values of ``key``, those with the least hashes; the share is set from the count of all."""
+    n = labelled.agg(F.approx_count_distinct(key)).first()[0]
+    return labelled if n <= most else labelled.where(F.xxhash64(key) <= F.lit(hash_bound(most, n)))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learns: Column, most: int = MAX_ROWS) -> DataFrame:

@@ -37,8 +37,8 @@ def op7_toxicity_fst(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
-    """Documents as language identification reads them: ``lang`` is the declared language, ``source`` the host."""
-    return docs.withColumns({"declared": F.col("lang"), "suffix": F.lit(None).cast("string"), "host": F.col("source"), "domain": F.lit(None).cast("string")})
+    """Documents as language identification reads them: ``lang`` is the declared language, ``source`` the host, and the suffix is that of the first address in the text."""
+    return docs.withColumns({"declared": F.col("lang"), "suffix": langid.address_suffix(F.col("text")), "host": F.col("source"), "domain": F.lit(None).cast("string")})
 
 
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:

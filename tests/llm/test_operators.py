@@ -1,6 +1,7 @@
 """Operators on small frames with nulls, empty and long texts, ties, repeats, clashing columns and no rows, against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -251,6 +252,22 @@ def test_urls_are_scored_by_all_pairs_however_rare(spark):
         assert r["score"] == pytest.approx(ratio.score(spelled[r["page_id"]]["s"]), abs=1e-9)
 
 
+def test_urls_of_sites_without_a_seed_are_found(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = urls.judge(pages, RULES, tuple(s for s in urls.SEEDS if s not in ("casino", "win"))).where("rule is null and host <> ''").select("host", "verdict").collect()
+    withheld = [r["verdict"] for r in found if "casino-win" in r["host"]]
+    plain = [r["verdict"] for r in found if "-" not in r["host"]]
+    assert withheld and set(withheld) == {"block"} and plain.count("block") <= 0.03 * len(plain)
+
+
+def test_samples_are_bounded_by_different_values(spark):
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    kept = quality.bounded_sample(rows.where("key <> 'hot'"), "key", 1000)
+    assert 800 <= kept.count() <= 1200
+    assert quality.bounded_sample(rows, "id", 50_000).count() == 40_000
+    assert quality.bounded_sample(rows.where("id < 0"), "id", 10).count() == 0
+
+
 def labelled(spark, texts):
     docs = frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])
     labels = spark.createDataFrame([(i, y, y) for i, (_, y) in enumerate(texts) if y is not None], "doc_id long, quality int, toxic int")
@@ -283,13 +300,38 @@ def test_toxicity(spark):
     assert toxicity.score(docs.where("doc_id = 200"), empty, "t").first()["t"] >= toxicity.THRESHOLD
 
 
+def test_slurs_count_only_in_company(spark):
+    word = lambda i, k: f"grack{'abcdefgh'[(i + k) % 8]}{'xyzw'[(i * 3 + k) % 4]}"
+    texts = [(f"so {word(i, 0)} went on. then {word(i, 1)} came to it, and {word(i, 2)} stayed {i}", 1) for i in range(60)]
+    texts += [(f"so {word(i, 0)} went on. then nobody came to it {i}" if i % 4 == 0 else f"so he went on. then nobody came to it {i}", 0) for i in range(400)]
+    docs, labels = labelled(spark, texts)
+    model = toxicity.fit(toxicity.labelled_sample(docs, labels, F.col("doc_id") % 4 != 2))
+    assert any(s.startswith("grack"[: len(s) - 1]) for s in model.lexicon.slurs)
+    found = {r["doc_id"]: r["t"] >= toxicity.THRESHOLD for r in toxicity.score(docs, model, "t").collect()}
+    assert all(found[i] == bool(y) for i, (_, y) in enumerate(texts) if i % 4 == 2)
+
+
+def test_every_declared_language_is_told_apart(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b for a in letters[:15] for b in letters[:10]]
+    words = lambda i: " ".join("".join(random.Random(i * 100 + k).choices(letters, k=4)) for k in range(12))
+    rows = [(k * len(names) + i, f"{words(i)} {words(i)}", n) for k in range(4) for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, declared string").withColumns({c: F.lit(None).cast("string") for c in ("suffix", "host", "domain")})
+    docs = docs.withColumns({c: F.lit("own") for c in ("at", "evidence", "host_log", "language")})
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert len(found) == len(rows) and all(r["at"] == r["evidence"] == r["host_log"] == "own" for r in found.values())
+    assert sum(found[i]["text_language"] == n for i, _, n in rows) >= 0.95 * len(rows)
+
+
 def test_language(spark):
     words = {"en": "the house and the garden with flowers", "de": "das haus und der garten mit blumen", "fr": "la maison et le jardin avec des fleurs"}
     rows = [(f"{t} {i}", lang if i % 10 else "en", "host-" + lang) for lang, t in words.items() for i in range(30)] + [(None, "fr", "host-fr"), ("", None, None), ("123", "de", "new"), ("garten haus", None, "host-de")]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, host string")
     docs = docs.withColumns({"suffix": F.lit(None).cast("string"), "domain": F.lit("all"), "p": F.lit(1), "share": F.lit(2)})
+    address = [F.lit(t) for t in ("mail to a.b@shop.example.de, or", "see https://x.org/a.b", "none.com", "")]
+    assert tuple(spark.range(1).select(*[langid.address_suffix(t).alias(f"c{i}") for i, t in enumerate(address)]).first()) == ("de", "org", None, None)
     found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
-    assert len(found) == len(rows) and found[0]["share"] == 2
+    assert len(found) == len(rows) and found[0]["share"] == 2 and found[0]["p"] == 1
     for i, lang in enumerate([x for x in words for _ in range(30)]):
         assert found[i]["language"] == lang and found[i]["kept"]
     assert not found[90]["kept"] and not found[91]["kept"] and not found[92]["kept"] and found[93]["language"] == "de"

@@ -168,6 +168,68 @@ def test_html_two_passes():
     assert html.main_text(page) == f"Short heading\n\n{text}\n\nShort one.\n\n{text}"
 
 
+PROSE = "The cat sat on the mat and it was the best of all the days that we had, for it was in the sun and by the sea with you. "
+PLAIN = "Zor bel tak mip sul rav den kol fim wex yan pod gar hul nib qua ret sop wim lan. "
+
+
+def by_hand(page):
+    """Both passes' outcome for a flat container of (text, share of link characters) without marks, block by block."""
+    label = []
+    for text, links in page:
+        words = text.lower().replace(",", "").replace(".", "").split()
+        density = sum(w in html.STOPS for w in words) / len(words)
+        if links > 0.2 or (len(text) < 70 and links):
+            label.append("bad")
+        elif len(text) > 140 and density >= 0.18:
+            label.append("good")
+        else:
+            label.append("near" if len(text) >= 70 and density >= 0.08 else "short")
+    kept = []
+    for i, own in enumerate(label):
+        before = next((x for x in reversed(label[:i]) if x in ("good", "bad")), None)
+        after = next((x for x in label[i + 1 :] if x in ("good", "bad")), None)
+        sides = {before, after} - {None}
+        kept.append(own == "good" or own == "near" and "good" in sides or own == "short" and sides == {"good"})
+    return kept
+
+
+@given(st.lists(st.sampled_from([(PROSE * 2, 0), (PROSE, 0), (PLAIN * 2, 0), ("A few words of it.", 0), (PROSE * 2, 1), ("Home", 1), (PLAIN[:60], 0)]), min_size=1, max_size=9))
+@settings(max_examples=300, deadline=None)
+def test_html_passes_by_hand(page):
+    page = [(" ".join(t.split()), links) for t, links in page]
+    markup = "".join(f"<p><a href=x>{t}</a></p>" if links else f"<p>{t}</p>" for t, links in page)
+    assert html.main_text(f"<body><div>{markup}</div></body>") == "\n\n".join(t for (t, _), keep in zip(page, by_hand(page), strict=True) if keep)
+
+
+def test_html_every_rule_counts(monkeypatch):
+    link = f"<p><a href=1>{PROSE * 2}</a></p>"
+    page = f"<body><div><p>{PROSE * 2}</p><p>{PLAIN * 3}</p><p>Short one.</p><p>{PROSE}</p></div><div>{link}<p>Short two.</p><p>{PLAIN * 3}</p></div></body>"
+    whole = html.main_text(page)
+    assert whole.count("\n\n") == 3 and "Short two" not in whole
+    mixed = f"<body><div><p>{PROSE * 2}</p><p>Odd bit of foo.</p><p>{PLAIN}</p><p><a href=1>{PROSE * 2}</a></p></div><div><p>{PLAIN * 3}</p><p>{PROSE}</p></div></body>"
+    told = [whole, html.main_text(mixed)]
+    for name, value in (("MAX_LINKS", 9.0), ("STOP_HIGH", 2.0), ("STOP_LOW", 0.0), ("SHORT", 0), ("LONG", 10_000)):
+        with monkeypatch.context() as m:
+            m.setattr(html, name, value)
+            changed = [html.main_text(page), html.main_text(mixed)]
+        assert changed != told, name
+
+
+def test_html_pages_of_the_tables_without_their_marks():
+    import re
+
+    import pyarrow.parquet as pq
+
+    kept = lost = dropped = left = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        truth = [b.region == "main" for b in html.blocks(page)]
+        bare = html.blocks(re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page.replace(' class="ad"', "")))
+        found = html.judged(bare)
+        for want, got in zip(truth, found, strict=True):
+            kept, lost, dropped, left = kept + (want and got), lost + (want and not got), dropped + (not want and not got), left + (got and not want)
+    assert kept >= 0.9 * (kept + lost) and dropped >= 0.9 * (dropped + left)
+
+
 def test_html_link_lists_inside_a_marked_article():
     long = "Zor bel tak mip sul rav den kol fim wex yan pod gar hul nib qua ret sop. " * 2
     text = " ".join(long.split())
@@ -198,9 +260,31 @@ def test_toxic_grammar_tells_clauses_apart():
     assert kind('she said "you idiot"') == {"reported"}
     assert kind("i will kill you") == {"threat"} and kind("kill the process") == set() and kind("i will kill it") == set()
     assert kind("not. idiot") == {"bare"}
+    slurred = toxicity.Matcher(toxicity.Lexicon(slurs=frozenset({"gra*", "dro"})))
+    told = lambda text: {k: n for k, n in zip(toxicity.KINDS, slurred.counts(text), strict=True) if n}
+    assert told("a grack here") == {"lone": 1} and told("a gra here") == {}
+    assert told("a grack. and then a dro") == {"lone": 1, "chained": 1}
+    assert told("a grack" + ". so" * 9 + ". a dro") == {"lone": 2}
+    assert told("you are a dro and an idiot") == {"targeted": 2}  # the clause's heaviest arc says what its arcs count as
     assert kind(None) == kind("") == set()
 
 
+def test_entries_that_come_again_within_reach():
+    found = toxicity.entries("Wubble one. two wubbly. " + "x. " * 20 + "wubble")
+    assert {"wubble", "wubb*", "+wubb*"} <= found and "+wubble" not in found
+    assert toxicity.entries("Wubble wubble", frozenset({"+wubble", "wub*"})) == {"+wubble", "wub*"}
+    assert toxicity.entries(None) == set()
+
+
+def test_hash_bounds_of_any_size():
+    from sleuthframe.llm.quality import hash_bound
+
+    assert hash_bound(10, 5) == hash_bound(10, 10) == (1 << 63) - 1
+    for most, n in ((1, 2), (12_000, 12_000 * 10**7), (20_000, 10**15)):
+        share = (hash_bound(most, n) + (1 << 63)) / (1 << 64)
+        assert share == pytest.approx(most / n, rel=1e-3) and share > 0
+
+
 def test_markov_ratio_prefers_its_class():
     import pandas as pd
 
