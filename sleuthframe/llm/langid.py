@@ -99,10 +99,11 @@ def with_evidence(docs: DataFrame, model: TextModel) -> DataFrame:
     return docs.withColumn("evidence", weigh("text"))
 
 
-def normalised(logs: Column) -> Column:
-    """Probabilities from log weights, and an empty array from one."""
-    shifted = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+def with_probabilities(df: DataFrame, logs: str, name: str = "p") -> DataFrame:
+    """``df`` with probabilities from log weights; an empty array from one. Step by step, so that no sum is made anew for each element."""
+    df = df.withColumn("_peak", F.array_max(logs)).withColumn("_raised", F.transform(logs, lambda x: F.exp(x - F.col("_peak"))))
+    df = df.withColumn("_sum", F.aggregate("_raised", F.lit(0.0), lambda a, x: a + x))
+    return df.withColumn(name, F.transform("_raised", lambda x: x / F.col("_sum"))).drop("_peak", "_raised", "_sum")
 
 
 def shares(rows: DataFrame, key: str, n: int, parent: DataFrame | None = None, parent_key: str | None = None, weight: float = PRIOR_ROWS) -> DataFrame:
@@ -112,11 +113,13 @@ def shares(rows: DataFrame, key: str, n: int, parent: DataFrame | None = None, p
     ``weight`` rows; without a parent, with an even one.
     """
     columns = [key] if parent_key is None else [key, parent_key]
-    sums = rows.where(F.col(key).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)])
-    above = [F.lit(1 / n)] * n if parent is None else [F.col("above")[i] for i in range(n)]
-    if parent is not None:
+    each = rows.where(F.col(key).isNotNull()).select(*columns, F.posexplode("p").alias("i", "x")).groupBy(*columns, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("rows"))
+    sums = each.groupBy(*columns).agg(F.max("rows").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda e: e["s"]).alias("sums"))  # a number a language
+    if parent is None:
+        sums = sums.withColumn("above", F.array_repeat(F.lit(1 / n), n))
+    else:
         sums = sums.join(parent.select(F.col(parent_key), F.col("share").alias("above")), parent_key)
-    mixed = F.array(*[(F.col(f"s{i}") + weight * above[i]) / (F.col("rows") + weight) for i in range(n)])
+    mixed = F.zip_with("sums", "above", lambda s, above: (s + weight * above) / (F.col("rows") + weight))
     return sums.select(key, mixed.alias("share"), "rows")
 
 
@@ -138,8 +141,8 @@ def fit(docs: DataFrame) -> Fusion:
     """
     model = fit_text(docs)
     n = len(model.languages)
-    rows = with_evidence(docs, model).select("declared", "suffix", "host", F.coalesce("domain", "host").alias("domain"), F.lit("").alias("all"), normalised(F.col("evidence")).alias("p"))
-    rows = materialise(rows)
+    rows = with_evidence(docs, model).select("declared", "suffix", "host", F.coalesce("domain", "host").alias("domain"), F.lit("").alias("all"), "evidence")
+    rows = materialise(with_probabilities(rows, "evidence").drop("evidence"))
     if not n:
         rows = rows.where(F.lit(False))
     everything = shares(rows, "all", n) if n else rows.select("all", F.col("p").alias("share"))
@@ -173,10 +176,10 @@ def fuse(docs: DataFrame, fusion: Fusion) -> DataFrame:
     total = F.col("evidence")
     for key in ("declared", "suffix", "host"):
         total = F.when(F.col(f"{key}_log").isNull(), total).otherwise(F.zip_with(total, f"{key}_log", lambda a, b: a + b))
-    rows = rows.withColumn("p", normalised(total)).withColumn("at", F.array_position("p", F.array_max("p")).cast("int"))
-    text_at = F.array_position("evidence", F.array_max("evidence")).cast("int")
-    pick = lambda array, at: F.when(at > 0, F.get(array, at - 1))
-    return rows.select("_row.*", pick(names, F.col("at")).alias("language"), F.coalesce(F.array_max("p"), F.lit(0.0)).alias("probability"), pick(names, text_at).alias("text_language"))
+    rows = with_probabilities(rows.withColumn("total", total), "total").withColumn("most", F.array_max("p"))
+    at, text_at = F.array_position("p", F.col("most")).cast("int"), F.array_position("evidence", F.array_max("evidence")).cast("int")
+    pick = lambda at: F.when(at > 0, F.get(names, at - 1))
+    return rows.select("_row.*", pick(at).alias("language"), F.coalesce("most", F.lit(0.0)).alias("probability"), pick(text_at).alias("text_language"))
 
 
 def accepted() -> Column:
