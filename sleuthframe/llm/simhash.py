@@ -107,7 +107,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         prints = np.array([fingerprint(t if isinstance(t, str) else None) for t in frame["text"]], np.uint64)
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "print": prints.view(np.int64)})
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "mark": frame["mark"], "print": prints.view(np.int64)})
 
 
 def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,10 @@ def near_links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``print`` (long) and ``component_id`` of every row of ``docs``.
+    """``doc_id, mark, print, part, component_id`` of every row of ``docs``.
+
+    ``mark`` is a hash of the text, which tells repeated ids apart, ``print`` the
+    fingerprint as a long, ``part`` the least fingerprint of the component.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Texts are
     fingerprinted once; exact copies meet in one fingerprint, and only different
@@ -161,10 +164,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``doc_id`` is never the smallest of its component unless all are null. An
     empty table gives an empty table.
     """
-    marked = materialise(docs.select("doc_id", "text").mapInPandas(_fingerprints, "doc_id long, print long"))
+    marked = materialise(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(_fingerprints, "doc_id long, mark long, print long"))
     first = marked.groupBy("print").agg(F.min("doc_id").alias("first_id"))
     parts = connected_components(near_links(first))
     joined = first.join(parts, first["print"] == parts["node"], "left").select("print", "first_id", F.coalesce("component", "print").alias("part"))
     joined = materialise(joined)
     least = joined.groupBy("part").agg(F.min("first_id").alias("component_id"))
-    return marked.join(joined.join(least, "part").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
+    return marked.join(joined.join(least, "part").select("print", "part", "component_id"), "print").select("doc_id", "mark", "print", "part", "component_id")

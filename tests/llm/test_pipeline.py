@@ -43,6 +43,16 @@ def test_stages_keep_clean_documents_and_drop_planted_ones(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen[4]
 
 
+def test_one_row_of_each_group_stays_whatever_the_order(spark, tmp_path):
+    a, b = "one two three four five six seven", "red green blue black white grey pink brown"
+    rows = [(5, a, "x"), (5, b, "x"), (7, a, "x"), (None, b, "y"), (5, a, "w"), (5, a, "w"), (None, "lost and found and kept", "z"), (None, "lost and found and kept", "z"), (9, None, "n"), (8, "", "n")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, mark string").repartition(3)
+        found = corpus_pipeline.one_of_each(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted([(5, a, "w"), (5, b, "x"), (None, "lost and found and kept", "z"), (8, "", "n")], key=repr)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
