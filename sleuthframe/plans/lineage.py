@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,23 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
 
 
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """The shared folder, or one of this machine's where the session names none and all of it runs on this machine."""
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir: executors can't see each other's temporary folders")
+        folder = tempfile.mkdtemp(prefix=prefix)
+    return folder
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and go on from the written rows.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only a session that has
-    none (tests on one machine) gets a temporary folder.
+    The folder is the one in ``spark.checkpoint.dir``. A session on one machine
+    that has none (as in tests) gets a temporary folder, any other an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_folder(df.sparkSession) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint-"))
     return df.checkpoint(eager=True)

@@ -69,3 +69,15 @@ def test_pairs_of_keys_beyond_the_fan_out(spark):
     assert kept.count() == sum(a % 7 == b % 7 for a, b in want) and told.count() == 2
     keyed = spark.createDataFrame([(i, ["one"]) for i in range(100)], "ref long, keys array<string>")
     assert resolution.block_pairs(keyed, None)[0].count() == 4950 and resolution.block_pairs(keyed)[0].count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sleuthframe.plans import lineage
+
+    session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getConf=dict))
+    assert lineage.scratch_folder(session("local[4]"), "t-")
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            lineage.scratch_folder(session(master), "t-")
