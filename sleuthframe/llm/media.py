@@ -20,8 +20,6 @@ PAD = b"\xff"
 MOST_CODES = 1 << 12
 #: Bins of the histogram of each colour channel.
 BINS = 8
-#: Codes between two clear codes of a literal stream: the table stays below nine bits.
-LITERALS = 254
 #: From so many streams of one size on, they are decoded together; and at most so many at once.
 TOGETHER, AT_ONCE = 32, 2048
 #: Bytes of media decoded before their rows are handed on.
@@ -37,15 +35,15 @@ def _widths(n: int, bits: int) -> np.ndarray:
     return np.minimum(np.maximum(bits + 1, np.ceil(np.log2(held + 1)).astype(np.int64)), 12)
 
 
-def lzw_encode(pixels: bytes, bits: int = 8) -> bytes:
-    """Pixels of ``bits`` bits as a GIF code stream, lowest bit first."""
+def _codes(pixels: bytes, bits: int) -> list[list[int]]:
+    """The codes of a stream, in stretches that each follow a clear code."""
     clear, end = 1 << bits, (1 << bits) + 1
     chunks, codes, table, free = [], [], {}, end + 1
     if pixels:
-        prefix = pixels[0]
+        prefix, get = pixels[0], table.get
         for pixel in pixels[1:]:
             pair = prefix << 8 | pixel
-            code = table.get(pair)
+            code = get(pair)
             if code is not None:
                 prefix = code
                 continue
@@ -57,18 +55,42 @@ def lzw_encode(pixels: bytes, bits: int = 8) -> bytes:
                 codes.append(clear)
                 chunks.append(codes)
                 codes, table, free = [], {}, end + 1
+                get = table.get
         codes.append(prefix)
     codes.append(end)
     chunks.append(codes)
-    stream = [_bits(np.array([clear]), np.array([bits + 1]))]
-    stream += [_bits(np.array(c), _widths(len(c), bits)) for c in chunks]
-    return np.packbits(np.concatenate(stream), bitorder="little").tobytes()
+    return chunks
+
+
+def lzw_encode_many(streams: list[bytes], bits: int = 8) -> list[bytes]:
+    """Pixels of ``bits`` bits as GIF code streams, lowest bit first. Bits are packed for all streams at once."""
+    if not streams:
+        return []
+    codes, lengths, last = [], [], []
+    for pixels in streams:
+        codes.append(1 << bits)
+        lengths.append(1)
+        for chunk in _codes(pixels, bits):
+            codes += chunk
+            lengths.append(len(chunk))
+        last.append(len(codes) - 1)
+    by_length = {n: _widths(n, bits) for n in set(lengths)} | {1: np.array([bits + 1])}
+    widths = np.concatenate([by_length[n] for n in lengths])
+    ends = np.cumsum(widths)
+    closed = ends[last]  # each stream begins with a byte of its own
+    pad = np.cumsum(-np.diff(closed, prepend=0) % 8)
+    at = ends - widths
+    at[last[0] + 1 :] += np.repeat(pad[:-1], np.diff(last))
+    value = np.array(codes, np.int64) << (at & 7)  # 19 bits at most, over three bytes
+    place, size = at >> 3, int(closed[-1] + pad[-1]) >> 3
+    data = sum(np.bincount(place + k, value >> 8 * k & 255, size + 3) for k in range(3))[:size].astype(np.uint8).tobytes()
+    stops = ((closed + pad) >> 3).tolist()
+    return [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
 
-def _bits(codes: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """The codes' bits, each code lowest bit first."""
-    every = np.arange(widths.max())
-    return (codes[:, None] >> every & 1).astype(np.uint8)[every < widths[:, None]]
+def lzw_encode(pixels: bytes, bits: int = 8) -> bytes:
+    """Pixels of ``bits`` bits as one GIF code stream."""
+    return lzw_encode_many([pixels], bits)[0]
 
 
 def lzw_decode(data: bytes, bits: int, pixels: int) -> bytes:
@@ -163,22 +185,6 @@ def lzw_decode_many(streams: list[bytes], bits: int, pixels: int) -> list[bytes]
     return [out[i : i + min(m, pixels)].tobytes() for i, m in zip(first.tolist(), made.tolist(), strict=True)]
 
 
-def literal_streams(pixels: np.ndarray) -> np.ndarray:
-    """Rows of 8-bit pixels as rows of code streams: each pixel a code of its own.
-
-    A clear code before the table outgrows nine bits keeps all codes at nine, so
-    that rows are written at once. It costs an eighth in size.
-    """
-    n, size = pixels.shape
-    places = np.arange(size) + np.arange(size) // LITERALS + 1
-    clears = np.arange(0, size, LITERALS) // LITERALS * (LITERALS + 1)
-    bits = np.zeros((n, size + len(clears) + 1, 9), np.uint8)
-    bits[:, places, :8] = np.unpackbits(pixels[:, :, None], axis=2, bitorder="little")
-    bits[:, clears, 8] = 1
-    bits[:, -1, [0, 8]] = 1
-    return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little")
-
-
 # --- container ---------------------------------------------------------------------------------------------------
 
 
@@ -196,14 +202,13 @@ def write_gif(frames: np.ndarray, palette: np.ndarray, delay: int = DELAY, dispo
     head = b"GIF89a" + width.to_bytes(2, "little") + height.to_bytes(2, "little") + b"\xf7\0\0" + palette.astype(np.uint8).tobytes()
     control = b"\x21\xf9\x04" + bytes([disposal << 2]) + delay.to_bytes(2, "little") + b"\0\0"
     place = b"\x2c\0\0\0\0" + width.to_bytes(2, "little") + height.to_bytes(2, "little") + b"\0"
-    streams = literal_streams(frames.reshape(n, -1))
-    columns = [np.frombuffer(control + place + b"\x08", np.uint8)]
-    for at in range(0, streams.shape[1], 255):
-        part = streams[:, at : at + 255]
-        columns += [np.array([part.shape[1]], np.uint8), part]
-    columns.append(np.zeros(1, np.uint8))
-    body = np.concatenate([np.broadcast_to(c, (n, c.shape[-1])) for c in columns], axis=1)
-    return head + body.tobytes() + b"\x3b"
+    before, parts = control + place + b"\x08", []
+    for stream in lzw_encode_many([x.tobytes() for x in frames.astype(np.uint8)]):
+        parts.append(before)
+        for at in range(0, len(stream), 255):
+            parts += [bytes([min(255, len(stream) - at)]), stream[at : at + 255]]
+        parts.append(b"\0")
+    return head + b"".join(parts) + b"\x3b"
 
 
 def _colours(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
