@@ -8,10 +8,16 @@ from pyspark.sql.window import Window
 
 from sleuthframe.operators.sequences import decay, previous_of
 
-# Order of the bands (there is no place for routine), moves between alert states, and between investigation states.
+# Order of the bands (there is no place for routine), moves between alert states and between investigation states,
+# reasons of a dismissal with whether it counts against the rule, and outcomes of an investigation with whether it confirms the alerts.
 BAND_ORDER = {"insufficient": 0, "clear": 1, "notable": 2, "elevated": 3}
-ALERT_MOVES = {"new": ("triaged", "dismissed", "escalated"), "triaged": ("escalated", "dismissed", "closed"), "escalated": ("closed", "triaged"), "dismissed": ("new",), "closed": ("new",)}
-CASE_MOVES = {"open": ("active", "closed"), "active": ("closed",), "closed": ("active",)}
+ALERT_MOVES = {
+    "open": ("acknowledged", "investigating", "dismissed"), "acknowledged": ("investigating", "dismissed", "open"), "investigating": ("resolved", "dismissed", "acknowledged"),
+    "resolved": ("investigating", "open"), "dismissed": ("open", "investigating"),
+}
+CASE_MOVES = {"open": ("active", "closed"), "active": ("open", "closed"), "closed": ("active",)}
+DISMISSALS = {"false_positive": True, "known_benign": False, "not_relevant": False, "insufficient_evidence": False, "duplicate": False}
+OUTCOMES = {"confirmed": True, "unfounded": False, "inconclusive": None, "referred": None}
 #: Priorities from which an alert is high or medium.
 HIGH, MEDIUM = 0.55, 0.30
 
@@ -64,8 +70,11 @@ def prioritised(alerts: DataFrame, now: Column) -> DataFrame:
     """``group_key, n_rules, n_alerts, priority, level, rules``: corroboration times the best confidence x magnitude x recency.
 
     One rule alone counts as it is, two or more half again as much; 1 at most.
+    Confidence and magnitude count as 0 to 1, ages by the second.
     """
-    worth = F.col("confidence") * F.col("magnitude") * decay(F.datediff(now, F.col("evidence_at")))
+    unit = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c)))
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("evidence_at").cast("timestamp"))) / 86_400_000_000
+    worth = unit("confidence") * unit("magnitude") * decay(age)
     sums = alerts.groupBy("group_key").agg(F.countDistinct("rule").alias("n_rules"), F.countDistinct("key").alias("n_alerts"), F.max(worth).alias("worth"), F.sort_array(F.collect_set("rule")).alias("rules"))
     priority = F.least(F.lit(1.0), F.when(F.col("n_rules") > 1, 1.5).otherwise(1.0) * F.col("worth"))
     return sums.select("group_key", "n_rules", "n_alerts", priority.alias("priority"), F.when(priority >= HIGH, "high").when(priority >= MEDIUM, "medium").otherwise("low").alias("level"), "rules")
@@ -74,10 +83,9 @@ def prioritised(alerts: DataFrame, now: Column) -> DataFrame:
 def suppressed(alerts: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     """``alerts`` with ``suppressed_by``: the most specific active suppression that fits (rule and subject, subject, rule), then the least id.
 
-    ``rules`` has ``id, rule, subject, created_at, expires_at, revoked, note``;
-    active are those that aren't revoked or over, run at most 90 days and say why in ten characters.
+    ``rules`` has ``id, rule, subject, expires_at, revoked``; active are those that aren't revoked or over.
     """
-    active = rules.where(~F.col("revoked") & (F.col("expires_at") > now) & (F.datediff("expires_at", "created_at") <= 90) & (F.length("note") >= 10)).where("rule is not null or subject is not null")
+    active = rules.where(~F.col("revoked") & (F.col("expires_at") > now)).where("rule is not null or subject is not null")
     active = active.select(F.col("id").alias("sid"), F.col("rule").alias("srule"), F.col("subject").alias("ssubject"))
     at = alerts.select("key", "rule", F.explode("scope").alias("subject"))
     by_subject = at.join(active.where("ssubject is not null"), (F.col("subject") == F.col("ssubject")) & (F.col("srule").isNull() | (F.col("srule") == F.col("rule"))))
@@ -87,6 +95,12 @@ def suppressed(alerts: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     return alerts.join(best, "key", "left")
 
 
+def accepted_suppressions(wanted: DataFrame) -> DataFrame:
+    """Suppressions that may be created: they name a rule or a subject, run 90 days at most and say why in ten characters."""
+    days = (F.unix_micros(F.col("expires_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 86_400_000_000
+    return wanted.where("rule is not null or subject is not null").where((days > 0) & (days <= 90) & (F.length(F.trim("note")) >= 10))
+
+
 def upserted(queue: DataFrame, run: DataFrame, run_at: Column) -> DataFrame:
     """The queue after a run: ``key, rule, occurrences, first_seen, last_seen, change``; of equal keys in a run the first counts."""
     once = run.groupBy("key").agg(F.min("rule").alias("rule"))
@@ -97,17 +111,35 @@ def upserted(queue: DataFrame, run: DataFrame, run_at: Column) -> DataFrame:
     return joined.select("key", F.coalesce("q.rule", "r.rule").alias("rule"), count.alias("occurrences"), F.coalesce("q.first_seen", run_at).alias("first_seen"), F.when(F.col("r.rule").isNotNull(), run_at).otherwise(F.col("q.last_seen")).alias("last_seen"), change.alias("change"))
 
 
-def transitions(requests: DataFrame, state: DataFrame, moves: dict[str, tuple[str, ...]] = ALERT_MOVES) -> DataFrame:
-    """``requests`` (``key, from_state, to_state, reason``) with ``accepted`` and ``why``: the optimistic lock, the moves, and reasons for a dismissal."""
-    allowed = requests.sparkSession.createDataFrame([(a, b) for a, to in moves.items() for b in to], "from_state string, to_state string").withColumn("_ok", F.lit(True))
-    joined = requests.join(F.broadcast(allowed), ["from_state", "to_state"], "left").join(state.select("key", "state"), "key", "left")
+def transitions(requests: DataFrame, state: DataFrame, moves: dict[str, tuple[str, ...]] = ALERT_MOVES, reasons: tuple[str, ...] = tuple(DISMISSALS)) -> DataFrame:
+    """``requests`` (``key, from_state, to_state, reason``) with ``accepted`` and ``why``: the optimistic lock, the moves, and for a dismissal a reason of the vocabulary."""
+    allowed = F.lit(False)
+    for a, to in moves.items():
+        allowed = allowed | (F.col("from_state") == a) & F.col("to_state").isin(*to)
+    joined = requests.join(state.select("key", "state"), "key", "left")
     why = (
-        F.when(F.col("state").isNull(), "unknown alert").when(F.col("state") != F.col("from_state"), "state has changed").when(F.col("_ok").isNull(), "no such move")
-        .when((F.col("to_state") == "dismissed") & (F.coalesce(F.trim("reason"), F.lit("")) == ""), "a dismissal needs a reason")
+        F.when(~F.col("to_state").isin(*moves), "no such state").when(F.col("state").isNull(), "unknown").when(F.col("state") != F.col("from_state"), "state has changed")
+        .when(F.col("from_state") == F.col("to_state"), "nothing would change").when(~allowed, "no such move")
+        .when((F.col("to_state") == "dismissed") & ~F.coalesce(F.col("reason").isin(*reasons), F.lit(False)), "a dismissal needs a known reason")
     )
     return joined.select("key", "from_state", "to_state", "reason", why.isNull().alias("accepted"), why.alias("why"))
 
 
+def listed(queue: DataFrame, states: tuple[str, ...] = (), assignee: str | None = None, level: str | None = None, rule: str | None = None, unassigned: bool = False) -> DataFrame:
+    """The alerts of one of the queue's listings, with ``total``, their true number: any filter that is left out lets all through."""
+    kept = queue
+    for given, test in ((states, lambda: F.col("state").isin(*states)), (assignee, lambda: F.col("assignee") == assignee), (level, lambda: F.col("level") == level), (rule, lambda: F.array_contains("rules", rule)), (unassigned, lambda: F.col("assignee").isNull())):
+        kept = kept.where(test()) if given else kept
+    return kept.join(F.broadcast(kept.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
+def rule_quality(dismissed: DataFrame) -> DataFrame:
+    """By rule: closed alerts (``rule, state, reason``), and the share that was a false positive of those that say whether the rule was right."""
+    wrong = F.col("reason").isin(*[r for r, against in DISMISSALS.items() if against])
+    sums = dismissed.groupBy("rule").agg(F.count_if((F.col("state") == "resolved") | wrong).alias("n_judged"), F.count_if((F.col("state") == "dismissed") & wrong).alias("n_wrong"), F.count_if((F.col("state") == "dismissed") & ~wrong).alias("n_out_of_scope"))
+    return sums.withColumn("false_positive_rate", F.try_divide("n_wrong", "n_judged"))
+
+
 def partly_updated(rows: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """``rows`` with the fields replaced whose ``set_<field>`` is true, by null as well."""
     c = changes.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields], *[f"set_{f}" for f in fields])

@@ -48,7 +48,7 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
 
     The right side is dealt to the three rows and three columns around, in each
     row by that row's own columns (and around the date line); the pairs then meet
-    by cell and are verified. No side is paired with all of the other.
+    by cell, each in one, and are verified. No side is paired with all of the other.
     """
     left = left.where("lat is not null and lng is not null").select(F.col("ref").alias("a"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng")).withColumn("_cell", cell(F.col("_lat"), F.col("_lng"), km))
     near = right.where("lat is not null and lng is not null").select(F.col("ref").alias("b"), "lat", "lng", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_dr"))
@@ -60,4 +60,4 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     columns = F.array_distinct(F.filter(columns, lambda c: (c >= first) & (c <= last)))
     near = near.select("b", "lat", "lng", "_row", F.explode(columns).alias("_col")).withColumn("_cell", F.struct(F.col("_row").alias("row"), F.col("_col").alias("col"))).drop("_row", "_col")
     distance = haversine_km(F.col("_lat"), F.col("_lng"), F.col("lat"), F.col("lng"))
-    return left.join(near, "_cell").select("a", "b", distance.alias("km")).where(F.col("km") <= km).dropDuplicates(["a", "b"])
+    return left.join(near, "_cell").select("a", "b", distance.alias("km")).where(F.col("km") <= km)

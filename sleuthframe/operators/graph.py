@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sleuthframe.operators.components import connected_components
 from sleuthframe.operators.rollups import both_ways
 from sleuthframe.plans.lineage import materialise
 
@@ -94,7 +97,7 @@ def successors(transfers: DataFrame, days: int = 7, least: float = 0.85, most: f
     return pairs.select("edge_id", "next_id", "src", "dst", "next_dst", "amount", "next_amount", "ts", "next_ts", (F.col("next_amount") / F.col("amount")).alias("retention"))
 
 
-def funds_cycles(transfers: DataFrame, hops: int = 4, days: int = 7, least: float = 0.85) -> DataFrame:
+def funds_cycles(transfers: DataFrame, hops: int = 8, days: int = 7, least: float = 0.85) -> DataFrame:
     """Money that comes back: ``cycle`` (sorted transfer ids), ``hops, total, retention``.
 
     A path of 3 to ``hops`` successive transfers whose last one ends where the
@@ -116,6 +119,50 @@ def funds_cycles(transfers: DataFrame, hops: int = 4, days: int = 7, least: floa
     return closed.groupBy("cycle", "hops").agg(F.max("total").alias("total"), F.max("retention").alias("retention"))
 
 
+def closed_trails(transfers: DataFrame, least: int = 3, most: int = 6, kept: float = 0.85) -> DataFrame:
+    """Trails of ``least`` to ``most`` transfers, none twice, that end where they began: ``trail, length, total, retention``.
+
+    Each transfer has ``kept`` to all of the one before, whatever their times.
+    They meet by account and by steps of the amount's logarithm, so that only
+    amounts which may fit are compared.
+    """
+    money = transfers.where("amount > 0").select("edge_id", "src", "dst", F.col("amount").cast("double").alias("amount"))
+    step = -math.log(kept)
+    bucket = F.floor(F.log("amount") / step)
+    then = materialise(money.select(F.col("edge_id").alias("then"), F.col("src").alias("at"), F.col("dst").alias("then_dst"), F.col("amount").alias("then_amount"), F.explode(F.array(bucket, bucket + 1)).alias("bucket")))
+    path = money.select(F.col("src").alias("origin"), F.array("edge_id").alias("trail"), F.col("dst").alias("at"), F.col("amount").alias("first"), "amount", F.col("amount").alias("total"))
+    closed = None
+    for k in range(2, most + 1):
+        near = path.withColumn("bucket", bucket).join(then, ["at", "bucket"])
+        fits = (F.col("then_amount") <= F.col("amount")) & (F.col("then_amount") >= kept * F.col("amount")) & ~F.array_contains("trail", F.col("then"))
+        path = near.where(fits).select("origin", F.concat("trail", F.array("then")).alias("trail"), F.col("then_dst").alias("at"), "first", F.col("then_amount").alias("amount"), (F.col("total") + F.col("then_amount")).alias("total"))
+        if k == most:
+            path = path.where("at = origin")
+        path = materialise(path)
+        if k >= least:
+            back = path.where("at = origin").select("trail", F.lit(k).alias("length"), "total", (F.col("amount") / F.col("first")).alias("retention"))
+            closed = back if closed is None else closed.unionByName(back)
+    return closed
+
+
+def overview(nodes: DataFrame, edges: DataFrame, seeds: int = 25, most: int = 400) -> DataFrame:
+    """The largest ``most`` edges (``edge_id, src, dst, amount``) at the ``seeds`` nodes with the highest positive ``score``, ties by ref."""
+    top = F.broadcast(nodes.where("score > 0").orderBy(F.desc("score"), "ref").limit(seeds).select(F.col("ref").alias("_seed")))  # ``seeds`` rows
+    touching = edges.join(top, (F.col("src") == F.col("_seed")) | (F.col("dst") == F.col("_seed")), "left_semi")
+    return touching.orderBy(F.desc("amount"), "edge_id").limit(most)
+
+
+def projection(kinds: list[tuple[DataFrame, float | None, bool]]) -> DataFrame:
+    """Weighted edges ``src, dst, weight`` of several kinds: (edges, weight or None for their own, directed). Undirected ones go both ways; parallel ones of a kind add up."""
+    out = None
+    for edges, weight, directed in kinds:
+        rows = edges.select("src", "dst", (F.col("weight") if weight is None else F.lit(weight)).alias("weight"))
+        rows = rows if directed else rows.unionByName(rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+        rows = rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, hops: int = 3, share: float = 0.6) -> DataFrame:
     """Risk handed on from scored seeds (``ref, score``): ``ref, hops, delta, risk``.
 
@@ -162,11 +209,11 @@ def forward_reach(subjects: DataFrame, transfers: DataFrame, hops: int = 4, days
     return out.select("subject", F.col("at").alias("ref"), "hops", "carried", "first_amount")
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     """``ref, community``: weighted local moving by modularity gain, one level.
 
-    ``edges`` has ``a, b, weight``, undirected. Each round every second node (by
-    a hash of node and round) goes to the neighbouring community with the
+    ``edges`` has ``a, b, weight``, undirected. Each round about every second node
+    (by a hash of node and pair of rounds, the others follow in the next) goes to the neighbouring community with the
     greatest gain ``w_in - total * k / 2m``, ties to the smallest; neighbours
     that would swap for ever are thus kept apart. A community is named after its
     smallest member. Needs a join and a sum a round; no task holds the graph.
@@ -178,6 +225,7 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     at = strength.select("ref", "k", F.col("ref").alias("c"))
     if not twice:
         return at.select("ref", F.col("c").alias("community"))
+    changed = True
     for r in range(rounds):
         total = at.groupBy("c").agg(F.sum("k").alias("total"))
         inward = links.join(at.select(F.col("ref").alias("other"), "c"), "other").groupBy("ref", "c").agg(F.sum("w").alias("w_in"))
@@ -185,113 +233,93 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         options = inward.unionByName(stay).groupBy("ref", "c").agg(F.sum("w_in").alias("w_in")).join(at.select("ref", "k", F.col("c").alias("own")), "ref").join(total, "c")
         gain = F.col("w_in") - (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
         best = options.groupBy("ref").agg(F.min_by("c", F.struct(-F.round(gain, 9), (F.col("c") != F.col("own")).cast("int"), F.col("c"))).alias("best"))
-        turn = F.pmod(F.xxhash64("ref"), F.lit(2)) == r % 2
+        turn = F.pmod(F.xxhash64("ref", F.lit(r // 2)), F.lit(2)) == r % 2
         moved = materialise(at.join(best, "ref").select("ref", "k", F.when(turn, F.col("best")).otherwise(F.col("c")).alias("c"), (turn & (F.col("best") != F.col("c"))).alias("moved")))
+        still = not changed if r % 2 else False  # of this pair's first round
         changed = not moved.where("moved").isEmpty()
         at = moved.drop("moved")
-        if not changed and r % 2:
+        if still and not changed:
             break
     name = at.groupBy("c").agg(F.min("ref").alias("community"))
     return at.join(name, "c").select("ref", "community")
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``ref, score``: unweighted betweenness from the given sources (all nodes: exact), each pair counted once.
 
-    The adjacency is broadcast after its size is checked against ``most_edges``; sources are dealt over tasks.
+    A breadth-first search from all sources at once, a join a level, counts the
+    ways to each node; going back, a node hands its share to those before it. The
+    state is a row a source and node reached, so many sources are given in blocks.
     """
-    import numpy as np
-    import pandas as pd
-
-    links = both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct()
-    if links.count() > most_edges:
-        raise ValueError(f"more than {most_edges} links: name fewer edges")
-    table = links.orderBy("ref", "other").toPandas()
-    names = np.unique(table.to_numpy())
-    row, col = np.searchsorted(names, table["ref"]), np.searchsorted(names, table["other"])
-    shared = edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(row, np.arange(len(names) + 1)), col))
-
-    def accumulate(frames):
-        labels, begin, to = shared.value
-        sums = np.zeros(len(labels))
-        for frame in frames:
-            for name in frame["ref"]:
-                s = np.searchsorted(labels, name)
-                if s == len(labels) or labels[s] != name:
-                    continue
-                # levels of a breadth-first search, all edges of a level at once
-                depth, ways = np.full(len(labels), -1), np.zeros(len(labels))
-                depth[s], ways[s], levels, front = 0, 1.0, [], np.array([s])
-                while len(front):
-                    counts = begin[front + 1] - begin[front]
-                    tail = np.repeat(front, counts)
-                    head = to[np.arange(counts.sum()) + np.repeat(begin[front] - np.cumsum(counts) + counts, counts)]
-                    fresh = depth[head] < 0
-                    depth[head[fresh]] = depth[s] + len(levels) + 1
-                    on = depth[head] == len(levels) + 1
-                    np.add.at(ways, head[on], ways[tail[on]])
-                    levels.append((tail[on], head[on]))
-                    front = np.unique(head[on])
-                part = np.zeros(len(labels))
-                for tail, head in reversed(levels):
-                    np.add.at(part, tail, ways[tail] / ways[head] * (1 + part[head]))
-                part[s] = 0
-                sums += part
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"ref": labels[at], "score": sums[at]})
-
-    kind = edges.schema["src"].dataType.simpleString()
-    parts = sources.select("ref").distinct().repartition(F.col("ref")).mapInPandas(accumulate, f"ref {kind}, score double")
-    return parts.groupBy("ref").agg((F.sum("score") / 2).alias("score"))
-
-
-def bridges(edges: DataFrame, most: int = 5_000) -> DataFrame:
-    """``cluster, a, b``: links whose loss would split their cluster (``cluster, a, b``; parallel links are one).
-
-    Clusters are judged one in a task; one with more than ``most`` links isn't
-    evaluable and gives a row with null ends, so that it is never silently missing.
+    links = materialise(both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct())
+    front = sources.select(F.col("ref").alias("source")).distinct().join(links.select(F.col("ref").alias("source")).distinct(), "source", "left_semi")
+    front = materialise(front.select("source", F.col("source").alias("ref"), F.lit(1.0).alias("ways")))
+    seen, levels = front.select("source", "ref"), [front]
+    while True:
+        reached = front.join(links, "ref").groupBy("source", F.col("other").alias("ref")).agg(F.sum("ways").alias("ways"))
+        front = materialise(reached.join(seen, ["source", "ref"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = materialise(seen.unionByName(front.select("source", "ref")))
+    part = levels[-1].select("source", "ref", "ways", F.lit(0.0).alias("part"))
+    sums = None
+    for level in reversed(levels[:-1]):
+        scored = part.select("ref", F.col("part").alias("score"))
+        sums = scored if sums is None else materialise(sums.unionByName(scored).groupBy("ref").agg(F.sum("score").alias("score")))
+        hand = part.join(links, "ref").select("source", F.col("other").alias("ref"), ((1 + F.col("part")) / F.col("ways")).alias("share"))
+        got = hand.groupBy("source", "ref").agg(F.sum("share").alias("share"))
+        part = materialise(level.join(got, ["source", "ref"], "left").select("source", "ref", "ways", (F.col("ways") * F.coalesce("share", F.lit(0.0))).alias("part")))
+    if sums is None:
+        return links.limit(0).select("ref", F.lit(0.0).alias("score"))
+    return sums.groupBy("ref").agg((F.sum("score") / 2).alias("score")).where("score > 0")
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """``cluster, a, b``: links (``cluster, a, b``; parallel ones are one) whose loss would split their cluster.
+
+    A breadth-first tree grows from the least node of each component, a level a
+    join. Every link outside the tree gets a 64-bit number; on its way up from
+    the leaves, a node gathers the numbers of the links that end in its subtree
+    by exclusive or, so that links with both ends there cancel out. A tree link
+    is a bridge if nothing is left: no other link leaves the subtree. Different
+    numbers cancel out by chance once in 2^64. No task holds a cluster; the
+    rounds are as many as the tree is deep.
     """
-    import pandas as pd
-
-    once = edges.where("a <> b").select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    size = once.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        ends: dict = {}
-        for k, (a, b) in enumerate(zip(frame["a"], frame["b"], strict=True)):
-            ends.setdefault(a, []).append((b, k))
-            ends.setdefault(b, []).append((a, k))
-        order, low, cut = {}, {}, set()
-        for root in sorted(ends):
-            if root in order:
-                continue
-            stack = [(root, -1, iter(sorted(ends[root])))]
-            order[root] = low[root] = len(order)
-            while stack:
-                node, via, rest = stack[-1]
-                for other, k in rest:
-                    if k == via:
-                        continue
-                    if other in order:
-                        low[node] = min(low[node], order[other])
-                    else:
-                        order[other] = low[other] = len(order)
-                        stack.append((other, k, iter(sorted(ends[other]))))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        above = stack[-1][0]
-                        low[above] = min(low[above], low[node])
-                        if low[node] > order[above]:
-                            cut.add(via)
-        return frame.iloc[sorted(cut)][["cluster", "a", "b"]]
-
-    types = {f.name: f.dataType.simpleString() for f in once.schema}
-    small = once.join(size.where(F.col("n") <= most).select("cluster"), "cluster", "left_semi")
-    found = small.groupBy("cluster").applyInPandas(judge, f"cluster {types['cluster']}, a {types['a']}, b {types['b']}")
-    large = size.where(F.col("n") > most).select("cluster", F.lit(None).cast(types["a"]).alias("a"), F.lit(None).cast(types["b"]).alias("b"))
-    return found.unionByName(large)
+    kinds = dict(edges.dtypes)
+    once = materialise(edges.where("a <> b").select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ways = materialise(once.select("cluster", F.col("a").alias("ref"), F.col("b").alias("other")).unionByName(once.select("cluster", F.col("b").alias("ref"), F.col("a").alias("other"))))
+    names = ways.select(F.xxhash64("cluster", "ref").alias("id"), "cluster", "ref").distinct()
+    part = connected_components(once.select(F.xxhash64("cluster", "a").alias("a"), F.xxhash64("cluster", "b").alias("b")))
+    root = names.join(part, names["id"] == part["node"]).groupBy("component").agg(F.min(F.struct("cluster", "ref")).alias("r")).select("r.*")
+    front = materialise(root.withColumn("parent", F.lit(None).cast(kinds["a"])))
+    seen, levels = front.select("cluster", "ref"), [front]
+    while True:
+        reached = front.join(ways, ["cluster", "ref"]).groupBy("cluster", F.col("other").alias("ref2")).agg(F.min("ref").alias("parent")).withColumnRenamed("ref2", "ref")
+        front = materialise(reached.join(seen, ["cluster", "ref"], "left_anti"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = materialise(seen.unionByName(front.select("cluster", "ref")))
+    tree = None
+    for level in levels[1:]:
+        rows = level.select("cluster", F.least("ref", "parent").alias("a"), F.greatest("ref", "parent").alias("b"))
+        tree = rows if tree is None else tree.unionByName(rows)
+    if tree is None:
+        return once.limit(0)
+    rest = once.join(tree, ["cluster", "a", "b"], "left_anti").withColumn("number", F.xxhash64("cluster", "a", "b"))
+    ends = rest.select("cluster", F.col("a").alias("ref"), "number").unionByName(rest.select("cluster", F.col("b").alias("ref"), "number"))
+    own = materialise(ends.groupBy("cluster", "ref").agg(F.bit_xor("number").alias("own")))
+    cut, above = None, None
+    for level in reversed(levels[1:]):
+        held = level.join(own, ["cluster", "ref"], "left").withColumn("left", F.coalesce("own", F.lit(0).cast("long")))
+        if above is not None:
+            held = held.join(above, ["cluster", "ref"], "left").withColumn("left", F.col("left").bitwiseXOR(F.coalesce("below", F.lit(0).cast("long"))))
+        held = materialise(held.select("cluster", "ref", "parent", "left"))
+        found = held.where("left = 0").select("cluster", F.least("ref", "parent").alias("a"), F.greatest("ref", "parent").alias("b"))
+        cut = found if cut is None else cut.unionByName(found)
+        above = held.groupBy("cluster", F.col("parent").alias("ref")).agg(F.bit_xor("left").alias("below"))
+    return cut
 
 
 def cosine(a: Column, b: Column) -> Column:

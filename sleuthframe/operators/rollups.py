@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sleuthframe.operators import geo
+from sleuthframe.plans.lineage import materialise
 
 UNASSESSED = "unassessed"
 
@@ -106,18 +107,22 @@ def nearest_rank(values: DataFrame, key: str, value: str, fractions: dict[str, f
 def rank_of(values: DataFrame, value: str) -> DataFrame:
     """``values`` with ``rank``: the fraction of all values strictly below.
 
-    Counts are taken by value first, so the window runs over different values.
+    Counts are taken by value first, and by ranges of values; only a sum a range
+    meets in one task.
     """
-    counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ordered = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy())
-    return values.join(counts.select(value, (ordered / total).alias("rank")), value)
+    counts = materialise(values.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    base = base.select("_part", F.coalesce(F.sum("_sum").over(before().orderBy("_part")), F.lit(0)).alias("_base"), F.sum("_sum").over(Window.partitionBy()).alias("_total"))  # a row a range
+    here = counts.withColumn("_here", F.coalesce(F.sum("_n").over(before("_part").orderBy(value)), F.lit(0))).join(F.broadcast(base), "_part")
+    return values.join(here.select(value, ((F.col("_base") + F.col("_here")) / F.col("_total")).alias("rank")), value)
 
 
 def nested(parent: DataFrame, child: DataFrame, key: str, order: list[Column], fields: list[str], name: str, most: int | None = None) -> DataFrame:
     """``parent`` with an ordered array of its child rows (empty if none), at most ``most`` of them."""
+    if most is not None:  # before they are gathered
+        child = child.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*order, *fields))).where(F.col("_at") <= most).drop("_at")
     sort = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*fields).alias("v"))
     lists = child.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(sort)), lambda s: s["v"]).alias(name))
     joined = parent.join(lists, key, "left")
-    kept = F.coalesce(name, F.array().cast(joined.schema[name].dataType))
-    return joined.withColumn(name, kept if most is None else F.slice(kept, 1, most))
+    return joined.withColumn(name, F.coalesce(name, F.array().cast(joined.schema[name].dataType)))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sleuthframe.plans.lineage import materialise
+
 #: Least number of events that a span's expectation counts as.
 EXPECTED_FLOOR = 0.5
 
@@ -39,9 +41,26 @@ def leave_one_out(series: DataFrame, key: str, value: str) -> DataFrame:
     return series.join(sums, key).withColumn("expected", F.try_divide(F.col("_sum") - F.col(value), F.col("_n") - 1)).drop("_sum", "_n")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their place, from 1, in an order over all of them.
+
+    Rows are dealt to ranges of the order and counted there; each range goes on
+    from the sum of those before it. Only the counts, one a range, meet in a task.
+    """
+    part = materialise(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")  # a row a range
+    here = part.withColumn("_here", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return here.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_here")).drop("_part", "_base", "_here")
+
+
 def false_discovery(tests: DataFrame, p: str, ties: list[str], alpha: float = 0.05, keys: list[str] | None = None) -> DataFrame:
     """``tests`` with ``kept``: all ranks up to the greatest k with p <= alpha k / n, by keys. Nulls aren't tests."""
-    keys = keys or []
+    if not keys:
+        ranked = materialise(numbered(tests, [F.asc_nulls_last(p), *[F.col(t) for t in ties]], "_rank"))
+        n = F.count(p).alias("_n")
+        last = ranked.join(F.broadcast(ranked.agg(n))).agg(F.max(F.when(F.col(p) <= alpha * F.col("_rank") / F.col("_n"), F.col("_rank"))).alias("_last"))
+        return ranked.join(F.broadcast(last)).withColumn("kept", F.coalesce((F.col("_rank") <= F.col("_last")) & F.col(p).isNotNull(), F.lit(False))).drop("_rank", "_last")  # one row
     order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(p), *ties)
     whole = Window.partitionBy(*keys)
     ranked = tests.withColumn("_rank", F.row_number().over(order)).withColumn("_n", F.count(p).over(whole))
@@ -75,8 +94,8 @@ def decay(age_days: Column, half_life: float = 30.0, least: float = 0.25) -> Col
 def allocate(existing: DataFrame, new: DataFrame, prefix: str, order: list[str], width: int = 7) -> DataFrame:
     """``new`` with ``code``: prefix and padded numbers that go on from the greatest there is (``code`` of ``existing``)."""
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("code", r"(\d+)$", 1).try_cast("bigint")), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    return numbered.join(F.broadcast(top)).withColumn("code", F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_n")).cast("string"), width, "0"))).drop("_n", "_top")
+    rows = numbered(new, [F.col(c) for c in order], "_n")
+    return rows.join(F.broadcast(top)).withColumn("code", F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_n")).cast("string"), width, "0"))).drop("_n", "_top")
 
 
 def replayed(events: DataFrame, until: Column | None = None) -> DataFrame:

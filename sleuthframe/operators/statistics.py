@@ -15,6 +15,7 @@ from sleuthframe.functions import distributions as dist
 from sleuthframe.operators import geo
 from sleuthframe.operators.components import connected_components
 from sleuthframe.operators.sequences import false_discovery, leave_one_out
+from sleuthframe.plans.lineage import materialise
 
 ALPHA = 0.05
 #: Shuffles of a change-point test, and their seed.
@@ -140,16 +141,18 @@ def dense_regions(points: DataFrame, km: float = 75.0, least: int = 5) -> DataFr
     found by grid cell, clusters by contraction.
     """
     located = points.where("lat is not null and lng is not null").select("ref", "lat", "lng")
-    near = geo.within_km(located, located, km)
-    core = near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a")
-    links = near.join(core, "a", "left_semi")
+    places = materialise(located.groupBy("lat", "lng").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("n")))  # points in one place have the same neighbours
+    near = materialise(geo.within_km(places, places, km).join(places.select(F.col("ref").alias("b"), "n"), "b"))
+    core = materialise(near.groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a"))
+    links = near.select("a", "b").join(core, "a", "left_semi")
     inner = links.join(core.select(F.col("a").alias("b")), "b", "left_semi")
     found = connected_components(inner)
     alone = core.join(found.select(F.col("node").alias("a")), "a", "left_anti").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    cores = found.unionByName(alone)
-    border = links.select("a", "b").join(cores.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("ref")).agg(F.min("component").alias("near_cluster"))
-    named = located.select("ref").join(cores.select(F.col("node").alias("ref"), "component"), "ref", "left").join(border, "ref", "left")
-    return named.select("ref", F.coalesce("component", "near_cluster").alias("cluster"), F.col("component").isNotNull().alias("core"))
+    cores = materialise(found.unionByName(alone))
+    border = links.join(cores.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("ref")).agg(F.min("component").alias("near_cluster"))
+    named = places.join(cores.select(F.col("node").alias("ref"), "component"), "ref", "left").join(border, "ref", "left")
+    named = named.select("lat", "lng", F.coalesce("component", "near_cluster").alias("cluster"), F.col("component").isNotNull().alias("core"))
+    return located.join(named, ["lat", "lng"]).select("ref", "cluster", "core")
 
 
 def region_summaries(points: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,9 +175,10 @@ def hot_spots(points: DataFrame, value: str, km: float, least: int = 8) -> DataF
     """
     located = points.where(F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col(value).isNotNull()).select("ref", "lat", "lng", F.col(value).cast("double").alias("value"))
     whole = located.agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("s"))
-    near = geo.within_km(located, located, km).join(located.select(F.col("ref").alias("b"), F.col("value").alias("v")), "b")
-    sums = near.groupBy(F.col("a").alias("ref")).agg(F.count(F.lit(1)).alias("w"), F.sum("v").alias("wx"))
-    rows = located.select("ref", "value").join(sums, "ref").join(F.broadcast(whole))  # one row
+    places = materialise(located.groupBy("lat", "lng").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("c"), F.sum("value").alias("v")))  # points in one place have the same neighbours
+    near = geo.within_km(places, places, km).join(places.select(F.col("ref").alias("b"), "c", "v"), "b")
+    sums = near.groupBy(F.col("a").alias("ref")).agg(F.sum("c").alias("w"), F.sum("v").alias("wx")).join(places.select("ref", "lat", "lng"), "ref").drop("ref")
+    rows = located.join(sums, ["lat", "lng"]).drop("lat", "lng").join(F.broadcast(whole))  # one row
     below = F.col("s") * F.sqrt(F.greatest(F.lit(1e-12), (F.col("n") * F.col("w") - F.col("w") * F.col("w")) / (F.col("n") - 1)))
     z = F.when((F.col("n") >= least) & (F.col("s") > 0), (F.col("wx") - F.col("mean") * F.col("w")) / below)
 
@@ -227,7 +231,7 @@ def anomalies(rows: DataFrame, features: list[str], least: int = 10, limit: floa
     kind = rows.schema["ref"].dataType.simpleString()
     if moments["n"] < least:
         return rows.where(F.lit(False)).select("ref", F.lit(0.0).alias("z"), F.lit(0.0).alias("isolation"), F.lit(False).alias("flagged"))
-    part = rows if moments["n"] <= most else rows.where(F.pmod(F.xxhash64("ref"), F.lit(1_000_000)) < int(1_000_000 * most / moments["n"]))
+    part = rows if moments["n"] <= most else rows.where(F.xxhash64("ref") <= F.lit((most << 64) // moments["n"] - (1 << 63)))  # a share of the 64-bit hashes
     sample = part.orderBy("ref").select(*features).toPandas().to_numpy(float)
     shared = rows.sparkSession.sparkContext.broadcast((isolation_forest(sample), _mean_path(min(256, len(sample)))))
     means = np.array([moments[f"m_{f}"] for f in features])

@@ -174,8 +174,8 @@ def alert_groups(spark, d):
 def suppressed_alerts(spark, d):
     alerts, _, _ = all_alerts(spark, d)
     rules = spark.sql(
-        """select * from values (1, 'assessment.elevated', null, timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', false, 'known noise here'), (2, 'assessment.elevated', '7', timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', false, 'cleared by analyst'),
-        (3, null, '7', timestamp_ntz'2001-01-01', timestamp_ntz'2001-12-31', false, 'too long a time'), (4, 'assessment.escalated', null, timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', true, 'revoked already') as t(id, rule, subject, created_at, expires_at, revoked, note)"""
+        """select id, rule, subject, expires_at, revoked from values (1, 'assessment.elevated', null, timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', false, 'known noise here'), (2, 'assessment.elevated', '7', timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', false, 'cleared by analyst'),
+        (3, null, '7', timestamp_ntz'2001-01-01', timestamp_ntz'2001-06-30', false, 'over by now'), (4, 'assessment.escalated', null, timestamp_ntz'2001-07-01', timestamp_ntz'2001-09-01', true, 'revoked already') as t(id, rule, subject, made, expires_at, revoked, note)"""
     )
     return alerting.suppressed(alerts, rules, F.lit("2001-08-02").cast("timestamp_ntz")).select("key", "rule", "suppressed_by")
 
@@ -199,17 +199,82 @@ def alert_upsert(spark, d):
 @query(
     w.sql(
         "assessments",
-        """WITH r AS (SELECT id AS key, CASE WHEN id % 2 = 0 THEN 'new' ELSE 'triaged' END AS from_state, CASE WHEN id % 3 = 0 THEN 'dismissed' WHEN id % 3 = 1 THEN 'closed' ELSE 'escalated' END AS to_state, CASE WHEN id % 5 = 0 THEN '' ELSE 'seen' END AS reason, CASE WHEN state = 'O' THEN 'new' WHEN state = 'F' THEN 'triaged' ELSE 'closed' END AS state FROM assessments)
-SELECT key, from_state, to_state, CASE WHEN state <> from_state THEN 'state has changed' WHEN from_state || '>' || to_state NOT IN ('new>triaged', 'new>dismissed', 'new>escalated', 'triaged>escalated', 'triaged>dismissed', 'triaged>closed') THEN 'no such move' WHEN to_state = 'dismissed' AND reason = '' THEN 'a dismissal needs a reason' END AS why FROM r""",
+        """WITH r AS (SELECT id AS key, ['open', 'acknowledged', 'investigating', 'resolved', 'dismissed'][id % 5 + 1] AS from_state, ['open', 'acknowledged', 'investigating', 'resolved', 'dismissed', 'lost'][id // 5 % 6 + 1] AS to_state, CASE WHEN id % 3 = 0 THEN 'seen' WHEN id % 3 = 1 THEN 'duplicate' END AS reason,
+ CASE WHEN id % 7 = 0 THEN 'open' ELSE ['open', 'acknowledged', 'investigating', 'resolved', 'dismissed'][id % 5 + 1] END AS state FROM assessments),
+m AS (SELECT unnest(['open>acknowledged', 'open>investigating', 'open>dismissed', 'acknowledged>investigating', 'acknowledged>dismissed', 'acknowledged>open', 'investigating>resolved', 'investigating>dismissed', 'investigating>acknowledged', 'resolved>investigating', 'resolved>open', 'dismissed>open', 'dismissed>investigating']) AS move)
+SELECT key, from_state, to_state, CASE WHEN to_state = 'lost' THEN 'no such state' WHEN state <> from_state THEN 'state has changed' WHEN from_state = to_state THEN 'nothing would change' WHEN from_state || '>' || to_state NOT IN (FROM m) THEN 'no such move'
+ WHEN to_state = 'dismissed' AND coalesce(reason, '') <> 'duplicate' THEN 'a dismissal needs a known reason' END AS why FROM r""",
     )
 )
 def state_transitions(spark, d):
     rows = w.assessments(spark, d).withColumn("key", F.col("id"))
-    wanted = rows.select("key", F.when(F.col("id") % 2 == 0, "new").otherwise("triaged").alias("from_state"), F.when(F.col("id") % 3 == 0, "dismissed").when(F.col("id") % 3 == 1, "closed").otherwise("escalated").alias("to_state"), F.when(F.col("id") % 5 == 0, "").otherwise("seen").alias("reason"))
-    state = rows.select("key", F.when(F.col("state") == "O", "new").when(F.col("state") == "F", "triaged").otherwise("closed").alias("state"))
+    states = F.array(*[F.lit(s) for s in (*alerting.ALERT_MOVES, "lost")])
+    at = lambda i: F.get(states, i.cast("int"))
+    wanted = rows.select("key", at(F.col("id") % 5).alias("from_state"), at(F.floor(F.col("id") / 5) % 6).alias("to_state"), F.when(F.col("id") % 3 == 0, "seen").when(F.col("id") % 3 == 1, "duplicate").alias("reason"))
+    state = rows.select("key", F.when(F.col("id") % 7 == 0, "open").otherwise(at(F.col("id") % 5)).alias("state"))
     return alerting.transitions(wanted, state).select("key", "from_state", "to_state", "why")
 
 
+@query(
+    w.sql(
+        "assessments",
+        """WITH r AS (SELECT id AS key, ['open', 'active', 'closed'][id % 3 + 1] AS from_state, ['open', 'active', 'closed'][id // 3 % 3 + 1] AS to_state FROM assessments)
+SELECT key, from_state, to_state, CASE WHEN from_state = to_state THEN 'nothing would change' WHEN from_state = 'closed' AND to_state = 'open' THEN 'no such move' END AS why FROM r""",
+    )
+)
+def case_transitions(spark, d):
+    """Moves of investigations: a closed one is opened again as active."""
+    states = F.array(*[F.lit(s) for s in alerting.CASE_MOVES])
+    rows = w.assessments(spark, d).select(F.col("id").alias("key"), F.get(states, (F.col("id") % 3).cast("int")).alias("from_state"), F.get(states, (F.floor(F.col("id") / 3) % 3).cast("int")).alias("to_state"), F.lit(None).cast("string").alias("reason"))
+    return alerting.transitions(rows, rows.select("key", F.col("from_state").alias("state")), alerting.CASE_MOVES).select("key", "from_state", "to_state", "why")
+
+
+def closed_alerts(spark, d):
+    """Assessments as alerts that analysts have closed."""
+    reasons = F.array(*[F.lit(r) for r in alerting.DISMISSALS])
+    state = F.when(F.col("id") % 3 == 0, "resolved").when(F.col("id") % 3 == 1, "dismissed").otherwise("open")
+    return w.assessments(spark, d).select(F.col("id").alias("key"), F.col("band").alias("rule"), state.alias("state"), F.when(F.col("id") % 3 == 1, F.get(reasons, (F.floor(F.col("id") / 3) % 5).cast("int"))).alias("reason"))
+
+
+@query(
+    w.sql(
+        "assessments",
+        """WITH c AS (SELECT band AS rule, id % 3 AS k, id % 3 = 1 AND id // 3 % 5 = 0 AS wrong FROM assessments)
+SELECT rule, count(*) FILTER (WHERE k = 0 OR wrong) AS n_judged, count(*) FILTER (WHERE wrong) AS n_wrong, count(*) FILTER (WHERE k = 1 AND NOT wrong) AS n_out_of_scope, round(count(*) FILTER (WHERE wrong) / count(*) FILTER (WHERE k = 0 OR wrong), 4) AS false_positive_rate FROM c GROUP BY 1""",
+    )
+)
+def rule_quality(spark, d):
+    """How often each rule was wrong; dismissals that only narrow the scope don't count against it."""
+    return rounded(alerting.rule_quality(closed_alerts(spark, d)), "false_positive_rate")
+
+
+def alert_queue(spark, d):
+    """Assessments as a queue with states, levels and people who work on them."""
+    states = F.array(*[F.lit(s) for s in alerting.ALERT_MOVES])
+    level = F.when(F.col("band") == "elevated", "high").when(F.col("band") == "notable", "medium").otherwise("low")
+    return w.assessments(spark, d).select(F.col("id").alias("key"), F.get(states, (F.col("id") % 5).cast("int")).alias("state"), level.alias("level"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("analyst"), (F.col("subject") % 9).cast("string"))).alias("assignee"), F.array("band").alias("rules"), "score")
+
+
+QUEUE = """queue AS (SELECT id AS key, id % 5 AS s, CASE band WHEN 'elevated' THEN 'high' WHEN 'notable' THEN 'medium' ELSE 'low' END AS level, CASE WHEN id % 4 <> 0 THEN 'analyst' || (subject % 9) END AS assignee, band, score FROM assessments),
+l AS (SELECT 'open' AS listing, key FROM queue WHERE s < 3 UNION ALL SELECT 'mine', key FROM queue WHERE s < 3 AND assignee = 'analyst3' UNION ALL SELECT 'unassigned', key FROM queue WHERE s < 3 AND assignee IS NULL
+ UNION ALL SELECT 'high', key FROM queue WHERE s < 3 AND level = 'high' UNION ALL SELECT 'rule', key FROM queue WHERE s < 3 AND band = 'notable' UNION ALL SELECT 'closed', key FROM queue WHERE s >= 3)"""
+
+
+@query(w.sql("assessments", f"WITH {QUEUE} SELECT listing, key, count(*) OVER (PARTITION BY listing) AS total FROM l"))
+def queue_listings(spark, d):
+    """The six listings of the alert queue, each with its true number."""
+    queue, working = alert_queue(spark, d), ("open", "acknowledged", "investigating")
+    parts = {
+        "open": alerting.listed(queue, working), "mine": alerting.listed(queue, working, assignee="analyst3"), "unassigned": alerting.listed(queue, working, unassigned=True),
+        "high": alerting.listed(queue, working, level="high"), "rule": alerting.listed(queue, working, rule="notable"), "closed": alerting.listed(queue, ("resolved", "dismissed")),
+    }
+    out = None
+    for name, rows in parts.items():
+        rows = rows.select(F.lit(name).alias("listing"), "key", "total")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(w.sql("assessments", "SELECT subject, id, CASE WHEN total > 5 THEN 'truncated' ELSE 'complete' END AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY computed_at DESC, id) AS r, count(*) OVER (PARTITION BY subject) AS total FROM assessments) WHERE r <= 5"))
 def timeline_preview(spark, d):
     return alerting.preview(w.assessments(spark, d).withColumn("ts", F.col("computed_at")), "subject", 5).select("subject", "id", "coverage")

@@ -24,14 +24,14 @@ def query(sql: str | None = None):
     return put
 
 
-LINKS = "links AS (SELECT DISTINCT ref, other FROM (SELECT src AS ref, dst AS other FROM {0} UNION ALL SELECT dst, src FROM {0}) WHERE ref <> other)"
-#: Large transfers only: a sparser graph than all of them.
-LARGE = 100_000
-SPARSE = f"sparse AS (SELECT * FROM transfers WHERE amount > {LARGE})"
+LINKS = "links AS (SELECT DISTINCT ref, other FROM (SELECT a AS ref, b AS other FROM contacts UNION ALL SELECT b, a FROM contacts) WHERE ref <> other)"
+#: Searches begin at every row with an id divisible by this.
+EVERY = 20
 
 
-def sparse(spark, d):
-    return w.transfers(spark, d).where(F.col("amount") > LARGE)
+def met(spark, d):
+    """Contacts as edges."""
+    return w.contacts(spark, d).select(F.col("contact_id").alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def _pagerank_sql(rounds: int = 20) -> str:
@@ -47,59 +47,79 @@ def pagerank(spark, d):
     return graph.pagerank(w.accounts(spark, d), edges).withColumn("rank", F.round("rank", 6))
 
 
-@query(w.sql("transfers", "SELECT src AS ref, dst AS other, true AS outgoing, edge_id FROM transfers WHERE src < 5 UNION ALL SELECT dst, src, false, edge_id FROM transfers WHERE dst < 5"))
+@query(w.sql("transfers", "SELECT src AS ref, dst AS other, true AS outgoing, edge_id FROM transfers UNION ALL SELECT dst, src, false, edge_id FROM transfers"))
 def one_hop(spark, d):
-    return graph.neighbours(w.transfers(spark, d)).where("ref < 5")
+    return graph.neighbours(w.transfers(spark, d))
 
 
 @query(
     w.sql(
-        "accounts transfers",
-        f"""WITH {SPARSE}, {LINKS.format("sparse")}, h0 AS (SELECT ref AS seed, ref, 0 AS hops FROM accounts WHERE ref < 3),
+        "activity contacts",
+        f"""WITH {LINKS}, h0 AS (SELECT DISTINCT ref AS seed, ref, 0 AS hops FROM activity WHERE ref % {EVERY} = 0),
 h1 AS (SELECT DISTINCT seed, other AS ref FROM h0 JOIN links USING (ref)), h2 AS (SELECT DISTINCT seed, other AS ref FROM h1 JOIN links USING (ref)),
 u AS (SELECT * FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2)
 SELECT seed, ref, min(hops) AS hops FROM u GROUP BY 1, 2""",
     )
 )
 def k_hop(spark, d):
-    return graph.within_hops(w.accounts(spark, d).where("ref < 3"), sparse(spark, d), 2)
+    return graph.within_hops(w.activity(spark, d).where(F.col("ref") % EVERY == 0).select("ref").distinct(), met(spark, d), 2)
 
 
 @query(
     w.sql(
-        "transfers",
-        f"""WITH {SPARSE}, {LINKS.format("sparse")}, p AS (SELECT 0 AS a, ref, 0 AS hops FROM (SELECT DISTINCT ref FROM links WHERE ref = 0) UNION SELECT p.a, other, hops + 1 FROM p JOIN links l ON l.ref = p.ref WHERE hops < 4)
-SELECT a, ref AS b, min(hops) AS length FROM p WHERE ref IN (1, 2, 3, 7, 11) GROUP BY 1, 2""",
+        "contacts",
+        f"""WITH {LINKS}, p AS (SELECT ref AS a, ref, 0 AS hops FROM links WHERE ref % {EVERY} = 0 UNION SELECT p.a, other, hops + 1 FROM p JOIN links l ON l.ref = p.ref WHERE hops < 8)
+SELECT a, ref AS b, min(hops) AS length FROM p WHERE ref <> a GROUP BY 1, 2""",
         recursive=True,
     )
 )
 def shortest_path(spark, d):
-    pairs = spark.createDataFrame([(0, x) for x in (1, 2, 3, 7, 11)], "a long, b long")
-    found = graph.shortest_paths(pairs, sparse(spark, d), 4)
-    return found.select(F.col("a").cast("int").alias("a"), "b", "length")
+    """From every twentieth user to all others, at most eight steps."""
+    edges = met(spark, d)
+    people = edges.select(F.col("src").alias("ref")).union(edges.select("dst")).distinct()
+    pairs = people.where(F.col("ref") % EVERY == 0).select(F.col("ref").alias("a"), F.lit(1).alias("k")).join(people.select(F.col("ref").alias("b"), F.lit(1).alias("k")), "k").where("a <> b").drop("k")  # the stated queries against all
+    return graph.shortest_paths(pairs, edges, 8).select("a", "b", "length")
+
+
+def _cycles_sql(hops: int = 8) -> str:
+    parts = [
+        """WITH p AS (SELECT a.edge_id, b.edge_id AS next_id, a.src, a.dst, b.dst AS next_dst, a.amount, b.amount AS next_amount FROM transfers a JOIN transfers b ON b.src = a.dst AND b.edge_id <> a.edge_id
+ AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 7 * 86400000000 AND b.amount <= a.amount AND b.amount >= 0.85 * a.amount WHERE a.amount > 0)""",
+        "p2 AS (SELECT src AS origin, [src, dst, next_dst] AS seen, [edge_id, next_id] AS ids, next_id AS last, next_dst, amount AS fa, next_amount AS la, amount + next_amount AS total FROM p WHERE next_dst <> src AND next_dst <> dst)",
+    ]
+    for k in range(3, hops + 1):
+        parts.append(
+            f"""p{k} AS (SELECT origin, list_append(seen, p.next_dst) AS seen, list_append(ids, p.next_id) AS ids, p.next_id AS last, p.next_dst, fa, p.next_amount AS la, total + p.next_amount AS total
+ FROM (SELECT * FROM p{k - 1} WHERE next_dst <> origin{" AND NOT list_contains(seen[:-2], next_dst)" if k > 3 else ""}) q JOIN p ON p.edge_id = q.last WHERE NOT list_contains(ids, p.next_id))"""
+        )
+    closed = " UNION ALL ".join(f"SELECT list_sort(ids) AS cycle, {k} AS hops, total, la / fa AS retention FROM p{k} WHERE next_dst = origin" for k in range(3, hops + 1))
+    return w.sql("transfers", ",\n".join(parts) + f", c AS ({closed}) SELECT array_to_string(cycle, ',') AS cycle, hops, round(max(total), 2) AS total, round(max(retention), 4) AS retention FROM c GROUP BY 1, 2")
+
+
+@query(_cycles_sql())
+def funds_cycles(spark, d):
+    found = graph.funds_cycles(w.transfers(spark, d))
+    return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"), "hops", F.round("total", 2).alias("total"), F.round("retention", 4).alias("retention"))
 
 
 @query(
     w.sql(
         "transfers",
-        """WITH p AS (SELECT a.edge_id, b.edge_id AS next_id, a.src, a.dst, b.dst AS next_dst, a.amount, b.amount AS next_amount FROM transfers a JOIN transfers b ON b.src = a.dst AND b.edge_id <> a.edge_id
- AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 7 * 86400000000 AND b.amount <= a.amount AND b.amount >= 0.85 * a.amount WHERE a.amount > 0),
-p2 AS (SELECT src AS origin, dst AS n1, next_dst AS n2, edge_id AS e1, next_id AS e2, next_id AS last, amount AS fa, amount + next_amount AS total FROM p WHERE next_dst <> src AND next_dst <> dst),
-p3 AS (SELECT origin, n1, n2, p.next_dst AS n3, e1, e2, p.next_id AS e3, fa, p.next_amount AS la, total + p.next_amount AS total FROM p2 JOIN p ON p.edge_id = p2.last WHERE p.next_id NOT IN (e1, e2)),
-p4 AS (SELECT origin, p.next_dst AS n4, e1, e2, e3, p.next_id AS e4, fa, p.next_amount AS la, total + p.next_amount AS total FROM p3 JOIN p ON p.edge_id = p3.e3 WHERE p.next_id NOT IN (e1, e2, e3) AND n3 NOT IN (origin, n1, n2)),
-c AS (SELECT list_sort([e1, e2, e3]) AS cycle, 3 AS hops, total, la / fa AS retention FROM p3 WHERE n3 = origin UNION ALL SELECT list_sort([e1, e2, e3, e4]), 4, total, la / fa FROM p4 WHERE n4 = origin)
-SELECT array_to_string(cycle, ',') AS cycle, hops, round(max(total), 2) AS total, round(max(retention), 4) AS retention FROM c GROUP BY 1, 2""",
+        """WITH t AS (SELECT edge_id, src, dst, amount FROM transfers WHERE amount > 0), p AS (SELECT a.edge_id AS e1, b.edge_id AS e2, a.src AS origin, b.dst AS at, a.amount AS fa, b.amount AS la, a.amount + b.amount AS total
+ FROM t a JOIN t b ON b.src = a.dst AND b.edge_id <> a.edge_id AND b.amount <= a.amount AND b.amount >= 0.99 * a.amount)
+SELECT concat_ws(',', p.e1, p.e2, c.edge_id) AS trail, 3 AS length, round(total + c.amount, 2) AS total, round(c.amount / fa, 4) AS retention FROM p JOIN t c ON c.src = p.at AND c.dst = p.origin AND c.edge_id NOT IN (e1, e2) AND c.amount <= la AND c.amount >= 0.99 * la""",
     )
 )
-def funds_cycles(spark, d):
-    found = graph.funds_cycles(w.transfers(spark, d))
-    return found.select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ",").alias("cycle"), "hops", F.round("total", 2).alias("total"), F.round("retention", 4).alias("retention"))
+def closed_trails(spark, d):
+    """Trails of three transfers back to where they began, at any time, each passing on 99 % or more of the one before."""
+    found = graph.closed_trails(w.transfers(spark, d), 3, 3, 0.99)
+    return found.select(F.array_join(F.transform("trail", lambda x: x.cast("string")), ",").alias("trail"), "length", F.round("total", 2).alias("total"), F.round("retention", 4).alias("retention"))
 
 
 @query(
     w.sql(
-        "accounts transfers",
-        f"""WITH {SPARSE}, {LINKS.format("sparse")}, s AS (SELECT ref, balance / 100 AS carried FROM accounts WHERE ref < 2),
+        "activity contacts",
+        f"""WITH {LINKS}, s AS (SELECT DISTINCT ref, CAST(ref % 97 AS DOUBLE) AS carried FROM activity WHERE ref % {EVERY} = 0),
 h1 AS (SELECT other AS ref, sum(carried / 1 * 0.6) AS delta, max(carried / 1 * 0.6) AS carried FROM s JOIN links USING (ref) WHERE other NOT IN (SELECT ref FROM s) GROUP BY 1),
 h2 AS (SELECT other AS ref, sum(carried / 2 * 0.6) AS delta, max(carried / 2 * 0.6) AS carried FROM h1 JOIN links USING (ref) WHERE other NOT IN (SELECT ref FROM s UNION SELECT ref FROM h1) GROUP BY 1),
 h3 AS (SELECT other AS ref, sum(carried / 3 * 0.6) AS delta, max(carried / 3 * 0.6) AS carried FROM h2 JOIN links USING (ref) WHERE other NOT IN (SELECT ref FROM s UNION SELECT ref FROM h1 UNION SELECT ref FROM h2) GROUP BY 1),
@@ -108,33 +128,41 @@ SELECT ref, hops, round(delta, 6) AS delta, round(least(100.0, delta), 1) AS ris
     )
 )
 def risk_propagation(spark, d):
-    seeds = w.accounts(spark, d).where("ref < 2").select("ref", (F.col("balance") / 100).alias("score"))
-    return graph.propagate(seeds, sparse(spark, d)).withColumn("delta", F.round("delta", 6))
-
-
-@query(
-    w.sql(
-        "transfers",
-        """WITH m AS (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4),
-h1 AS (SELECT * FROM (SELECT src AS subject, dst AS spot, amount AS fa, amount, ts AS fts, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m WHERE src < 10) WHERE r = 1 AND spot <> subject),
-h2 AS (SELECT * FROM (SELECT subject, m.dst AS spot, fa, m.amount, m.amount / fa AS carried, row_number() OVER (PARTITION BY subject, m.dst ORDER BY m.amount / fa DESC, edge_id) AS r FROM h1 JOIN m ON m.src = h1.spot
- WHERE m.amount <= h1.amount AND m.amount >= 0.8 * h1.amount AND m.amount >= 0.55 * fa AND abs(date_diff('day', fts, m.ts)) <= 30) x WHERE r = 1 AND spot <> subject AND NOT EXISTS (SELECT 1 FROM h1 WHERE h1.subject = x.subject AND h1.spot = x.spot))
-SELECT subject, spot AS ref, 1 AS hops, round(carried, 4) AS carried, fa AS first_amount FROM h1 UNION ALL SELECT subject, spot, 2, round(carried, 4), fa FROM h2""",
-    )
-)
+    seeds = w.activity(spark, d).where(F.col("ref") % EVERY == 0).select("ref", (F.col("ref") % 97).cast("double").alias("score")).distinct()
+    return graph.propagate(seeds, met(spark, d)).withColumn("delta", F.round("delta", 6))
+
+
+def _reach_sql(hops: int = 4) -> str:
+    parts = [
+        "WITH m AS MATERIALIZED (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4)",
+        "h1 AS MATERIALIZED (SELECT * FROM (SELECT src AS subject, dst AS spot, amount AS fa, amount, ts AS fts, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m) WHERE r = 1 AND spot <> subject)",
+    ]
+    for k in range(2, hops + 1):
+        known = " ".join(f"AND NOT EXISTS (SELECT 1 FROM h{j} WHERE h{j}.subject = x.subject AND h{j}.spot = x.spot)" for j in range(1, k))
+        parts.append(
+            f"""h{k} AS MATERIALIZED (SELECT * FROM (SELECT subject, m.dst AS spot, fa, m.amount, fts, m.amount / fa AS carried, row_number() OVER (PARTITION BY subject, m.dst ORDER BY m.amount / fa DESC, edge_id) AS r FROM h{k - 1} h JOIN m ON m.src = h.spot
+ WHERE m.amount <= h.amount AND m.amount >= 0.8 * h.amount AND m.amount >= 0.55 * fa AND abs(date_diff('day', fts, m.ts)) <= 30) x WHERE r = 1 AND spot <> subject {known})"""
+        )
+    rows = " UNION ALL ".join(f"SELECT subject, spot AS ref, {k} AS hops, round(carried, 4) AS carried, fa AS first_amount FROM h{k}" for k in range(1, hops + 1))
+    return w.sql("transfers", ",\n".join(parts) + " " + rows)
+
+
+@query(_reach_sql())
 def forward_reach(spark, d):
-    subjects = w.accounts(spark, d).where("ref < 10").select(F.col("ref").alias("subject"), "ref")
-    return graph.forward_reach(subjects, w.transfers(spark, d), hops=2).withColumn("carried", F.round("carried", 4))
+    """Where every account's money goes, up to four hops."""
+    subjects = w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref")
+    return graph.forward_reach(subjects, w.transfers(spark, d)).withColumn("carried", F.round("carried", 4))
 
 
-COMPONENTS = """e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM transfers WHERE amount > 104500 AND src <> dst),
+COMPONENTS = """e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM transfers WHERE src <> dst),
 n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c AS (SELECT x AS node, x AS component FROM n UNION SELECT n.y, c.component FROM c JOIN n ON n.x = c.node)"""
 
 
-@query(w.sql("transfers", f"WITH {COMPONENTS} SELECT node, min(component) AS component FROM c GROUP BY 1", recursive=True))
+@query(w.sql("accounts transfers", f"WITH {COMPONENTS} SELECT ref AS node, coalesce(min(component), ref) AS component FROM accounts LEFT JOIN c ON c.node = ref GROUP BY ref", recursive=True))
 def transfer_components(spark, d):
-    """Connected components over the largest transfers."""
-    return connected_components(w.transfers(spark, d).where("amount > 104500").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    """Connected components of all accounts; one without transfers is a component of its own."""
+    found = connected_components(w.transfers(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return w.accounts(spark, d).select(F.col("ref").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 @query()
@@ -146,15 +174,57 @@ def louvain_communities(spark, d):
 
 @query()
 def betweenness(spark, d):
-    edges = sparse(spark, d)
-    return graph.betweenness(edges, edges.select(F.col("src").alias("ref")).union(edges.select("dst"))).withColumn("score", F.round("score", 6))
+    """Betweenness of users by the shortest paths from every twentieth one."""
+    edges = met(spark, d)
+    sources = edges.select(F.col("src").alias("ref")).union(edges.select("dst")).where(F.col("ref") % EVERY == 0)
+    return graph.betweenness(edges, sources).withColumn("score", F.round("score", 6))
+
+
+def thinned(spark, d):
+    """Orders and the parts they hold, of which some hang on one order alone: a graph with bridges."""
+    return table(spark, d, "lineitem").select(F.lit(0).alias("cluster"), F.col("l_orderkey").alias("a"), (-F.col("l_partkey") - 1).alias("b"))
+
+
+@query(
+    "WITH e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem), o AS (SELECT a FROM e GROUP BY 1 HAVING count(*) = 1), p AS (SELECT b FROM e GROUP BY 1 HAVING count(*) = 1) SELECT count(*) AS n_leaves FROM e WHERE a IN (FROM o) OR b IN (FROM p)"
+)
+def leaf_bridges(spark, d):
+    """Bridges to an order or part that hangs on one link."""
+    edges = thinned(spark, d)
+    found = graph.bridges(edges)
+    ends = edges.select("a", "b").distinct()
+    one = lambda c: ends.groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(one("a"), "a").join(one("b"), "b").where("n_a = 1 or n_b = 1").agg(F.count(F.lit(1)).alias("n_leaves"))
 
 
 @query()
 def bridge_links(spark, d):
-    edges = w.transfers(spark, d).where("amount > 104500").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    found = connected_components(edges)
-    return graph.bridges(edges.join(found, edges["a"] == found["node"]).select(F.col("component").alias("cluster"), "a", "b"))
+    """All bridges of the graph of orders and parts."""
+    return graph.bridges(thinned(spark, d)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+
+@query(
+    w.sql(
+        "accounts transfers",
+        """WITH top AS (SELECT ref FROM accounts WHERE balance > 0 ORDER BY balance DESC, ref LIMIT 25) SELECT edge_id, src, dst FROM transfers WHERE src IN (FROM top) OR dst IN (FROM top) ORDER BY amount DESC, edge_id LIMIT 400""",
+    )
+)
+def overview_graph(spark, d):
+    """The 25 strongest accounts' largest 400 edges."""
+    return graph.overview(w.accounts(spark, d).select("ref", F.col("balance").alias("score")), w.transfers(spark, d)).select("edge_id", "src", "dst")
+
+
+@query(
+    w.sql(
+        "accounts transfers contacts",
+        """SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, sum(amount) AS weight FROM transfers WHERE amount > 0 GROUP BY 1, 2 UNION ALL SELECT a, b, 3.0 * count(*) FROM (SELECT a, b FROM contacts UNION ALL SELECT b, a FROM contacts) GROUP BY 1, 2""",
+    )
+)
+def projected_edges(spark, d):
+    """Directed money weighed by amount and undirected contacts weighed by 3, both ways, as one projection's edges."""
+    money = w.transfers(spark, d).where("amount > 0").select("src", "dst", F.col("amount").cast("double").alias("weight"))
+    found = graph.projection([(money, None, True), (w.contacts(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst")), 3.0, False)])
+    return found
 
 
 @query(
@@ -169,28 +239,32 @@ def similar_vectors(spark, d):
 
 @query()
 def walk_similarity(spark, d):
-    """Accounts alike by the company they keep: seeded walks, skip-gram vectors, cosine."""
+    """Users alike by the company they keep: seeded walks, skip-gram vectors, cosine."""
     from pyspark.ml.feature import Word2Vec
 
-    walks = graph.random_walks(sparse(spark, d)).orderBy("walk")
-    model = Word2Vec(vectorSize=64, minCount=1, maxIter=5, seed=42, numPartitions=1, inputCol="path", outputCol="v").fit(walks)
+    walks = graph.random_walks(met(spark, d))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    model = Word2Vec(vectorSize=64, minCount=1, maxIter=5, seed=42, numPartitions=parts, inputCol="path", outputCol="v").fit(walks)
     rows = model.getVectors()
     from pyspark.ml.functions import vector_to_array
 
     vectors = rows.select(F.col("word").cast("long").alias("ref"), vector_to_array("vector").alias("vector"))
-    return graph.most_similar(vectors, vectors.where("ref < 5")).select("ref", "other", F.round("similarity", 4).alias("similarity"), "rank")
+    return graph.most_similar(vectors, vectors.where(F.col("ref") % EVERY == 0)).select("ref", "other", F.round("similarity", 4).alias("similarity"), "rank")
 
 
 @query(
     w.sql(
-        "transfers activity",
-        """WITH u AS (SELECT 'transfer' AS kind, edge_id AS id, ts FROM transfers WHERE src = 7 OR dst = 7 UNION ALL SELECT 'event', event_id, ts FROM activity WHERE ref = 7)
-SELECT kind, id, ts FROM u ORDER BY ts DESC, kind, id LIMIT 200""",
+        "contacts activity",
+        f"""WITH u AS (SELECT 'contact' AS kind, a AS ref, contact_id AS id, ts FROM contacts WHERE a % {EVERY} = 0 UNION ALL SELECT 'contact', b, contact_id, ts FROM contacts WHERE b % {EVERY} = 0 AND b <> a UNION ALL SELECT 'event', ref, event_id, ts FROM activity WHERE ref % {EVERY} = 0)
+SELECT ref, kind, id, ts FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY ts DESC, kind, id) AS r FROM u) WHERE r <= 200""",
     )
 )
 def entity_timeline(spark, d):
-    money = w.transfers(spark, d).where("src = 7 or dst = 7").select(F.lit("transfer").alias("kind"), F.col("edge_id").alias("id"), "ts")
-    return money.unionByName(w.activity(spark, d).where("ref = 7").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "ts")).orderBy(F.desc("ts"), "kind", "id").limit(200)
+    """The newest 200 entries of every twentieth user's timeline."""
+    calls = w.contacts(spark, d).select(F.explode(F.array_distinct(F.array("a", "b"))).alias("ref"), F.lit("contact").alias("kind"), F.col("contact_id").alias("id"), "ts")
+    rows = calls.unionByName(w.activity(spark, d).select("ref", F.lit("event").alias("kind"), F.col("event_id").alias("id"), "ts")).where(F.col("ref") % EVERY == 0)
+    order = w.Window.partitionBy("ref").orderBy(F.desc("ts"), "kind", "id")
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= 200").select("ref", "kind", "id", "ts")
 
 
 @query("SELECT p_partkey AS ref, p_name AS name FROM part WHERE list_min(list_transform(string_split(lower(p_name), ' '), lambda x: levenshtein(x, 'smal'))) <= 2 AND list_min(list_transform(string_split(lower(p_name), ' '), lambda x: levenshtein(x, 'ring'))) <= 2")

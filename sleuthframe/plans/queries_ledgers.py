@@ -59,7 +59,7 @@ def band_spread(spark, d):
         """WITH l AS (SELECT max(ts) AS upto FROM activity),
 recent AS (SELECT lane, count(*) AS n_recent, count(*) FILTER (WHERE value < 5) AS n_failed FROM activity, l WHERE ts > upto - INTERVAL 24 HOUR GROUP BY 1),
 ever AS (SELECT lane, count(*) AS n_ever, max(ts) AS last_ts FROM activity GROUP BY 1)
-SELECT ever.lane, n_ever, CAST(epoch(last_ts) AS BIGINT) AS last_seen, coalesce(n_recent, 0) AS n_recent, coalesce(n_failed, 0) AS n_failed,
+SELECT ever.lane, n_ever, CAST(floor(epoch(last_ts)) AS BIGINT) AS last_seen, coalesce(n_recent, 0) AS n_recent, coalesce(n_failed, 0) AS n_failed,
  CASE WHEN n_recent > 0 THEN round(n_failed / n_recent, 4) END AS failed_share FROM ever LEFT JOIN recent ON ever.lane = recent.lane""",
     )
 )

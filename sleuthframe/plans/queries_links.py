@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sleuthframe.operators import correlation as c
+from sleuthframe.operators import graph
 from sleuthframe.operators import resolution as r
 from sleuthframe.plans import world as w
+from sleuthframe.plans.lineage import materialise
 from sleuthframe.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -29,30 +31,30 @@ def rounded(df, *names, digits: int = 4):
 
 
 def partners(spark, d):
-    """Each account's counterparties in large transfers."""
-    return w.transfers(spark, d).where("amount > 100000 and src <> dst").select(F.col("src").alias("subject"), F.col("dst").alias("key"))
+    """Each customer's counterparties: the parts that they buy."""
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("subject"))
+    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("key")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("subject", "key")
 
 
-OWNED = "owned AS (SELECT DISTINCT src AS subject, dst AS key FROM transfers WHERE amount > 100000 AND src <> dst)"
-SIZES = "sizes AS (SELECT key, count(*) AS n FROM owned GROUP BY 1), g AS (SELECT count(*)::DOUBLE AS p FROM supplier)"
+OWNED = "owned AS (SELECT DISTINCT o_custkey AS subject, l_partkey AS key FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+SIZES = "sizes AS (SELECT key, count(*) AS n FROM owned GROUP BY 1), g AS (SELECT count(*)::DOUBLE AS p FROM customer)"
 RARITY = "CASE WHEN n < 2 OR n >= p THEN 0 ELSE ln(p / n) / ln(p) END"
 
 
-@query(w.sql("transfers", f"WITH {OWNED}, {SIZES} SELECT x.subject AS a, y.subject AS b, count(*) AS n_keys FROM owned x JOIN owned y ON x.key = y.key AND x.subject < y.subject JOIN sizes s ON s.key = x.key WHERE n BETWEEN 2 AND 250 GROUP BY 1, 2"))
+@query(w.sql("nations", f"WITH {OWNED}, {SIZES} SELECT x.subject AS a, y.subject AS b, count(*) AS n_keys FROM owned x JOIN owned y ON x.key = y.key AND x.subject < y.subject JOIN sizes s ON s.key = x.key WHERE n BETWEEN 2 AND 250 GROUP BY 1, 2"))
 def candidate_pairs(spark, d):
     return c.candidates(partners(spark, d), c.FAN_OUT)[0]
 
 
-@query(w.sql("transfers", f"WITH {OWNED}, {SIZES} SELECT key, n, round({RARITY}, 6) AS rarity FROM sizes, g"))
+@query(w.sql("nations", f"WITH {OWNED}, {SIZES} SELECT key, n, round({RARITY}, 6) AS rarity FROM sizes, g"))
 def rarity_weights(spark, d):
-    population = table(spark, d, "supplier").count()
+    population = table(spark, d, "customer").count()
     return c.key_sizes(partners(spark, d)).select("key", "n", F.round(c.rarity(F.col("n"), F.lit(float(population))), 6).alias("rarity"))
 
 
 def counterparty_lift(spark, d):
-    rows = partners(spark, d)
-    sizes, population = c.key_sizes(rows), table(spark, d, "supplier").count()
-    return c.lift(c.shared_rarity(c.candidates(rows)[0], rows, sizes, population), sizes, population)
+    rows, population = materialise(partners(spark, d).distinct()), table(spark, d, "customer").count()
+    return c.lift(c.shared_rarity(rows, population), rows, population)
 
 
 LIFT = f"""{OWNED}, {SIZES}, r AS (SELECT key, n, {RARITY} AS weight FROM sizes, g), k AS (SELECT subject, count(*) AS n FROM owned GROUP BY 1), m AS (SELECT count(*) AS d, avg(weight) AS mean FROM r),
@@ -60,7 +62,7 @@ o AS (SELECT x.subject AS a, y.subject AS b, count(*) AS shared, sum(weight) AS
 l AS (SELECT o.*, ka.n AS n_a, kb.n AS n_b, CASE WHEN ka.n * kb.n / d * mean > 0 THEN observed / (ka.n * kb.n / d * mean) END AS lift FROM o JOIN k ka ON ka.subject = a JOIN k kb ON kb.subject = b, m)"""
 
 
-@query(w.sql("transfers", f"WITH {LIFT} SELECT a, b, shared, round(observed, 5) AS observed, round(lift, 5) AS lift, round(CASE WHEN lift <= 3 THEN 0.0 WHEN lift >= 8 THEN 1.0 ELSE (lift - 3) / 5 END, 5) AS raw FROM l"))
+@query(w.sql("nations", f"WITH {LIFT} SELECT a, b, shared, round(observed, 5) AS observed, round(lift, 5) AS lift, round(CASE WHEN lift <= 3 THEN 0.0 WHEN lift >= 8 THEN 1.0 ELSE (lift - 3) / 5 END, 5) AS raw FROM l"))
 def shared_counterparties(spark, d):
     found = counterparty_lift(spark, d)
     return rounded(found.select("a", "b", "shared", "observed", "lift", c.slope(F.col("lift"), 3, 8).alias("raw")), "observed", "lift", "raw", digits=5)
@@ -82,51 +84,145 @@ SELECT a, b, shared, round(observed, 5) AS observed, round(CASE WHEN observed <=
 def co_attendance(spark, d):
     rows = slots(spark, d)
     population = w.activity(spark, d).select("ref").distinct().count()
-    found = c.shared_rarity(c.candidates(rows)[0], rows, c.key_sizes(rows), population)
+    found = c.shared_rarity(rows, population)
     return rounded(found.select("a", "b", "shared", "observed", c.slope(F.col("observed"), 0.6, 2.0).alias("raw")), "observed", "raw", digits=5)
 
 
+MET = "met AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM contacts WHERE a <> b GROUP BY 1, 2)"
+
+
 @query(
     w.sql(
-        "activity",
-        """WITH e AS (SELECT ref, epoch_us(ts) AS us FROM activity WHERE ref < 12), n AS (SELECT ref, count(*) AS n FROM e GROUP BY 1), g AS (SELECT max(us) - min(us) AS span FROM e),
-p AS (SELECT x.ref AS a, y.ref AS b, x.n AS n_a, y.n AS n_b FROM n x JOIN n y ON x.ref < y.ref WHERE x.n >= 3 AND y.n >= 3), h AS (SELECT p.a, p.b, count(*) AS hits FROM p JOIN e ON e.ref = p.a WHERE EXISTS (SELECT 1 FROM e f WHERE f.ref = p.b AND abs(f.us - e.us) <= 7200000000) GROUP BY 1, 2)
-SELECT p.a, p.b, n_a, n_b, coalesce(hits, 0) AS hits, round(least(n_a, n_a * n_b * 2 * 7200000000 / span), 4) AS expected FROM p LEFT JOIN h ON h.a = p.a AND h.b = p.b, g""",
+        "activity contacts",
+        f"""WITH {MET}, e AS (SELECT ref, epoch_us(ts) AS us, event_id FROM activity), n AS (SELECT ref, count(*) AS n FROM e GROUP BY 1), g AS (SELECT max(us) - min(us) AS span FROM e),
+p AS (SELECT met.a, met.b, x.n AS n_a, y.n AS n_b FROM met JOIN n x ON x.ref = met.a JOIN n y ON y.ref = met.b WHERE x.n >= 3 AND y.n >= 3), h AS (SELECT p.a, p.b, count(DISTINCT e.event_id) AS hits FROM p JOIN e ON e.ref = p.a JOIN e f ON f.ref = p.b AND abs(f.us - e.us) <= 7200000000 GROUP BY 1, 2)
+SELECT p.a, p.b, n_a, n_b, coalesce(hits, 0) AS hits, round(least(n_a, n_a * n_b * 2 * 7200000000 / span), 4) AS expected,
+ round(coalesce(hits, 0) / least(n_a, n_a * n_b * 2 * 7200000000 / span), 4) AS lift FROM p LEFT JOIN h ON h.a = p.a AND h.b = p.b, g""",
     )
 )
 def coincidence(spark, d):
-    rows = w.activity(spark, d).where("ref < 12").select(F.col("ref").alias("subject"), "ts")
-    people = rows.select("subject").distinct()
-    pairs = people.select(F.col("subject").alias("a"), F.lit(1).alias("k")).join(people.select(F.col("subject").alias("b"), F.lit(1).alias("k")), "k").where("a < b")  # a dozen subjects
-    return rounded(c.coincidences(rows, pairs, 2), "expected").select("a", "b", "n_a", "n_b", "hits", "expected")
+    """How often those who are in contact act within two hours of each other, against chance."""
+    rows = w.activity(spark, d).select(F.col("ref").alias("subject"), "ts")
+    return rounded(c.coincidences(rows, met(spark, d).select("a", "b"), 2), "expected", "lift").select("a", "b", "n_a", "n_b", "hits", "expected", "lift")
 
 
-def evidence(spark, d):
-    """Dimensions of account pairs: what they share as counterparties, and corridors."""
-    money = counterparty_lift(spark, d).select("a", "b", F.lit("shared_counterparty").alias("dimension"), c.slope(F.col("lift"), 1.0, 1.6).alias("raw"))
-    places = w.accounts(spark, d).select(F.col("ref").alias("subject"), F.col("country").alias("key"))
-    population = table(spark, d, "supplier").count()
-    near = c.shared_rarity(c.candidates(places)[0], places, c.key_sizes(places), population).select("a", "b", F.lit("shared_corridor").alias("dimension"), F.col("observed").alias("raw"))
-    return money.unionByName(near)
+def met(spark, d):
+    """Pairs of users in contact and how often."""
+    return w.contacts(spark, d).where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    w.sql(
+        "contacts",
+        f"""WITH {MET}, o AS (SELECT a AS subject, b AS key FROM met UNION ALL SELECT b, a FROM met), s AS (SELECT key, count(*) AS n FROM o GROUP BY 1), g AS (SELECT count(DISTINCT subject)::DOUBLE AS p FROM o),
+i AS (SELECT x.subject AS a, y.subject AS b, sum({RARITY}) AS observed FROM o x JOIN o y ON x.key = y.key AND x.subject < y.subject JOIN s ON s.key = x.key, g GROUP BY 1, 2)
+SELECT coalesce(met.a, i.a) AS a, coalesce(met.b, i.b) AS b, round(CASE WHEN met.n IS NOT NULL THEN least(1.0, met.n / 3) WHEN observed <= 0.7 THEN 0.0 WHEN observed >= 2.2 THEN 1.0 ELSE (observed - 0.7) / 1.5 END, 5) AS raw FROM met FULL JOIN i ON i.a = met.a AND i.b = met.b""",
+    )
+)
+def communication(spark, d):
+    """Direct contact, three times being full strength; else rare correspondents in common."""
+    return rounded(c.communication(met(spark, d)), "raw", digits=5)
+
+
+@query(
+    w.sql(
+        "accounts nations",
+        f"""WITH o AS (SELECT c_custkey AS subject, c_mktsegment || '-' || c_nationkey AS key FROM customer), s AS (SELECT key, count(*) AS n FROM o GROUP BY 1), g AS (SELECT count(*)::DOUBLE AS p FROM customer),
+i AS (SELECT x.subject AS a, y.subject AS b, sum({RARITY}) AS observed FROM o x JOIN o y ON x.key = y.key AND x.subject < y.subject JOIN s ON s.key = x.key, g GROUP BY 1, 2)
+SELECT a, b, round(CASE WHEN observed <= 0.4 THEN 0.0 WHEN observed >= 1.6 THEN 1.0 ELSE (observed - 0.4) / 1.2 END, 5) AS raw FROM i""",
+    )
+)
+def affiliation(spark, d):
+    """Rare organisations in common: segments of a nation stand for them."""
+    return rounded(c.shared_dimension(affiliations(spark, d), table(spark, d, "customer").count(), 0.40, 1.60), "raw", digits=5)
+
+
+def affiliations(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key"))
+
+
+KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2))))"
 
 
 @query(
     w.sql(
-        "transfers accounts",
-        f"""WITH {LIFT}, pl AS (SELECT ref AS subject, country AS key FROM accounts), ps AS (SELECT key, count(*) AS n FROM pl GROUP BY 1),
+        "activity",
+        f"""WITH p AS (SELECT ref AS subject, radians((ref % 5) * 0.1 + (event_id % 3) / 100.0) AS lat, radians((ref % 7) * 0.1) AS lng FROM activity),
+m AS (SELECT subject, count(*) AS n, avg(cos(lat) * cos(lng)) AS x, avg(cos(lat) * sin(lng)) AS y, avg(sin(lat)) AS z FROM p GROUP BY 1 HAVING count(*) >= 2),
+s AS (SELECT subject, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lng FROM m), k AS (SELECT x.subject AS a, y.subject AS b, {KM} AS km FROM s x JOIN s y ON x.subject < y.subject)
+SELECT a, b, round(CASE WHEN km >= 25 THEN 0.0 WHEN km <= 2 THEN 1.0 ELSE (25 - km) / 23 END, 4) AS raw FROM k WHERE km <= 25""",
+    )
+)
+def proximity(spark, d):
+    """Users whose usual places are within 25 km."""
+    lat, lng = (F.col("ref") % 5) * 0.1 + (F.col("event_id") % 3) / 100, (F.col("ref") % 7) * 0.1
+    return rounded(c.proximity(w.activity(spark, d).select(F.col("ref").alias("subject"), lat.alias("lat"), lng.alias("lng"))), "raw")
+
+
+@query(
+    w.sql(
+        "transfers",
+        """WITH m AS MATERIALIZED (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4), o AS (SELECT src, sum(amount) AS outflow FROM transfers GROUP BY 1),
+h AS (SELECT * FROM (SELECT src AS subject, dst AS spot, amount AS fa, 1 AS hops, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m) WHERE r = 1),
+d AS (SELECT least(subject, spot) AS a, greatest(subject, spot) AS b, arg_min(struct_pack(fa := fa, s := subject, hops := hops), (hops, -carried, subject)) AS t FROM h GROUP BY 1, 2)
+SELECT a, b, round(CASE WHEN t.fa / outflow <= 0.05 THEN 0.0 WHEN t.fa / outflow >= 0.3 THEN 1.0 ELSE (t.fa / outflow - 0.05) / 0.25 END, 5) AS raw FROM d JOIN o ON o.src = t.s""",
+    )
+)
+def funds_path(spark, d):
+    """Direct payments: the shorter way of either direction, weighed by its share of what the payer sends."""
+    money = w.transfers(spark, d)
+    subjects = w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref")
+    return rounded(c.funds_path(graph.forward_reach(subjects, money, hops=1), money), "raw", digits=5)
+
+
+def evidence(spark, d):
+    """Dimensions of customer pairs: parts, nations and segments in common, and contact of users (who are customers here)."""
+    named = lambda rows, name: rows.select("a", "b", F.lit(name).alias("dimension"), "raw")
+    money = counterparty_lift(spark, d).select("a", "b", c.slope(F.col("lift"), 1.0, 1.6).alias("raw"))
+    places = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_nationkey").alias("key"))
+    population = table(spark, d, "customer").count()
+    near = c.shared_rarity(places, population).select("a", "b", F.col("observed").alias("raw"))
+    same = c.shared_dimension(affiliations(spark, d), population, 0.40, 1.60)
+    out = named(money, "shared_counterparty").unionByName(named(near, "shared_corridor")).unionByName(named(same, "affiliation"))
+    return out.unionByName(named(c.communication(met(spark, d)), "communication"))
+
+
+EVIDENCE = f"""{LIFT}, pl AS (SELECT c_custkey AS subject, c_nationkey AS key FROM customer), ps AS (SELECT key, count(*) AS n FROM pl GROUP BY 1), sg AS (SELECT c_custkey AS subject, c_mktsegment || '-' || c_nationkey AS key FROM customer), ss AS (SELECT key, count(*) AS n FROM sg GROUP BY 1),
+{MET}, co AS (SELECT a AS subject, b AS key FROM met UNION ALL SELECT b, a FROM met), cs AS (SELECT key, count(*) AS n FROM co GROUP BY 1), cg AS (SELECT count(DISTINCT subject)::DOUBLE AS p FROM co),
+ci AS (SELECT x.subject AS a, y.subject AS b, sum({RARITY}) AS observed FROM co x JOIN co y ON x.key = y.key AND x.subject < y.subject JOIN cs ON cs.key = x.key, cg GROUP BY 1, 2),
 ev AS (SELECT a, b, 'financial' AS family, CASE WHEN lift <= 1 THEN 0.0 WHEN lift >= 1.6 THEN 1.0 ELSE (lift - 1) / 0.6 END AS raw, 1.0 AS top FROM l
- UNION ALL SELECT x.subject, y.subject, 'logistical', {RARITY}, 0.85 FROM pl x JOIN pl y ON x.key = y.key AND x.subject < y.subject JOIN ps ON ps.key = x.key, g),
-s AS (SELECT a, b, 1 - product(1 - round(raw * top, 4)) FILTER (WHERE raw > 0) AS strength, count(*) / 8 AS coverage, count(*) FILTER (WHERE raw > 0) AS nf, max(raw) AS ident FROM ev GROUP BY 1, 2 HAVING count(*) FILTER (WHERE raw > 0) > 0)
-SELECT a, b, round(strength, 4) AS strength, coverage, CASE WHEN strength < 0.3 OR ident < 0.25 THEN 'none' WHEN strength >= 0.6 AND nf >= 2 AND coverage >= 0.5 THEN 'established' WHEN strength >= 0.45 THEN 'probable' ELSE 'possible' END AS tier FROM s""",
+ UNION ALL SELECT x.subject, y.subject, 'logistical', {RARITY}, 0.85 FROM pl x JOIN pl y ON x.key = y.key AND x.subject < y.subject JOIN ps ON ps.key = x.key, g
+ UNION ALL SELECT x.subject, y.subject, 'social', CASE WHEN {RARITY} <= 0.4 THEN 0.0 WHEN {RARITY} >= 1.6 THEN 1.0 ELSE ({RARITY} - 0.4) / 1.2 END, 1.0 FROM sg x JOIN sg y ON x.key = y.key AND x.subject < y.subject JOIN ss ON ss.key = x.key, g
+ UNION ALL SELECT coalesce(met.a, ci.a), coalesce(met.b, ci.b), 'social', CASE WHEN met.n IS NOT NULL THEN least(1.0, met.n / 3) WHEN observed <= 0.7 THEN 0.0 WHEN observed >= 2.2 THEN 1.0 ELSE (observed - 0.7) / 1.5 END, 1.0 FROM met FULL JOIN ci ON ci.a = met.a AND ci.b = met.b),
+cv AS (SELECT a, b, count(*) / 8 AS coverage FROM ev GROUP BY 1, 2), bf AS (SELECT a, b, family, max(raw) AS raw, max(round(raw * top, 4)) AS contribution FROM ev WHERE raw > 0 GROUP BY 1, 2, 3),
+sc AS (SELECT bf.a, bf.b, 1 - product(1 - contribution) AS strength, count(*) AS nf, max(raw) AS ident FROM bf GROUP BY 1, 2)"""
+
+
+@query(
+    w.sql(
+        "accounts contacts",
+        f"""WITH {EVIDENCE} SELECT sc.a, sc.b, round(strength, 4) AS strength, coverage,
+ CASE WHEN strength < 0.3 OR ident < 0.25 THEN 'none' WHEN strength >= 0.6 AND nf >= 2 AND coverage >= 0.5 THEN 'established' WHEN strength >= 0.45 THEN 'probable' ELSE 'possible' END AS tier FROM sc JOIN cv ON cv.a = sc.a AND cv.b = sc.b""",
     )
 )
 def scored_links(spark, d):
     return c.links(evidence(spark, d)).select("a", "b", "strength", "coverage", "tier")
 
 
+def clustered(spark, d):
+    return c.clusters(materialise(c.links(evidence(spark, d))))
+
+
 @query()
 def link_clusters(spark, d):
-    return rounded(c.clusters(c.links(evidence(spark, d)), 0.7), "mean_strength").withColumn("members", F.array_join("members", ","))
+    found, _ = clustered(spark, d)
+    return found.withColumn("families", F.array_join("families", ","))
+
+
+@query()
+def cluster_members(spark, d):
+    _, members = clustered(spark, d)
+    return members
 
 
 # --- resolution --------------------------------------------------------------------------------------------------
@@ -182,21 +278,19 @@ def record_verdicts(spark, d):
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN a.p_size = b.p_size THEN 1.0 WHEN right(lpad(CAST(a.p_partkey AS VARCHAR), 9, '5'), 8) = right(lpad(CAST(b.p_partkey AS VARCHAR), 9, '5'), 8) THEN 0.9 ELSE 0.0 END AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name = b.p_name AND a.p_partkey < b.p_partkey")
 def field_similarity(spark, d):
-    rows = records(spark, d).withColumn("p_name", F.col("name"))
     parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     pairs = parts.select(F.col("p_partkey").alias("a"), "p_name", "p_brand", "p_type", F.col("p_size").alias("sa")).join(parts.select(F.col("p_partkey").alias("b"), "p_name", "p_brand", "p_type", F.col("p_size").alias("sb")), ["p_name", "p_brand", "p_type"]).where("a < b")
-    del rows
     phone = lambda x: F.lpad(F.col(x).cast("string"), 9, "5")
     return pairs.select("a", "b", F.when(F.col("sa") == F.col("sb"), 1.0).otherwise(r.phone_similarity(phone("a"), phone("b"))).alias("similarity"))
 
 
 def decisions(spark, d):
     """Verdicts on pairs of users over time, from contacts."""
-    rows = w.contacts(spark, d).where("a <> b and contact_id % 9 = 0")
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("contact_id").alias("id"), F.when(F.col("contact_id") % 4 == 0, "different").otherwise("same").alias("decision")).where("b - a < 4")
+    rows = w.contacts(spark, d).where("a <> b")
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("contact_id").alias("id"), F.when(F.col("contact_id") % 13 == 0, "same").otherwise("different").alias("decision"))
 
 
-DECISIONS = "decisions AS (SELECT least(a, b) AS a, greatest(a, b) AS b, contact_id AS id, CASE WHEN contact_id % 4 = 0 THEN 'different' ELSE 'same' END AS decision FROM contacts WHERE a <> b AND contact_id % 9 = 0 AND abs(a - b) < 4)"
+DECISIONS = "decisions AS (SELECT least(a, b) AS a, greatest(a, b) AS b, contact_id AS id, CASE WHEN contact_id % 13 = 0 THEN 'same' ELSE 'different' END AS decision FROM contacts WHERE a <> b)"
 STANDING = "standing AS (SELECT a, b, arg_max(decision, id) AS decision, max(id) AS id FROM decisions GROUP BY 1, 2)"
 
 
@@ -220,8 +314,8 @@ def resolved_clusters(spark, d):
     return r.same_things(decisions(spark, d), seen)
 
 
-@query(f"WITH {RECORDS}, {BLOCKS}, p AS (SELECT ref AS probe, key FROM blocks WHERE ref % 50 = 0), h AS (SELECT DISTINCT probe, b.ref FROM p JOIN blocks b USING (key)) SELECT probe, count(*) AS n_refs, min(ref) AS first_ref FROM h GROUP BY 1")
+@query(f"WITH {RECORDS}, {BLOCKS}, p AS (SELECT ref AS probe, key FROM blocks WHERE ref % 20 = 0), h AS (SELECT DISTINCT probe, b.ref FROM p JOIN blocks b USING (key)) SELECT probe, count(*) AS n_refs, min(ref) AS first_ref FROM h GROUP BY 1")
 def probe_lookup(spark, d):
     rows = blocked(spark, d)
     index = rows.select("ref", F.explode("keys").alias("key"))
-    return r.probes(rows.where("ref % 50 = 0").select(F.col("ref").alias("probe"), "keys"), index).select("probe", "n_refs", F.col("refs")[0].alias("first_ref"))
+    return r.probes(rows.where("ref % 20 = 0").select(F.col("ref").alias("probe"), "keys"), index).select("probe", "n_refs", F.col("refs")[0].alias("first_ref"))

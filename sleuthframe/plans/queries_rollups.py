@@ -135,10 +135,11 @@ def latest_assessment(spark, d):
     return rollups.latest_per(w.assessments(spark, d), "subject").select("subject", "id", "computed_at", "score", "band")
 
 
-@query(w.sql("assessments", "SELECT id, subject, run, band, state FROM assessments WHERE run = (SELECT run FROM assessments WHERE state = 'F' ORDER BY run DESC NULLS LAST LIMIT 1)"))
+@query(w.sql("assessments", "SELECT id, subject, run, band, state FROM assessments WHERE run = (SELECT run FROM assessments WHERE state = 'F' GROUP BY run ORDER BY max(computed_at) DESC NULLS LAST, run DESC LIMIT 1)"))
 def latest_complete_run(spark, d):
     ledger = w.assessments(spark, d)
-    run = ledger.where("state = 'F'").agg(F.max("run").alias("run"))
+    done = ledger.where("state = 'F'").groupBy("run").agg(F.max("computed_at").alias("finished_at"))
+    run = done.orderBy(F.desc_nulls_last("finished_at"), F.desc("run")).limit(1).select("run")
     return ledger.join(F.broadcast(run), "run").select("id", "subject", "run", "band", "state")
 
 
@@ -278,9 +279,9 @@ def contact_pairs(spark, d):
     return w.contacts(spark, d).where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(w.sql("transfers accounts", "SELECT ref, name FROM accounts WHERE ref NOT IN (SELECT src FROM transfers WHERE amount > 104000) "))
+@query(w.sql("assessments accounts", "SELECT ref, name FROM accounts WHERE ref NOT IN (SELECT subject FROM assessments WHERE band = 'elevated')"))
 def isolated_nodes(spark, d):
-    return w.accounts(spark, d).join(w.transfers(spark, d).where("amount > 104000").select(F.col("src").alias("ref")), "ref", "left_anti").select("ref", "name")
+    return w.accounts(spark, d).join(w.assessments(spark, d).where("band = 'elevated'").select(F.col("subject").alias("ref")), "ref", "left_anti").select("ref", "name")
 
 
 @query(w.sql("assessments accounts", "SELECT ref, name FROM accounts WHERE ref IN (SELECT subject FROM assessments WHERE band = 'elevated')"))
