@@ -16,6 +16,9 @@ from sleuthframe.plans.lineage import materialise
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "\n": "\\n"}
 
+#: Where no tree has more nodes, a tree's texts are dealt to one task; else they are dealt by node and only chosen paths meet.
+TOGETHER = 10_000
+
 _HIDE_TEXT = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
 _HIDE_ROLE = re.compile(r"[\\\n]|<(?=/?s>)|\[(?=/?INST\])")
 _SHOW = re.compile(r"\\([\\lbn])")
@@ -74,7 +77,7 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     known = nodes.select("tree", F.col("node").alias("parent"))
     linked = nodes.alias("n").join(known.alias("k"), F.col("n.tree").eqNullSafe(F.col("k.tree")) & (F.col("n.parent") == F.col("k.parent")), "left")
     jumps = materialise(linked.select("n.tree", "n.node", F.col("k.parent").alias("up"), "n.score", F.lit(1).cast("long").alias("n_nodes")))
-    deepest = messages.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    deepest = largest_tree(messages)
     levels = [jumps.select("tree", "node", "up")]
     inner = jumps.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     for _ in range(max(0, deepest - 1).bit_length()):
@@ -101,23 +104,51 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     return walked
 
 
-def format_conversations(messages: DataFrame, best: int | None = 1) -> DataFrame:
+def largest_tree(nodes: DataFrame) -> int:
+    return nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+
+
+def path_turns(messages: DataFrame, paths: DataFrame, together: bool) -> DataFrame:
+    """``tree, leaf, path_score, turns``: the roles and texts of each path, in order.
+
+    ``together``: texts are shuffled once, by tree, in which the rows of a repeated
+    node are next to each other and joined with the paths. Else they are shuffled by
+    node, and those on a path once more.
+    """
+    turn = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn")
+    if together:
+        order = Window.partitionBy("tree").orderBy("node", "role", "text")
+        texts = messages.select("tree", "node", "role", "text", F.lag("node").over(order).alias("last")).where("last is null or last != node")
+        paths = paths.repartition("tree")
+    else:
+        texts = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m")).select("tree", "node", "m.*")
+    turns = texts.join(paths, ["tree", "node"]).select("tree", "leaf", "path_score", turn)
+    return turns.groupBy("tree", "leaf").agg(F.first("path_score").alias("path_score"), F.sort_array(F.collect_list("turn")).alias("turns"))
+
+
+def format_conversations(messages: DataFrame, best: int | None = 1, links: DataFrame | None = None) -> DataFrame:
     """The chosen paths of reply trees, each as one formatted conversation.
 
     ``messages`` has ``tree, node, parent, role, text, score``; other columns are
-    ignored. Repeated nodes count once (the least role and text). Null roles and
-    texts are empty, a null ``tree`` is a tree of its own, rows with a null
-    ``node`` are left out. Returns ``tree, leaf, n_turns, path_score, formatted,
-    loss_spans``; a conversation is one row, however long. An empty table gives
-    an empty table.
+    ignored. ``links`` are the ``tree, node, parent, score`` of the same rows, where
+    they can be had without reading texts. Repeated nodes count once: the least
+    parent with its least score, the least role with its least text. Null roles and
+    texts are empty, a null ``tree`` is a tree of its own, rows with a null ``node``
+    are left out. Returns ``tree, leaf, n_turns, path_score, formatted,
+    loss_spans``; a conversation is one row, however long. An empty table gives an
+    empty table.
+
+    Paths are found by the links alone; texts are fetched once they are known.
     """
-    once = messages.where("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", F.col("score").cast("double").alias("score"))).alias("m")).select("tree", "node", "m.*")
-    once = materialise(once)
-    paths = reply_paths(once, best)
-    p, m = paths.alias("p"), once.alias("m")
-    turns = p.join(m, F.col("p.tree").eqNullSafe(F.col("m.tree")) & (F.col("p.node") == F.col("m.node")))
-    turns = turns.select("p.tree", "p.leaf", "p.path_score", F.struct("p.place", F.coalesce("m.role", F.lit("")).alias("role"), F.coalesce("m.text", F.lit("")).alias("text")).alias("turn"))
-    whole = turns.groupBy("tree", "leaf").agg(F.first("path_score").alias("path_score"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    messages = messages.where("node is not null")
+    links = (messages if links is None else links.where("node is not null")).select("tree", "node", "parent", F.col("score").cast("double").alias("score"))
+    links = materialise(links.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "node", "m.*"))
+    paths = reply_paths(links, best)
+    together = largest_tree(links) <= TOGETHER
+    whole = path_turns(messages, paths, together)
+    if not links.where("tree is null").isEmpty():  # a join leaves these out; -1 stands for the tree that has none
+        alone = lambda df: df.where("tree is null").withColumn("tree", F.lit(-1).cast("long"))
+        whole = whole.unionByName(path_turns(alone(messages), alone(paths), together).withColumn("tree", F.lit(None).cast("long")))
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -139,3 +170,10 @@ def turns_as_trees(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     at = rows.withColumn("node", F.row_number().over(order).cast("long"))
     return at.select(F.col("conv_id").cast("long").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+
+
+def turn_links(rows: DataFrame) -> DataFrame:
+    """``tree, node, parent, score`` of ``turns_as_trees(rows)``, from the conversations' numbers of rows alone."""
+    counts = rows.groupBy(F.col("conv_id").cast("long").alias("tree")).agg(F.count(F.lit(1)).alias("n"))
+    nodes = counts.select("tree", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("node"))
+    return nodes.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(1.0).alias("score"))

@@ -348,3 +348,35 @@ def test_digest_of_turns(spark, small):
     found = {r["conv_id"]: r for r in op1_chat_format(spark, small).collect()}
     told = f"user\n{PLANTED}\nassistant\n{PLANTED}\n"
     assert found[-1]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest() and found[-1]["loss_chars"] == len(PLANTED)
+
+
+def test_contamination_in_blocks_of_a_large_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 256)  # four rows a block, windows beyond a broadcast
+    items = [(1, ITEM), (2, "solo")]
+    docs = [(1, f"x {ITEM.upper()} y solo"), (2, "word " * 300 + ITEM), (3, None), (4, ITEM[:60])]
+    found = decontam.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["item_ids"], r["contaminated"]) for r in found.collect()]
+    assert sorted(got, key=repr) == plain_contamination(docs, items)
+
+
+def test_windows_over_every_border_of_a_run(spark):
+    words = ITEM.split()[:13]
+    docs = [(k, " ".join(["no"] * k + words + ["no"] * 30)) for k in range(240, 262)]
+    found = decontam.contamination(frame(spark, docs), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert {(r["doc_id"], r["n_hit"]) for r in found.collect()} == {(k, 13) for k, _ in docs}
+
+
+def test_reply_trees_dealt_by_node(spark, monkeypatch):
+    messages = [(1, 1, None, "user", "q"), (1, 2, 1, "assistant", "b"), (1, 2, 1, "assistant", "a"), (None, 1, None, "user", "x"), (None, 2, 1, None, None), (-1, 1, None, "user", "y")]
+    rows = spark.createDataFrame(messages, "tree long, node long, parent long, role string, text string").withColumn("score", F.lit(0.0))
+    shaped = lambda: sorted(((r["tree"], r["leaf"], chat.read_turns(r["formatted"])) for r in chat.format_conversations(rows).collect()), key=repr)
+    together = shaped()
+    assert together == [(-1, 1, [("user", "y")]), (1, 2, [("user", "q"), ("assistant", "a")]), (None, 2, [("user", "x"), ("", "")])]
+    monkeypatch.setattr(chat, "TOGETHER", 0)
+    assert shaped() == together
+
+
+def test_links_of_linear_conversations(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", None), (None, 3, "user", "n")], "conv_id long, turn long, role string, text string")
+    columns = ["tree", "node", "parent", "score"]
+    assert sorted(map(repr, chat.turn_links(rows).select(columns).collect())) == sorted(map(repr, chat.turns_as_trees(rows).select(columns).collect()))
