@@ -109,21 +109,21 @@ def largest_tree(nodes: DataFrame) -> int:
 
 
 def path_turns(messages: DataFrame, paths: DataFrame, together: bool) -> DataFrame:
-    """``tree, leaf, path_score, turns``: the roles and texts of each path, in order.
+    """``tree, turns, paths``: chosen paths (leaf, path_score, place, node), and the role and text of each of their nodes.
 
-    ``together``: texts are shuffled once, by tree, in which the rows of a repeated
-    node are next to each other and joined with the paths. Else they are shuffled by
-    node, and those on a path once more.
+    ``together``: a row per tree. Texts are shuffled once, by tree; the rows of a
+    repeated node are next to each other there. Else a row per path: texts are
+    shuffled by node, and those on a path once more.
     """
-    turn = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("turn")
+    turn = F.struct("node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    step = F.struct("leaf", "path_score", "place", "node")
     if together:
         order = Window.partitionBy("tree").orderBy("node", "role", "text")
         texts = messages.select("tree", "node", "role", "text", F.lag("node").over(order).alias("last")).where("last is null or last != node")
-        paths = paths.repartition("tree")
-    else:
-        texts = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m")).select("tree", "node", "m.*")
-    turns = texts.join(paths, ["tree", "node"]).select("tree", "leaf", "path_score", turn)
-    return turns.groupBy("tree", "leaf").agg(F.first("path_score").alias("path_score"), F.sort_array(F.collect_list("turn")).alias("turns"))
+        texts = texts.groupBy("tree").agg(F.collect_list(turn).alias("turns"))
+        return texts.join(paths.groupBy("tree").agg(F.collect_list(step).alias("paths")), "tree")
+    texts = messages.groupBy("tree", "node").agg(F.min(F.struct("role", "text")).alias("m")).select("tree", "node", "m.*")
+    return texts.join(paths, ["tree", "node"]).groupBy("tree", "leaf").agg(F.collect_list(turn).alias("turns"), F.collect_list(step).alias("paths")).drop("leaf")
 
 
 def format_conversations(messages: DataFrame, best: int | None = 1, links: DataFrame | None = None) -> DataFrame:
@@ -144,7 +144,7 @@ def format_conversations(messages: DataFrame, best: int | None = 1, links: DataF
     links = (messages if links is None else links.where("node is not null")).select("tree", "node", "parent", F.col("score").cast("double").alias("score"))
     links = materialise(links.groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("m")).select("tree", "node", "m.*"))
     paths = reply_paths(links, best)
-    together = largest_tree(links) <= TOGETHER
+    together = best is not None and largest_tree(links) <= TOGETHER
     whole = path_turns(messages, paths, together)
     if not links.where("tree is null").isEmpty():  # a join leaves these out; -1 stands for the tree that has none
         alone = lambda df: df.where("tree is null").withColumn("tree", F.lit(-1).cast("long"))
@@ -153,9 +153,13 @@ def format_conversations(messages: DataFrame, best: int | None = 1, links: DataF
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for tree, leaf, score, turns in zip(frame["tree"], frame["leaf"], frame["path_score"], frame["turns"], strict=True):
-                text, spans = format_turns([(t["role"], t["text"]) for t in turns])
-                rows.append((tree, leaf, len(turns), score, text, [{"start": a, "end": b} for a, b in spans]))
+            for tree, turns, steps in zip(frame["tree"], frame["turns"], frame["paths"], strict=True):
+                said, chosen = {t["node"]: (t["role"], t["text"]) for t in turns}, {}
+                for step in sorted(steps, key=lambda p: p["place"]):
+                    chosen.setdefault((step["leaf"], step["path_score"]), []).append(said[step["node"]])
+                for (leaf, score), path in chosen.items():
+                    text, spans = format_turns(path)
+                    rows.append((tree, leaf, len(path), score, text, [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows, columns=["tree", "leaf", "n_turns", "path_score", "formatted", "loss_spans"]).astype({"tree": "Int64", "leaf": "Int64"})
 
     return whole.mapInPandas(write, FORMATTED)
