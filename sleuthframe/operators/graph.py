@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sleuthframe.operators.components import connected_components
 from sleuthframe.operators.rollups import both_ways
-from sleuthframe.plans.lineage import materialise
+from sleuthframe.plans.lineage import materialise, written
 
 #: Rounds after which an iterative operator writes its state and goes on from there.
 ROUNDS_PER_CUT = 4
@@ -32,38 +32,70 @@ def within_hops(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     frontier = seen
     for k in range(1, hops + 1):
         reached = frontier.join(links, "ref").select("seed", F.col("other").alias("ref")).distinct()
-        frontier = materialise(reached.join(seen, ["seed", "ref"], "left_anti").withColumn("hops", F.lit(k)))
+        frontier = written(reached.join(seen, ["seed", "ref"], "left_anti").withColumn("hops", F.lit(k)))
         seen = seen.unionByName(frontier)
     return seen
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
-    """``a, b, length, path``: an undirected shortest path of at most ``most`` edges for each pair that has one.
+def neighbourhood(seeds: DataFrame, edges: DataFrame, depth: int = 3, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """What is around each seed, as a graph: nodes ``seed, ref, hops`` and links ``seed, edge_id, src, dst, beyond``.
+
+    Nodes are the seed and the next ones in either direction up to ``depth``, at
+    most ``most`` of them by hops and then by ref; a seed that is full goes no
+    further. Links are all those at a node within less than ``depth``, each once
+    a seed; ``beyond`` says that an end is not among the nodes, so that a cut is
+    seen where it was made. A hub is joined, but not more than ``most`` of what
+    it leads to goes on.
+    """
+    ways = written(both_ways(edges.select("src", "dst", "edge_id")))
+    links = ways.where("ref <> other").select("ref", "other").distinct()
+    nodes = seeds.select(F.col("ref").alias("seed"), "ref", F.lit(0).alias("hops")).distinct()
+    front = nodes
+    for k in range(1, depth + 1):
+        room = nodes.groupBy("seed").agg((most - F.count(F.lit(1))).alias("room")).where("room > 0")
+        reached = front.join(links, "ref").select("seed", F.col("other").alias("ref")).distinct().join(nodes.select("seed", "ref"), ["seed", "ref"], "left_anti")
+        placed = reached.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("ref"))).where(F.col("place") < most)
+        front = written(placed.join(room, "seed").where("place <= room").select("seed", "ref", F.lit(k).alias("hops")))
+        nodes = written(nodes.unionByName(front))
+        if front.isEmpty():
+            break
+    touched = nodes.where(F.col("hops") < depth).join(ways, "ref")
+    ends = touched.select("seed", "edge_id", F.when(F.col("outgoing"), F.col("ref")).otherwise(F.col("other")).alias("src"), F.when(F.col("outgoing"), F.col("other")).otherwise(F.col("ref")).alias("dst")).distinct()
+    there = lambda end: nodes.select("seed", F.col("ref").alias(end), F.lit(True).alias(f"has_{end}"))
+    found = ends.join(there("src"), ["seed", "src"], "left").join(there("dst"), ["seed", "dst"], "left")
+    return nodes, found.select("seed", "edge_id", "src", "dst", (F.col("has_src").isNull() | F.col("has_dst").isNull()).alias("beyond"))
+
+
+def paths_from(sources: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """``a, b, length, path``: an undirected shortest path of at most ``most`` edges from each source (``ref``) to every node that it reaches, itself left out.
 
     Of paths of equal length the one whose predecessors are least. Every round
     keeps one way to each node reached, so nothing grows but the frontier.
     """
-    links = both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct()
-    wanted = pairs.select("a", "b").distinct()
-    ways = wanted.select("a").distinct().select("a", F.col("a").alias("ref"), F.array("a").alias("path"))
+    links = written(both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct())
+    ways = sources.select(F.col("ref").alias("a")).distinct().select("a", F.col("a").alias("ref"), F.array("a").alias("path"))
     seen, found = ways.select("a", "ref"), []
-    for k in range(most + 1):
-        hit = ways.withColumnRenamed("ref", "b").join(wanted, ["a", "b"]).select("a", "b", F.lit(k).alias("length"), "path")
-        found.append(hit)
-        if k == most:
-            break
+    for k in range(1, most + 1):
         step = ways.join(links, "ref").groupBy("a", "other").agg(F.min("path").alias("path"))
         step = step.select("a", F.col("other").alias("ref"), F.concat("path", F.array("other")).alias("path"))
-        ways = materialise(step.join(seen, ["a", "ref"], "left_anti"))
-        if ways.isEmpty():
+        ways = written(step.join(seen, ["a", "ref"], "left_anti"))
+        found.append(ways.select("a", F.col("ref").alias("b"), F.lit(k).alias("length"), "path"))
+        if k == most or ways.isEmpty():
             break
-        seen = materialise(seen.unionByName(ways.select("a", "ref")))
+        seen = written(seen.unionByName(ways.select("a", "ref")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
+def shortest_paths(pairs: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """``a, b, length, path``: an undirected shortest path of at most ``most`` edges for each pair that has one, as ``paths_from``; a node to itself has length 0."""
+    wanted = pairs.select("a", "b").distinct()
+    found = paths_from(wanted.select(F.col("a").alias("ref")), edges, most).join(wanted, ["a", "b"], "left_semi")
+    return found.unionByName(wanted.where("a = b").select("a", "b", F.lit(0).alias("length"), F.array("a").alias("path")))
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """``ref, rank`` by weighted PageRank without normalisation: (1 - d) + d times what comes in; what ends in a sink is lost.
 
@@ -119,32 +151,76 @@ def funds_cycles(transfers: DataFrame, hops: int = 8, days: int = 7, least: floa
     return closed.groupBy("cycle", "hops").agg(F.max("total").alias("total"), F.max("retention").alias("retention"))
 
 
-def closed_trails(transfers: DataFrame, least: int = 3, most: int = 6, kept: float = 0.85) -> DataFrame:
+def _amount_bucket(amount: Column, kept: float) -> Column:
+    """Steps of an amount's logarithm, a little wider than the loss that ``kept`` allows: what fits is in the same step or the one below."""
+    return F.floor(F.log(amount) / (-math.log(kept) * 1.000001))
+
+
+def _passes_on(then: str, before: str, kept: float) -> Column:
+    return (F.col(then) <= F.col(before)) & (F.col(then) >= kept * F.col(before))
+
+
+def half_trails(transfers: DataFrame, hops: int, kept: float, total: float = 0.0) -> list[DataFrame]:
+    """Trails of 1, 2, ... ``hops`` transfers, none twice: ``origin, at, ids, first, last, sum``.
+
+    Each transfer has ``kept`` to all of the one before and the last ``total`` of
+    the first, whatever their times. They meet by account and by steps of the
+    amount's logarithm, so that only amounts which may fit are compared.
+    """
+    money = written(transfers.where("amount > 0").select("edge_id", "src", "dst", F.col("amount").cast("double").alias("amount")))
+    then = money.select(F.col("edge_id").alias("then"), F.col("src").alias("at"), F.col("dst").alias("to"), F.col("amount").alias("onward"), F.explode(F.array(_amount_bucket(F.col("amount"), kept), _amount_bucket(F.col("amount"), kept) + 1)).alias("bucket"))
+    trails = [money.select(F.col("src").alias("origin"), F.col("dst").alias("at"), F.array("edge_id").alias("ids"), F.col("amount").alias("first"), F.col("amount").alias("last"), F.col("amount").alias("sum"))]
+    for _ in range(hops - 1):
+        near = trails[-1].withColumn("bucket", _amount_bucket(F.col("last"), kept)).join(then, ["at", "bucket"])
+        fits = _passes_on("onward", "last", kept) & (F.col("onward") >= total * F.col("first")) & ~F.array_contains("ids", F.col("then"))
+        trails.append(written(near.where(fits).select("origin", F.col("to").alias("at"), F.concat("ids", F.array("then")).alias("ids"), "first", F.col("onward").alias("last"), (F.col("sum") + F.col("onward")).alias("sum"))))
+    return trails
+
+
+def closed_trails(transfers: DataFrame, least: int = 3, most: int = 6, kept: float = 0.85, total: float = 0.0) -> DataFrame:
     """Trails of ``least`` to ``most`` transfers, none twice, that end where they began: ``trail, length, total, retention``.
 
-    Each transfer has ``kept`` to all of the one before, whatever their times.
-    They meet by account and by steps of the amount's logarithm, so that only
-    amounts which may fit are compared.
+    Each transfer has ``kept`` to all of the one before, and the last ``total`` of
+    the first; times don't count. Half-trails of at most half the length meet in
+    the middle, by both of their ends and by steps of the amount, so nothing
+    longer is built that doesn't close. ``trail`` has the transfers in order.
     """
-    money = transfers.where("amount > 0").select("edge_id", "src", "dst", F.col("amount").cast("double").alias("amount"))
-    step = -math.log(kept)
-    bucket = F.floor(F.log("amount") / step)
-    then = materialise(money.select(F.col("edge_id").alias("then"), F.col("src").alias("at"), F.col("dst").alias("then_dst"), F.col("amount").alias("then_amount"), F.explode(F.array(bucket, bucket + 1)).alias("bucket")))
-    path = money.select(F.col("src").alias("origin"), F.array("edge_id").alias("trail"), F.col("dst").alias("at"), F.col("amount").alias("first"), "amount", F.col("amount").alias("total"))
+    kept = max(kept, total)
+    halves = half_trails(transfers, -(-most // 2), kept, total)
     closed = None
-    for k in range(2, most + 1):
-        near = path.withColumn("bucket", bucket).join(then, ["at", "bucket"])
-        fits = (F.col("then_amount") <= F.col("amount")) & (F.col("then_amount") >= kept * F.col("amount")) & ~F.array_contains("trail", F.col("then"))
-        path = near.where(fits).select("origin", F.concat("trail", F.array("then")).alias("trail"), F.col("then_dst").alias("at"), "first", F.col("then_amount").alias("amount"), (F.col("total") + F.col("then_amount")).alias("total"))
-        if k == most:
-            path = path.where("at = origin")
-        path = materialise(path)
-        if k >= least:
-            back = path.where("at = origin").select("trail", F.lit(k).alias("length"), "total", (F.col("amount") / F.col("first")).alias("retention"))
-            closed = back if closed is None else closed.unionByName(back)
+    for length in range(least, most + 1):
+        one, two = halves[-(-length // 2) - 1], halves[length // 2 - 1]
+        bucket = _amount_bucket(F.col("first"), kept)
+        back = two.select(F.col("origin").alias("at"), F.col("at").alias("origin"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"), F.col("ids").alias("then"), F.col("first").alias("onward"), F.col("last").alias("end"), F.col("sum").alias("rest"))
+        near = one.withColumn("bucket", _amount_bucket(F.col("last"), kept)).join(back, ["origin", "at", "bucket"])
+        fits = _passes_on("onward", "last", kept) & (F.col("end") >= total * F.col("first")) & ~F.arrays_overlap("ids", "then")
+        found = near.where(fits).select(F.concat("ids", "then").alias("trail"), F.lit(length).alias("length"), (F.col("sum") + F.col("rest")).alias("total"), (F.col("end") / F.col("first")).alias("retention"))
+        closed = found if closed is None else closed.unionByName(found)
     return closed
 
 
+def best_trails(transfers: DataFrame, k: int = 25, least: int = 3, most: int = 6, kept: float = 0.85, gap: float = 1e-4) -> DataFrame:
+    """For each length the ``k`` closed trails that keep most of the money, ties by their transfers: as ``closed_trails``, with ``rank``.
+
+    All closed trails of a dense graph are far too many to list. But a trail that
+    keeps a share of the whole keeps at least that at each transfer. So trails are
+    sought that lose ``gap`` at most, then twice that, and so on, until a length
+    has ``k`` of them, which are then its best, or may lose all that ``kept`` allows.
+    """
+    out, left = [], list(range(least, most + 1))
+    while left:
+        found = written(closed_trails(transfers, min(left), max(left), kept, 1 - gap).where(F.col("length").isin(left)))
+        counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+        done = [n for n in left if counts.get(n, 0) >= k or 1 - gap <= kept ** (n - 1)]
+        out.append(found.where(F.col("length").isin(done)))
+        left, gap = [n for n in left if n not in done], min(1.0, 2 * gap)
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    order = Window.partitionBy("length").orderBy(F.desc("retention"), F.asc("trail"))
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def overview(nodes: DataFrame, edges: DataFrame, seeds: int = 25, most: int = 400) -> DataFrame:
     """The largest ``most`` edges (``edge_id, src, dst, amount``) at the ``seeds`` nodes with the highest positive ``score``, ties by ref."""
     top = F.broadcast(nodes.where("score > 0").orderBy(F.desc("score"), "ref").limit(seeds).select(F.col("ref").alias("_seed")))  # ``seeds`` rows
@@ -182,66 +258,48 @@ def propagate(seeds: DataFrame, edges: DataFrame, hops: int = 3, share: float =
     return out
 
 
-def forward_reach(subjects: DataFrame, transfers: DataFrame, hops: int = 4, days: int = 30, least: float = 0.80, carried: float = 0.55) -> DataFrame:
-    """Where each subject's money goes: ``subject, ref, hops, carried, first_amount``.
+def forward_reach(subjects: DataFrame, transfers: DataFrame, hops: int = 4, days: int = 30, least: float = 0.80, carried: float = 0.55, most: int = 400) -> DataFrame:
+    """Where each subject's money goes: ``subject, ref, hops, carried, first_amount, first_seen, last_seen, truncated``.
 
     ``subjects`` has ``subject, ref`` (its accounts). The first hop takes the
     largest transfer to each target; a later one must pass on ``least`` to all
-    of what came, keep ``carried`` of the first amount and end within ``days``
-    of the first. Of several ways to a target the one that carries most is
-    kept; no target is reached twice.
+    of what came, keep ``carried`` of the first amount, and all of the way must
+    fit into ``days``. Of several ways to a target the one that carries most is
+    kept, then the smaller transfer id; no target is reached twice.
+
+    From the second hop on a subject goes on from the ``most`` targets that carry
+    most (ties to the smaller ref); ``truncated`` says that it had more, so that
+    what wasn't followed isn't taken for nothing there. Only subjects over the
+    bound are ranked, and each task passes on its best ``most`` of them.
     """
-    money = transfers.where("amount > 0").groupBy("src", "dst", "ts", "edge_id").agg(F.max("amount").alias("amount")).where("src <> dst")
+    span = days * 86_400_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    money = written(transfers.where("amount > 0").groupBy("src", "dst", "ts", "edge_id").agg(F.max("amount").alias("amount")).where("src <> dst").withColumn("us", micros))
     own = subjects.select("subject", "ref").distinct()
-    start = own.join(money, own["ref"] == money["src"]).groupBy("subject", F.col("dst").alias("at")).agg(F.max_by(F.struct("amount", "ts"), F.struct("amount", -F.col("edge_id"))).alias("t"))
-    front = start.select("subject", "at", F.col("t.amount").alias("first_amount"), F.col("t.amount").alias("amount"), F.col("t.ts").alias("first_ts"), F.lit(1.0).alias("carried"))
+    start = own.join(money, own["ref"] == money["src"]).groupBy("subject", F.col("dst").alias("at")).agg(F.max_by(F.struct("amount", "ts", "us"), F.struct("amount", -F.col("edge_id"))).alias("t"))
+    front = start.select("subject", "at", F.col("t.amount").alias("first_amount"), F.col("t.amount").alias("amount"), F.col("t.ts").alias("first_seen"), F.col("t.ts").alias("last_seen"), F.col("t.us").alias("us0"), F.col("t.us").alias("us1"), F.lit(1.0).alias("carried"))
     seen = own.select("subject", F.col("ref").alias("at"))
-    front = materialise(front.join(seen, ["subject", "at"], "left_anti"))
-    out = front.withColumn("hops", F.lit(1))
+    front = written(front.join(seen, ["subject", "at"], "left_anti"))
+    out, cut = front.withColumn("hops", F.lit(1)), None
     for k in range(2, hops + 1):
         seen = seen.unionByName(front.select("subject", "at"))
-        on = money.select(F.col("src").alias("at"), F.col("dst").alias("then"), F.col("amount").alias("onward"), F.col("ts").alias("then_ts"), "edge_id")
-        fits = (F.col("onward") <= F.col("amount")) & (F.col("onward") >= least * F.col("amount")) & (F.col("onward") >= carried * F.col("first_amount")) & (F.abs(F.datediff("then_ts", "first_ts")) <= days)
+        on = money.select(F.col("src").alias("at"), F.col("dst").alias("then"), F.col("amount").alias("onward"), F.col("ts").alias("then_ts"), "us", "edge_id")
+        fits = (F.col("onward") <= F.col("amount")) & (F.col("onward") >= least * F.col("amount")) & (F.col("onward") >= carried * F.col("first_amount")) & (F.greatest("us1", "us") - F.least("us0", "us") <= span)
         step = front.join(on, "at").where(fits).withColumn("kept", F.col("onward") / F.col("first_amount"))
-        best = step.groupBy("subject", F.col("then").alias("at")).agg(F.max_by(F.struct("first_amount", F.col("onward").alias("amount"), "first_ts", F.col("kept").alias("carried")), F.struct("kept", -F.col("edge_id"))).alias("t"))
-        front = materialise(best.select("subject", "at", "t.*").join(seen, ["subject", "at"], "left_anti"))
+        way = F.struct("first_amount", F.col("onward").alias("amount"), F.least("first_seen", "then_ts").alias("first_seen"), F.greatest("last_seen", "then_ts").alias("last_seen"), F.least("us0", "us").alias("us0"), F.greatest("us1", "us").alias("us1"), F.col("kept").alias("carried"))
+        best = step.groupBy("subject", F.col("then").alias("at")).agg(F.max_by(way, F.struct("kept", -F.col("edge_id"))).alias("t"))
+        front = written(best.select("subject", "at", "t.*").join(seen, ["subject", "at"], "left_anti"))
+        over = written(front.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("subject"))
+        if not over.isEmpty():
+            order = Window.partitionBy("subject").orderBy(F.desc("carried"), F.asc("at"))
+            strongest = front.join(over, "subject", "left_semi").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
+            front = written(front.join(over, "subject", "left_anti").unionByName(strongest))
+            cut = over if cut is None else cut.unionByName(over)
         out = out.unionByName(front.withColumn("hops", F.lit(k)))
-    return out.select("subject", F.col("at").alias("ref"), "hops", "carried", "first_amount")
-
-
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """``ref, community``: weighted local moving by modularity gain, one level.
-
-    ``edges`` has ``a, b, weight``, undirected. Each round about every second node
-    (by a hash of node and pair of rounds, the others follow in the next) goes to the neighbouring community with the
-    greatest gain ``w_in - total * k / 2m``, ties to the smallest; neighbours
-    that would swap for ever are thus kept apart. A community is named after its
-    smallest member. Needs a join and a sum a round; no task holds the graph.
-    """
-    pair = edges.where("a <> b and weight > 0").groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("w"))
-    links = materialise(both_ways(pair).select("ref", "other", "w"))
-    strength = materialise(links.groupBy("ref").agg(F.sum("w").alias("k")))
-    twice = strength.agg(F.sum("k")).first()[0]
-    at = strength.select("ref", "k", F.col("ref").alias("c"))
-    if not twice:
-        return at.select("ref", F.col("c").alias("community"))
-    changed = True
-    for r in range(rounds):
-        total = at.groupBy("c").agg(F.sum("k").alias("total"))
-        inward = links.join(at.select(F.col("ref").alias("other"), "c"), "other").groupBy("ref", "c").agg(F.sum("w").alias("w_in"))
-        stay = at.select("ref", "c", F.lit(0.0).alias("w_in"))
-        options = inward.unionByName(stay).groupBy("ref", "c").agg(F.sum("w_in").alias("w_in")).join(at.select("ref", "k", F.col("c").alias("own")), "ref").join(total, "c")
-        gain = F.col("w_in") - (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) * F.col("k") / twice
-        best = options.groupBy("ref").agg(F.min_by("c", F.struct(-F.round(gain, 9), (F.col("c") != F.col("own")).cast("int"), F.col("c"))).alias("best"))
-        turn = F.pmod(F.xxhash64("ref", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = materialise(at.join(best, "ref").select("ref", "k", F.when(turn, F.col("best")).otherwise(F.col("c")).alias("c"), (turn & (F.col("best") != F.col("c"))).alias("moved")))
-        still = not changed if r % 2 else False  # of this pair's first round
-        changed = not moved.where("moved").isEmpty()
-        at = moved.drop("moved")
-        if still and not changed:
-            break
-    name = at.groupBy("c").agg(F.min("ref").alias("community"))
-    return at.join(name, "c").select("ref", "community")
+    columns = ["subject", F.col("at").alias("ref"), "hops", "carried", "first_amount", "first_seen", "last_seen"]
+    if cut is None:
+        return out.select(*columns, F.lit(False).alias("truncated"))
+    return out.join(cut.distinct().withColumn("cut", F.lit(True)), "subject", "left").select(*columns, F.coalesce("cut", F.lit(False)).alias("truncated"))
 
 
 def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -251,25 +309,25 @@ def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
     ways to each node; going back, a node hands its share to those before it. The
     state is a row a source and node reached, so many sources are given in blocks.
     """
-    links = materialise(both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct())
+    links = written(both_ways(edges.select("src", "dst")).where("ref <> other").select("ref", "other").distinct())
     front = sources.select(F.col("ref").alias("source")).distinct().join(links.select(F.col("ref").alias("source")).distinct(), "source", "left_semi")
-    front = materialise(front.select("source", F.col("source").alias("ref"), F.lit(1.0).alias("ways")))
+    front = written(front.select("source", F.col("source").alias("ref"), F.lit(1.0).alias("ways")))
     seen, levels = front.select("source", "ref"), [front]
     while True:
         reached = front.join(links, "ref").groupBy("source", F.col("other").alias("ref")).agg(F.sum("ways").alias("ways"))
-        front = materialise(reached.join(seen, ["source", "ref"], "left_anti"))
+        front = written(reached.join(seen, ["source", "ref"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = materialise(seen.unionByName(front.select("source", "ref")))
+        seen = written(seen.unionByName(front.select("source", "ref")))
     part = levels[-1].select("source", "ref", "ways", F.lit(0.0).alias("part"))
     sums = None
     for level in reversed(levels[:-1]):
         scored = part.select("ref", F.col("part").alias("score"))
-        sums = scored if sums is None else materialise(sums.unionByName(scored).groupBy("ref").agg(F.sum("score").alias("score")))
+        sums = scored if sums is None else written(sums.unionByName(scored).groupBy("ref").agg(F.sum("score").alias("score")))
         hand = part.join(links, "ref").select("source", F.col("other").alias("ref"), ((1 + F.col("part")) / F.col("ways")).alias("share"))
         got = hand.groupBy("source", "ref").agg(F.sum("share").alias("share"))
-        part = materialise(level.join(got, ["source", "ref"], "left").select("source", "ref", "ways", (F.col("ways") * F.coalesce("share", F.lit(0.0))).alias("part")))
+        part = written(level.join(got, ["source", "ref"], "left").select("source", "ref", "ways", (F.col("ways") * F.coalesce("share", F.lit(0.0))).alias("part")))
     if sums is None:
         return links.limit(0).select("ref", F.lit(0.0).alias("score"))
     return sums.groupBy("ref").agg((F.sum("score") / 2).alias("score")).where("score > 0")
@@ -287,20 +345,20 @@ def bridges(edges: DataFrame) -> DataFrame:
     rounds are as many as the tree is deep.
     """
     kinds = dict(edges.dtypes)
-    once = materialise(edges.where("a <> b").select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ways = materialise(once.select("cluster", F.col("a").alias("ref"), F.col("b").alias("other")).unionByName(once.select("cluster", F.col("b").alias("ref"), F.col("a").alias("other"))))
+    once = written(edges.where("a <> b").select("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ways = written(once.select("cluster", F.col("a").alias("ref"), F.col("b").alias("other")).unionByName(once.select("cluster", F.col("b").alias("ref"), F.col("a").alias("other"))))
     names = ways.select(F.xxhash64("cluster", "ref").alias("id"), "cluster", "ref").distinct()
     part = connected_components(once.select(F.xxhash64("cluster", "a").alias("a"), F.xxhash64("cluster", "b").alias("b")))
     root = names.join(part, names["id"] == part["node"]).groupBy("component").agg(F.min(F.struct("cluster", "ref")).alias("r")).select("r.*")
-    front = materialise(root.withColumn("parent", F.lit(None).cast(kinds["a"])))
+    front = written(root.withColumn("parent", F.lit(None).cast(kinds["a"])))
     seen, levels = front.select("cluster", "ref"), [front]
     while True:
         reached = front.join(ways, ["cluster", "ref"]).groupBy("cluster", F.col("other").alias("ref2")).agg(F.min("ref").alias("parent")).withColumnRenamed("ref2", "ref")
-        front = materialise(reached.join(seen, ["cluster", "ref"], "left_anti"))
+        front = written(reached.join(seen, ["cluster", "ref"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = materialise(seen.unionByName(front.select("cluster", "ref")))
+        seen = written(seen.unionByName(front.select("cluster", "ref")))
     tree = None
     for level in levels[1:]:
         rows = level.select("cluster", F.least("ref", "parent").alias("a"), F.greatest("ref", "parent").alias("b"))
@@ -309,13 +367,13 @@ def bridges(edges: DataFrame) -> DataFrame:
         return once.limit(0)
     rest = once.join(tree, ["cluster", "a", "b"], "left_anti").withColumn("number", F.xxhash64("cluster", "a", "b"))
     ends = rest.select("cluster", F.col("a").alias("ref"), "number").unionByName(rest.select("cluster", F.col("b").alias("ref"), "number"))
-    own = materialise(ends.groupBy("cluster", "ref").agg(F.bit_xor("number").alias("own")))
+    own = written(ends.groupBy("cluster", "ref").agg(F.bit_xor("number").alias("own")))
     cut, above = None, None
     for level in reversed(levels[1:]):
         held = level.join(own, ["cluster", "ref"], "left").withColumn("left", F.coalesce("own", F.lit(0).cast("long")))
         if above is not None:
             held = held.join(above, ["cluster", "ref"], "left").withColumn("left", F.col("left").bitwiseXOR(F.coalesce("below", F.lit(0).cast("long"))))
-        held = materialise(held.select("cluster", "ref", "parent", "left"))
+        held = written(held.select("cluster", "ref", "parent", "left"))
         found = held.where("left = 0").select("cluster", F.least("ref", "parent").alias("a"), F.greatest("ref", "parent").alias("b"))
         cut = found if cut is None else cut.unionByName(found)
         above = held.groupBy("cluster", F.col("parent").alias("ref")).agg(F.bit_xor("left").alias("below"))
@@ -352,18 +410,3 @@ def random_walks(edges: DataFrame, length: int = 12, per_node: int = 4, seed: in
         step = walks.join(sizes, walks["at"] == sizes["ref"]).select("walk", "path", "at", pick.alias("i"))
         walks = _every(step.join(numbered, (step["at"] == numbered["ref"]) & (step["i"] == numbered["i"])).select("walk", F.col("other").alias("at"), F.concat("path", F.array(F.col("other").cast("string"))).alias("path")), k)
     return walks.select("walk", "path")
-
-
-def fuzzy_names(names: DataFrame, text: str) -> DataFrame:
-    """``ref, name, score`` of names with a token within two edits of every query word of three letters or more (shorter: equal)."""
-    words = [x for x in text.lower().split() if x not in ("and", "or", "not", "to")]
-    tokens = F.split(F.lower(F.regexp_replace("name", r"[^\p{L}\p{N}]+", " ")), " ")
-    scores = []
-    nearest = lambda word: F.array_min(F.transform(tokens, lambda t: F.levenshtein(t, F.lit(word))))
-    for word in words:
-        distance = nearest(word)
-        scores.append(F.when(distance <= (2 if len(word) >= 3 else 0), 1 - distance / max(1, len(word))))
-    if not scores:
-        return names.select("ref", "name", F.lit(0.0).alias("score")).where(F.lit(False))
-    total = sum(scores[1:], scores[0]) / len(scores)
-    return names.select("ref", "name", total.alias("score")).where("score is not null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,17 @@ def materialise(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(scratch_folder(df.sparkSession, "checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and go on from the table: for rounds that each join the last one's rows.
+
+    A checkpoint keeps the planner's guess of its size, which joins multiply, so
+    that after some rounds the guess alone has millions of digits and planning
+    takes longer than the work; a table is as large as its files. It is also
+    computed once, where a checkpoint computes its last stage twice. But it
+    forgets how its rows were dealt.
+    """
+    folder = f"{scratch_folder(df.sparkSession, 'rounds-')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

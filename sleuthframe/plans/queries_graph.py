@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sleuthframe.operators import graph
+from sleuthframe.operators import communities, graph, search
 from sleuthframe.operators.components import connected_components
 from sleuthframe.plans import world as w
 from sleuthframe.sources.tables import table
@@ -65,6 +65,45 @@ def k_hop(spark, d):
     return graph.within_hops(w.activity(spark, d).where(F.col("ref") % EVERY == 0).select("ref").distinct(), met(spark, d), 2)
 
 
+def _around_sql(depth: int, most: int) -> str:
+    """Nodes n0, n1, ... by hops, each seed's first by ref as long as there is room."""
+    parts = [f"n0 AS MATERIALIZED (SELECT DISTINCT ref AS seed, ref, 0 AS hops FROM activity WHERE ref % {EVERY} = 0)"]
+    for k in range(1, depth + 1):
+        known = " UNION ALL ".join(f"SELECT * FROM n{j}" for j in range(k))
+        parts.append(
+            f"""k{k} AS MATERIALIZED ({known}), n{k} AS MATERIALIZED (SELECT seed, ref, {k} AS hops FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY ref) AS place FROM (SELECT DISTINCT seed, other AS ref FROM n{k - 1} JOIN links USING (ref)) x
+ WHERE NOT EXISTS (SELECT 1 FROM k{k} WHERE k{k}.seed = x.seed AND k{k}.ref = x.ref)) JOIN (SELECT seed, {most} - count(*) AS room FROM k{k} GROUP BY 1) USING (seed) WHERE place <= room)"""
+        )
+    return f"{LINKS}, " + ", ".join(parts) + ", nodes AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{k}" for k in range(depth + 1)) + ")"
+
+
+#: Steps around a seed, and nodes that are shown of them.
+AROUND, SHOWN = 3, 500
+
+
+def around(spark, d):
+    seeds = w.activity(spark, d).where(F.col("ref") % EVERY == 0).select("ref").distinct()
+    return graph.neighbourhood(seeds, met(spark, d), AROUND, SHOWN)
+
+
+@query(w.sql("activity contacts", f"WITH {_around_sql(AROUND, SHOWN)} SELECT seed, ref, hops FROM nodes"))
+def neighbourhood_nodes(spark, d):
+    """Who is around every twentieth user: 500 at most, within three steps."""
+    return around(spark, d)[0]
+
+
+@query(
+    w.sql(
+        "activity contacts",
+        f"""WITH {_around_sql(AROUND, SHOWN)}, t AS (SELECT DISTINCT seed, contact_id, a, b FROM nodes JOIN contacts ON a = ref WHERE hops < {AROUND} UNION SELECT seed, contact_id, a, b FROM nodes JOIN contacts ON b = ref WHERE hops < {AROUND})
+SELECT t.seed, contact_id AS edge_id, a AS src, b AS dst, x.ref IS NULL OR y.ref IS NULL AS beyond FROM t LEFT JOIN nodes x ON x.seed = t.seed AND x.ref = a LEFT JOIN nodes y ON y.seed = t.seed AND y.ref = b""",
+    )
+)
+def neighbourhood_links(spark, d):
+    """Their contacts, each once a seed, and whether one leads beyond the nodes shown."""
+    return around(spark, d)[1]
+
+
 @query(
     w.sql(
         "contacts",
@@ -76,9 +115,8 @@ SELECT a, ref AS b, min(hops) AS length FROM p WHERE ref <> a GROUP BY 1, 2""",
 def shortest_path(spark, d):
     """From every twentieth user to all others, at most eight steps."""
     edges = met(spark, d)
-    people = edges.select(F.col("src").alias("ref")).union(edges.select("dst")).distinct()
-    pairs = people.where(F.col("ref") % EVERY == 0).select(F.col("ref").alias("a"), F.lit(1).alias("k")).join(people.select(F.col("ref").alias("b"), F.lit(1).alias("k")), "k").where("a <> b").drop("k")  # the stated queries against all
-    return graph.shortest_paths(pairs, edges, 8).select("a", "b", "length")
+    people = edges.select(F.col("src").alias("ref")).union(edges.select("dst"))
+    return graph.paths_from(people.where(F.col("ref") % EVERY == 0), edges, 8).select("a", "b", "length")
 
 
 def _cycles_sql(hops: int = 8) -> str:
@@ -116,6 +154,23 @@ def closed_trails(spark, d):
     return found.select(F.array_join(F.transform("trail", lambda x: x.cast("string")), ",").alias("trail"), "length", F.round("total", 2).alias("total"), F.round("retention", 4).alias("retention"))
 
 
+def _best_trails_sql(loss: float = 0.008, most: int = 6) -> str:
+    """Whole trails, one transfer after the other, that lose at most ``loss``: more than 25 of each length."""
+    parts = ["WITH t AS MATERIALIZED (SELECT edge_id, src, dst, amount FROM transfers WHERE amount > 0)", "p1 AS (SELECT [edge_id] AS ids, src AS origin, dst AS spot, amount AS fa, amount AS la, amount AS total FROM t)"]
+    for k in range(2, most + 1):
+        parts.append(f"p{k} AS MATERIALIZED (SELECT list_append(ids, t.edge_id) AS ids, origin, dst AS spot, fa, t.amount AS la, total + t.amount AS total FROM p{k - 1} p JOIN t ON t.src = p.spot AND t.amount <= p.la AND t.amount >= {1 - loss} * fa WHERE NOT list_contains(ids, t.edge_id))")
+    closed = " UNION ALL ".join(f"SELECT ids, {k} AS length, total, la / fa AS retention FROM p{k} WHERE spot = origin" for k in range(3, most + 1))
+    return w.sql("transfers", ", ".join(parts) + f""", c AS ({closed}), r AS (SELECT *, row_number() OVER (PARTITION BY length ORDER BY retention DESC, ids) AS rank FROM c)
+SELECT array_to_string(ids, ',') AS trail, length, rank, round(total, 2) AS total, round(retention, 6) AS retention FROM r WHERE rank <= 25""")
+
+
+@query(_best_trails_sql())
+def best_trails(spark, d):
+    """Of trails of three to six transfers that each pass on 85 % or more, and end where they began, the 25 of each length that keep most."""
+    found = graph.best_trails(w.transfers(spark, d))
+    return found.select(F.array_join(F.transform("trail", lambda x: x.cast("string")), ",").alias("trail"), "length", "rank", F.round("total", 2).alias("total"), F.round("retention", 6).alias("retention"))
+
+
 @query(
     w.sql(
         "activity contacts",
@@ -132,28 +187,41 @@ def risk_propagation(spark, d):
     return graph.propagate(seeds, met(spark, d)).withColumn("delta", F.round("delta", 6))
 
 
-def _reach_sql(hops: int = 4) -> str:
+def reach_ctes(hops: int = 4, most: int = 400) -> str:
+    """h1, h2, ... by hops, the frontier bounded from h2 on; ``reached`` is all of them, ``cut`` the subjects that had more."""
     parts = [
-        "WITH m AS MATERIALIZED (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4)",
-        "h1 AS MATERIALIZED (SELECT * FROM (SELECT src AS subject, dst AS spot, amount AS fa, amount, ts AS fts, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m) WHERE r = 1 AND spot <> subject)",
+        "m AS MATERIALIZED (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4)",
+        "h1 AS MATERIALIZED (SELECT *, 0 AS place FROM (SELECT src AS subject, dst AS spot, amount AS fa, amount, ts AS t0, ts AS t1, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m) WHERE r = 1 AND spot <> subject)",
     ]
     for k in range(2, hops + 1):
-        known = " ".join(f"AND NOT EXISTS (SELECT 1 FROM h{j} WHERE h{j}.subject = x.subject AND h{j}.spot = x.spot)" for j in range(1, k))
+        known = " ".join(f"AND NOT EXISTS (SELECT 1 FROM h{j} WHERE h{j}.subject = x.subject AND h{j}.spot = x.spot{f' AND h{j}.place <= {most}' if j > 1 else ''})" for j in range(1, k))
         parts.append(
-            f"""h{k} AS MATERIALIZED (SELECT * FROM (SELECT subject, m.dst AS spot, fa, m.amount, fts, m.amount / fa AS carried, row_number() OVER (PARTITION BY subject, m.dst ORDER BY m.amount / fa DESC, edge_id) AS r FROM h{k - 1} h JOIN m ON m.src = h.spot
- WHERE m.amount <= h.amount AND m.amount >= 0.8 * h.amount AND m.amount >= 0.55 * fa AND abs(date_diff('day', fts, m.ts)) <= 30) x WHERE r = 1 AND spot <> subject {known})"""
+            f"""h{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY carried DESC, spot) AS place FROM (SELECT subject, m.dst AS spot, fa, m.amount, least(t0, m.ts) AS t0, greatest(t1, m.ts) AS t1, m.amount / fa AS carried, row_number() OVER (PARTITION BY subject, m.dst ORDER BY m.amount / fa DESC, edge_id) AS r FROM h{k - 1} h JOIN m ON m.src = h.spot
+ WHERE h.place <= {most} AND m.amount <= h.amount AND m.amount >= 0.8 * h.amount AND m.amount >= 0.55 * fa AND epoch_us(greatest(t1, m.ts)) - epoch_us(least(t0, m.ts)) <= 30 * 86400000000) x WHERE r = 1 AND spot <> subject {known})"""
         )
-    rows = " UNION ALL ".join(f"SELECT subject, spot AS ref, {k} AS hops, round(carried, 4) AS carried, fa AS first_amount FROM h{k}" for k in range(1, hops + 1))
-    return w.sql("transfers", ",\n".join(parts) + " " + rows)
+    rows = " UNION ALL ".join(f"SELECT subject, spot, {k} AS hops, carried, fa, t0, t1 FROM h{k} WHERE place <= {most}" for k in range(1, hops + 1))
+    cut = " UNION ".join(f"SELECT DISTINCT subject FROM h{k} WHERE place > {most}" for k in range(2, hops + 1))
+    return ",\n".join(parts) + f", reached AS ({rows}), cut AS ({cut})"
+
 
+def _reach_sql(most: int) -> str:
+    return w.sql("transfers", f"WITH {reach_ctes(4, most)} SELECT subject, spot AS ref, hops, round(carried, 4) AS carried, fa AS first_amount, t0 AS first_seen, t1 AS last_seen, subject IN (FROM cut) AS truncated FROM reached")
 
-@query(_reach_sql())
+
+@query(_reach_sql(400))
 def forward_reach(spark, d):
     """Where every account's money goes, up to four hops."""
     subjects = w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref")
     return graph.forward_reach(subjects, w.transfers(spark, d)).withColumn("carried", F.round("carried", 4))
 
 
+@query(_reach_sql(20))
+def capped_reach(spark, d):
+    """The same from 20 targets a hop at most, and which accounts had more."""
+    subjects = w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref")
+    return graph.forward_reach(subjects, w.transfers(spark, d), most=20).withColumn("carried", F.round("carried", 4))
+
+
 COMPONENTS = """e AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM transfers WHERE src <> dst),
 n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c AS (SELECT x AS node, x AS component FROM n UNION SELECT n.y, c.component FROM c JOIN n ON n.x = c.node)"""
 
@@ -167,9 +235,24 @@ def transfer_components(spark, d):
 
 @query()
 def louvain_communities(spark, d):
+    """Communities of users by how often they are in contact."""
     pairs = w.contacts(spark, d).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    found = graph.communities(pairs)
-    return found.join(found.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "community").select("ref", "community", "size")
+    found = communities.louvain(pairs)
+    return found.join(found.groupBy("community").agg(F.count(F.lit(1)).alias("size")), "community").select("ref", "community", "size", "level", "settled")
+
+
+@query(
+    w.sql(
+        "assessments",
+        """SELECT -subject - 1 AS community, count(*) + 1 AS size, count(*) FILTER (band <> 'insufficient') AS assessed, count(*) FILTER (band IN ('elevated', 'notable')) AS flagged,
+ arg_min(id, (-score, id)) AS top_ref, arg_min(band, (-score, id)) AS top_band, max(score) AS top_score FROM assessments GROUP BY subject""",
+    )
+)
+def community_summary(spark, d):
+    """Communities of subjects and their assessments: how many members are flagged, of how many that could be assessed, and who leads."""
+    found = w.assessments(spark, d).select("id", "subject", "band", "score")
+    parts = communities.louvain(found.select((-F.col("subject") - 1).alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("weight")))
+    return communities.community_summary(parts, found.select(F.col("id").alias("ref"), "band", "score"))
 
 
 @query()
@@ -267,8 +350,28 @@ def entity_timeline(spark, d):
     return rows.withColumn("r", F.row_number().over(order)).where("r <= 200").select("ref", "kind", "id", "ts")
 
 
-@query("SELECT p_partkey AS ref, p_name AS name FROM part WHERE list_min(list_transform(string_split(lower(p_name), ' '), lambda x: levenshtein(x, 'smal'))) <= 2 AND list_min(list_transform(string_split(lower(p_name), ' '), lambda x: levenshtein(x, 'ring'))) <= 2")
+def _search_sql(queries: str, most: int | None = None) -> str:
+    """Every different word of a query against every different word of the names."""
+    words = lambda c: f"list_filter(list_distinct(string_split(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')), lambda x: x <> '')"
+    return f"""WITH q AS (SELECT query, {words("text")} AS terms FROM ({queries})), e AS (SELECT query, len(terms) AS n, unnest(terms) AS term FROM q), p AS (SELECT p_partkey AS ref, p_name AS name, unnest({words("p_name")}) AS word FROM part),
+l AS (SELECT term, word, 1 - levenshtein(term, word) / length(term) AS part FROM (SELECT DISTINCT term FROM e), (SELECT DISTINCT word FROM p) WHERE term = word OR (length(term) >= 3 AND levenshtein(term, word) <= 2)),
+f AS (SELECT query, n, ref, name, term, max(part) AS part FROM e JOIN l USING (term) JOIN p USING (word) GROUP BY ALL), s AS (SELECT query, ref, name, count(*) AS matched, round(sum(part) / n, 6) AS score FROM f GROUP BY query, n, ref, name)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, ref) AS rank FROM s){f" WHERE rank <= {most}" if most else ""}"""
+
+
+def part_names(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("name"))
+
+
+@query(_search_sql("SELECT 0 AS query, 'smal ring and' AS text"))
 def fuzzy_search(spark, d):
-    """Names with words like the query's."""
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("ref"), F.col("p_name").alias("name"))
-    return graph.fuzzy_names(parts, "smal ring").select("ref", "name")
+    """Names with any word like one of the query's, ranked."""
+    return search.search_names(part_names(spark, d), spark.range(1).select(F.col("id").alias("query"), F.lit("smal ring and").alias("text")))
+
+
+@query(_search_sql(f"SELECT p_partkey AS query, substr(p_name, 2) AS text FROM part WHERE p_partkey % {EVERY} = 0", 10))
+def name_search(spark, d):
+    """The ten names most like every twentieth one, whose first letter is lost."""
+    names = part_names(spark, d)
+    asked = names.where(F.col("ref") % EVERY == 0).select(F.col("ref").alias("query"), F.expr("substring(name, 2)").alias("text"))
+    return search.search_names(names, asked, 10)
