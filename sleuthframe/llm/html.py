@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -120,7 +121,8 @@ def _region(name: str, attributes: str, around: str, in_main: bool) -> str:
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with regions."""
     found: list[Block] = []
-    stack: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # name, region, whether a main element is open, the block that texts within belong to
+    counts: Counter[str] = Counter()  # open elements by name, so that a closing tag without one is passed over at once
     opened = 0
     parts: list[str] = []
     region, heading, in_link, linked = "", False, 0, 0
@@ -129,11 +131,18 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            parent = next((n for name, _, n in reversed(stack) if name not in TEXTUAL), 0)
-            found.append(Block("out" if region in ("out", "comments") else region, heading, text, linked, parent))
+            found.append(Block("out" if region in ("out", "comments") else region, heading, text, linked, stack[-1][3] if stack else 0))
         parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        """Close the element at ``k`` and all within it."""
+        nonlocal region
+        for entry in stack[k:]:
+            counts[entry[0]] -= 1
+        del stack[k:]
+        region = stack[-1][1] if stack else ""
+
     for kind, name, attributes in tokens(html):
         if kind == "text":
             if region != "hidden":
@@ -152,29 +161,28 @@ def blocks(html: str) -> list[Block]:
         if name in CLOSED:
             continue
         if kind == "open":
-            here = _region(name, attributes, region, any(r == "main" for _, r, _ in stack))
+            here = _region(name, attributes, region, bool(stack) and stack[-1][2])
             if here != region and not border:
                 flush()
             if name in HEADINGS:
                 heading = True
             if border or here != region:
                 if name == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                    region = stack[-1][1] if stack else ""
-                    here = _region(name, attributes, region, any(r == "main" for _, r, _ in stack))
+                    close(len(stack) - 1)
+                    here = _region(name, attributes, region, bool(stack) and stack[-1][2])
                 opened += 1
-                stack.append((name, here, opened))
+                _, _, in_main, parent = stack[-1] if stack else ("", "", False, 0)
+                stack.append((name, here, in_main or here == "main", parent if name in TEXTUAL else opened))
+                counts[name] += 1
                 region = here
         else:
             if name in HEADINGS:
                 heading = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][1] != (stack[k - 1][1] if k else "") and not border:
-                        flush()
-                    del stack[k:]
-                    region = stack[-1][1] if stack else ""
-                    break
+            if counts[name]:
+                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+                if stack[k][1] != (stack[k - 1][1] if k else "") and not border:
+                    flush()
+                close(k)
     flush()
     return found
 

@@ -1,5 +1,6 @@
 """Helpers that need no Spark."""
 
+import time
 import zlib
 
 import numpy as np
@@ -300,3 +301,16 @@ def test_markov_ratio_prefers_its_class():
 def test_trigrams():
     assert langid.trigrams(None).sum() == langid.trigrams("12 34").sum() == 0
     assert (langid.trigrams("Abc, ABC!") == langid.trigrams("abc abc")).all()
+
+
+@pytest.mark.parametrize("page", ["<p>" + "<div>" * 40_000, "<div>x" * 40_000, "<div>" * 20_000 + "</section>" * 20_000, "<h1>a" * 40_000, "<main>x" * 40_000, "<li>x" * 40_000, "<a href=x>y" * 40_000])
+def test_html_of_any_nesting_takes_time_in_proportion(page):
+    """A quarter of a page takes about a quarter of its time; when every opened element looked at all around it, a sixteenth."""
+
+    def seconds(text):
+        began = time.process_time()
+        html.main_text(text)
+        return time.process_time() - began
+
+    seconds(page[:1000])
+    assert seconds(page) < 9 * max(seconds(page[: len(page) // 4]), 0.03)
