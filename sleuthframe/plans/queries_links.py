@@ -9,6 +9,7 @@ from sleuthframe.operators import graph
 from sleuthframe.operators import resolution as r
 from sleuthframe.plans import world as w
 from sleuthframe.plans.lineage import materialise
+from sleuthframe.plans.queries_graph import reach_ctes
 from sleuthframe.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -91,19 +92,23 @@ def co_attendance(spark, d):
 MET = "met AS (SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM contacts WHERE a <> b GROUP BY 1, 2)"
 
 
+COINCIDENT = """e AS (SELECT ref, epoch_us(ts) AS us, event_id FROM activity), en AS (SELECT ref, count(*) AS n FROM e GROUP BY 1), eg AS (SELECT max(us) - min(us) AS span FROM e),
+ep AS (SELECT q.a, q.b, x.n AS n_a, y.n AS n_b FROM asked q JOIN en x ON x.ref = q.a JOIN en y ON y.ref = q.b WHERE x.n >= 3 AND y.n >= 3), eh AS (SELECT ep.a, ep.b, count(DISTINCT e.event_id) AS hits FROM ep JOIN e ON e.ref = ep.a WHERE EXISTS (SELECT 1 FROM e f WHERE f.ref = ep.b AND abs(f.us - e.us) <= 86400000000) GROUP BY 1, 2),
+coincident AS (SELECT ep.a, ep.b, n_a, n_b, coalesce(hits, 0) AS hits, least(n_a, n_a * n_b * 2 * 86400000000 / span) AS expected, coalesce(hits, 0) / least(n_a, n_a * n_b * 2 * 86400000000 / span) AS lift FROM ep LEFT JOIN eh ON eh.a = ep.a AND eh.b = ep.b, eg)"""
+
+
 @query(
     w.sql(
         "activity contacts",
-        f"""WITH {MET}, e AS (SELECT ref, epoch_us(ts) AS us, event_id FROM activity), n AS (SELECT ref, count(*) AS n FROM e GROUP BY 1), g AS (SELECT max(us) - min(us) AS span FROM e),
-p AS (SELECT met.a, met.b, x.n AS n_a, y.n AS n_b FROM met JOIN n x ON x.ref = met.a JOIN n y ON y.ref = met.b WHERE x.n >= 3 AND y.n >= 3), h AS (SELECT p.a, p.b, count(DISTINCT e.event_id) AS hits FROM p JOIN e ON e.ref = p.a JOIN e f ON f.ref = p.b AND abs(f.us - e.us) <= 7200000000 GROUP BY 1, 2)
-SELECT p.a, p.b, n_a, n_b, coalesce(hits, 0) AS hits, round(least(n_a, n_a * n_b * 2 * 7200000000 / span), 4) AS expected,
- round(coalesce(hits, 0) / least(n_a, n_a * n_b * 2 * 7200000000 / span), 4) AS lift FROM p LEFT JOIN h ON h.a = p.a AND h.b = p.b, g""",
+        f"""WITH {MET}, asked AS (SELECT a, b FROM met), {COINCIDENT} SELECT a, b, n_a, n_b, hits, round(expected, 4) AS expected, round(lift, 4) AS lift,
+ round(CASE WHEN lift <= 1.8 THEN 0.0 WHEN lift >= 2.6 THEN 1.0 ELSE (lift - 1.8) / 0.8 END, 4) AS raw FROM coincident""",
     )
 )
 def coincidence(spark, d):
-    """How often those who are in contact act within two hours of each other, against chance."""
+    """How often those who are in contact act within a day of each other, against chance."""
     rows = w.activity(spark, d).select(F.col("ref").alias("subject"), "ts")
-    return rounded(c.coincidences(rows, met(spark, d).select("a", "b"), 2), "expected", "lift").select("a", "b", "n_a", "n_b", "hits", "expected", "lift")
+    found = c.coincidences(rows, met(spark, d).select("a", "b")).withColumn("raw", c.slope(F.col("lift"), 1.8, 2.6))
+    return rounded(found, "expected", "lift", "raw").select("a", "b", "n_a", "n_b", "hits", "expected", "lift", "raw")
 
 
 def met(spark, d):
@@ -141,88 +146,43 @@ def affiliations(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("key"))
 
 
+MIDDLES = """pl AS (SELECT ref AS subject, radians((ref % 5) * 0.1 + (event_id % 3) / 100.0) AS lat, radians((ref % 7) * 0.1) AS lng FROM activity),
+pm AS (SELECT subject, count(*) AS n, avg(cos(lat) * cos(lng)) AS x, avg(cos(lat) * sin(lng)) AS y, avg(sin(lat)) AS z FROM pl GROUP BY 1 HAVING count(*) >= 2),
+middles AS (SELECT subject, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lng FROM pm)"""
 KM = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lng - x.lng) / 2), 2))))"
 
 
 @query(
     w.sql(
         "activity",
-        f"""WITH p AS (SELECT ref AS subject, radians((ref % 5) * 0.1 + (event_id % 3) / 100.0) AS lat, radians((ref % 7) * 0.1) AS lng FROM activity),
-m AS (SELECT subject, count(*) AS n, avg(cos(lat) * cos(lng)) AS x, avg(cos(lat) * sin(lng)) AS y, avg(sin(lat)) AS z FROM p GROUP BY 1 HAVING count(*) >= 2),
-s AS (SELECT subject, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lng FROM m), k AS (SELECT x.subject AS a, y.subject AS b, {KM} AS km FROM s x JOIN s y ON x.subject < y.subject)
+        f"""WITH {MIDDLES}, k AS (SELECT x.subject AS a, y.subject AS b, {KM} AS km FROM middles x JOIN middles y ON x.subject < y.subject)
 SELECT a, b, round(CASE WHEN km >= 25 THEN 0.0 WHEN km <= 2 THEN 1.0 ELSE (25 - km) / 23 END, 4) AS raw FROM k WHERE km <= 25""",
     )
 )
 def proximity(spark, d):
     """Users whose usual places are within 25 km."""
-    lat, lng = (F.col("ref") % 5) * 0.1 + (F.col("event_id") % 3) / 100, (F.col("ref") % 7) * 0.1
-    return rounded(c.proximity(w.activity(spark, d).select(F.col("ref").alias("subject"), lat.alias("lat"), lng.alias("lng"))), "raw")
-
-
-@query(
-    w.sql(
-        "transfers",
-        """WITH m AS MATERIALIZED (SELECT src, dst, ts, edge_id, max(amount) AS amount FROM transfers WHERE amount > 0 AND src <> dst GROUP BY 1, 2, 3, 4), o AS (SELECT src, sum(amount) AS outflow FROM transfers GROUP BY 1),
-h AS (SELECT * FROM (SELECT src AS subject, dst AS spot, amount AS fa, 1 AS hops, 1.0::DOUBLE AS carried, row_number() OVER (PARTITION BY src, dst ORDER BY amount DESC, edge_id) AS r FROM m) WHERE r = 1),
-d AS (SELECT least(subject, spot) AS a, greatest(subject, spot) AS b, arg_min(struct_pack(fa := fa, s := subject, hops := hops), (hops, -carried, subject)) AS t FROM h GROUP BY 1, 2)
-SELECT a, b, round(CASE WHEN t.fa / outflow <= 0.05 THEN 0.0 WHEN t.fa / outflow >= 0.3 THEN 1.0 ELSE (t.fa / outflow - 0.05) / 0.25 END, 5) AS raw FROM d JOIN o ON o.src = t.s""",
-    )
-)
-def funds_path(spark, d):
-    """Direct payments: the shorter way of either direction, weighed by its share of what the payer sends."""
-    money = w.transfers(spark, d)
-    subjects = w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref")
-    return rounded(c.funds_path(graph.forward_reach(subjects, money, hops=1), money), "raw", digits=5)
-
+    return rounded(c.proximity(places(spark, d)), "raw")
 
-def evidence(spark, d):
-    """Dimensions of customer pairs: parts, nations and segments in common, and contact of users (who are customers here)."""
-    named = lambda rows, name: rows.select("a", "b", F.lit(name).alias("dimension"), "raw")
-    money = counterparty_lift(spark, d).select("a", "b", c.slope(F.col("lift"), 1.0, 1.6).alias("raw"))
-    places = table(spark, d, "customer").select(F.col("c_custkey").alias("subject"), F.col("c_nationkey").alias("key"))
-    population = table(spark, d, "customer").count()
-    near = c.shared_rarity(places, population).select("a", "b", F.col("observed").alias("raw"))
-    same = c.shared_dimension(affiliations(spark, d), population, 0.40, 1.60)
-    out = named(money, "shared_counterparty").unionByName(named(near, "shared_corridor")).unionByName(named(same, "affiliation"))
-    return out.unionByName(named(c.communication(met(spark, d)), "communication"))
 
-
-EVIDENCE = f"""{LIFT}, pl AS (SELECT c_custkey AS subject, c_nationkey AS key FROM customer), ps AS (SELECT key, count(*) AS n FROM pl GROUP BY 1), sg AS (SELECT c_custkey AS subject, c_mktsegment || '-' || c_nationkey AS key FROM customer), ss AS (SELECT key, count(*) AS n FROM sg GROUP BY 1),
-{MET}, co AS (SELECT a AS subject, b AS key FROM met UNION ALL SELECT b, a FROM met), cs AS (SELECT key, count(*) AS n FROM co GROUP BY 1), cg AS (SELECT count(DISTINCT subject)::DOUBLE AS p FROM co),
-ci AS (SELECT x.subject AS a, y.subject AS b, sum({RARITY}) AS observed FROM co x JOIN co y ON x.key = y.key AND x.subject < y.subject JOIN cs ON cs.key = x.key, cg GROUP BY 1, 2),
-ev AS (SELECT a, b, 'financial' AS family, CASE WHEN lift <= 1 THEN 0.0 WHEN lift >= 1.6 THEN 1.0 ELSE (lift - 1) / 0.6 END AS raw, 1.0 AS top FROM l
- UNION ALL SELECT x.subject, y.subject, 'logistical', {RARITY}, 0.85 FROM pl x JOIN pl y ON x.key = y.key AND x.subject < y.subject JOIN ps ON ps.key = x.key, g
- UNION ALL SELECT x.subject, y.subject, 'social', CASE WHEN {RARITY} <= 0.4 THEN 0.0 WHEN {RARITY} >= 1.6 THEN 1.0 ELSE ({RARITY} - 0.4) / 1.2 END, 1.0 FROM sg x JOIN sg y ON x.key = y.key AND x.subject < y.subject JOIN ss ON ss.key = x.key, g
- UNION ALL SELECT coalesce(met.a, ci.a), coalesce(met.b, ci.b), 'social', CASE WHEN met.n IS NOT NULL THEN least(1.0, met.n / 3) WHEN observed <= 0.7 THEN 0.0 WHEN observed >= 2.2 THEN 1.0 ELSE (observed - 0.7) / 1.5 END, 1.0 FROM met FULL JOIN ci ON ci.a = met.a AND ci.b = met.b),
-cv AS (SELECT a, b, count(*) / 8 AS coverage FROM ev GROUP BY 1, 2), bf AS (SELECT a, b, family, max(raw) AS raw, max(round(raw * top, 4)) AS contribution FROM ev WHERE raw > 0 GROUP BY 1, 2, 3),
-sc AS (SELECT bf.a, bf.b, 1 - product(1 - contribution) AS strength, count(*) AS nf, max(raw) AS ident FROM bf GROUP BY 1, 2)"""
-
-
-@query(
-    w.sql(
-        "accounts contacts",
-        f"""WITH {EVIDENCE} SELECT sc.a, sc.b, round(strength, 4) AS strength, coverage,
- CASE WHEN strength < 0.3 OR ident < 0.25 THEN 'none' WHEN strength >= 0.6 AND nf >= 2 AND coverage >= 0.5 THEN 'established' WHEN strength >= 0.45 THEN 'probable' ELSE 'possible' END AS tier FROM sc JOIN cv ON cv.a = sc.a AND cv.b = sc.b""",
-    )
-)
-def scored_links(spark, d):
-    return c.links(evidence(spark, d)).select("a", "b", "strength", "coverage", "tier")
+def places(spark, d):
+    """Where users were: ``subject, lat, lng``."""
+    lat, lng = (F.col("ref") % 5) * 0.1 + (F.col("event_id") % 3) / 100, (F.col("ref") % 7) * 0.1
+    return w.activity(spark, d).select(F.col("ref").alias("subject"), lat.alias("lat"), lng.alias("lng"))
 
 
-def clustered(spark, d):
-    return c.clusters(materialise(c.links(evidence(spark, d))))
+PATHS = f"""{reach_ctes()}, outflow AS (SELECT src, sum(amount) AS outflow FROM transfers GROUP BY 1),
+way AS (SELECT least(subject, spot) AS a, greatest(subject, spot) AS b, arg_min(struct_pack(fa := fa, s := subject, hops := hops), (hops, -carried, subject)) AS t FROM reached WHERE subject <> spot GROUP BY 1, 2),
+paths AS (SELECT a, b, (CASE WHEN t.hops >= 4 THEN 0.0 WHEN t.hops <= 1 THEN 1.0 ELSE (4 - t.hops) / 3.0::DOUBLE END) * (CASE WHEN t.fa / outflow <= 0.05 THEN 0.0 WHEN t.fa / outflow >= 0.3 THEN 1.0 ELSE (t.fa / outflow - 0.05) / 0.25 END) AS raw FROM way JOIN outflow ON src = t.s)"""
 
 
-@query()
-def link_clusters(spark, d):
-    found, _ = clustered(spark, d)
-    return found.withColumn("families", F.array_join("families", ","))
+def funds_reach(spark, d):
+    return graph.forward_reach(w.accounts(spark, d).select(F.col("ref").alias("subject"), "ref"), w.transfers(spark, d))
 
 
-@query()
-def cluster_members(spark, d):
-    _, members = clustered(spark, d)
-    return members
+@query(w.sql("transfers", f"WITH {PATHS} SELECT a, b, round(raw, 5) AS raw FROM paths"))
+def funds_path(spark, d):
+    """The shorter way of either direction, of four transfers at most, weighed by its first payment's share of what the payer sends."""
+    return rounded(c.funds_path(funds_reach(spark, d), w.transfers(spark, d)), "raw", digits=5)
 
 
 # --- resolution --------------------------------------------------------------------------------------------------
