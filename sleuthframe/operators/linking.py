@@ -19,6 +19,8 @@ SOURCES = (*KEYED, "communication_direct", "funds_path")
 RAMPS = {"shared_counterparty": (3.0, 8.0), "co_attendance": (0.60, 2.00), "communication_shared": (0.70, 2.20), "affiliation": (0.40, 1.60), "proximity": (25.0, 2.0), "coincidence": (1.8, 2.6)}
 #: Direct contacts that are full strength, and what an identifying family must reach to count.
 CONTACTS, FLOOR = 3, 0.25
+#: Added before rounding and comparing, so that halves and borders don't hang on the order of a sum.
+TIE = 1e-9
 DIMENSIONS = tuple(c.DIMENSIONS)
 
 
@@ -137,8 +139,8 @@ def score_links(evidence: DataFrame, able: DataFrame, same: DataFrame | None = N
     best = rows.groupBy("a", "b", family[F.col("dimension")].alias("family")).agg(F.max("raw").alias("raw"), F.max(F.when(F.col("dimension") == "funds_path", 1)).alias("path"))
     reached, known = F.col("raw") >= FLOOR, F.col("family").isin(*c.IDENTIFYING)
     names = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("family"))))
-    sums = best.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.round(F.col("raw") * ceiling[F.col("family")], 4))).alias("parts"), names(reached & known).alias("families"), names(reached & ~known).alias("supporting"), F.max("path").alias("path"))
-    sums = sums.where(F.size("families") > 0).withColumn("strength", c.noisy_or(F.col("parts"))).where("strength >= 0.30")
+    sums = best.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.round(F.col("raw") * ceiling[F.col("family")] + TIE, 4))).alias("parts"), names(reached & known).alias("families"), names(reached & ~known).alias("supporting"), F.max("path").alias("path"))
+    sums = sums.where(F.size("families") > 0).withColumn("strength", c.noisy_or(F.col("parts")) + TIE).where("strength >= 0.30")
     both = sums.join(able.toDF("a", "able_a", "cut_a"), "a", "left").join(able.toDF("b", "able_b", "cut_b"), "b", "left")
     unknown = F.when(F.col("path").isNull() & (F.coalesce("cut_a", F.lit(False)) | F.coalesce("cut_b", F.lit(False))), 1 << DIMENSIONS.index("funds_path")).otherwise(0)
     can = F.coalesce("able_a", F.lit(0)).bitwiseAND(F.coalesce("able_b", F.lit(0))).bitwiseAND(F.bitwise_not(unknown))

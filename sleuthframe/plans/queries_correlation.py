@@ -119,7 +119,7 @@ asked AS MATERIALIZED (SELECT DISTINCT a, b FROM named WHERE raw >= 0.25), {ql.M
 near AS (SELECT q.a, q.b, {ql.KM} AS km FROM asked q JOIN middles x ON x.subject = q.a JOIN middles y ON y.subject = q.b),
 every AS (SELECT named.* FROM named SEMI JOIN asked USING (a, b) UNION ALL SELECT a, b, 'proximity', 'spatial', least(1.0, greatest(0.0, (25 - km) / 23)), 0.25 FROM near WHERE km < 25 UNION ALL SELECT a, b, 'coincidence', 'temporal', least(1.0, greatest(0.0, (lift - 1.8) / 0.8)), 0.2 FROM coincident WHERE lift > 1.8),
 best AS (SELECT a, b, family, max(raw) AS raw, max(top) AS top, bool_or(dim = 'funds_path') AS path FROM every GROUP BY 1, 2, 3),
-scored AS (SELECT a, b, 1 - product(1 - round(raw * top, 4)) AS strength, coalesce(string_agg(family, ',' ORDER BY family) FILTER (raw >= 0.25 AND top > 0.5), '') AS families, coalesce(string_agg(family, ',' ORDER BY family) FILTER (raw >= 0.25 AND top < 0.5), '') AS supporting, count(*) FILTER (raw >= 0.25 AND top > 0.5) AS nf, bool_or(path) AS path FROM best GROUP BY 1, 2),
+scored AS (SELECT a, b, 1 - product(1 - round(raw * top + 1e-9, 4)) + 1e-9 AS strength, coalesce(string_agg(family, ',' ORDER BY family) FILTER (raw >= 0.25 AND top > 0.5), '') AS families, coalesce(string_agg(family, ',' ORDER BY family) FILTER (raw >= 0.25 AND top < 0.5), '') AS supporting, count(*) FILTER (raw >= 0.25 AND top > 0.5) AS nf, bool_or(path) AS path FROM best GROUP BY 1, 2),
 bits AS (SELECT subject, bit_or(bit) AS able FROM (SELECT subject, CASE source WHEN 'shared_counterparty' THEN 1 WHEN 'co_attendance' THEN 4 WHEN 'communication_shared' THEN 8 WHEN 'affiliation' THEN 16 ELSE 32 END AS bit FROM own UNION ALL SELECT ref, 2 FROM accounts UNION ALL SELECT subject, 64 FROM middles UNION ALL SELECT ref, 128 FROM en WHERE n >= 3) GROUP BY 1),
 linked AS (SELECT s.a, s.b, strength, families, supporting, nf, bit_count((x.able & y.able) & CASE WHEN NOT path AND (s.a IN (FROM cut) OR s.b IN (FROM cut)) THEN 253 ELSE 255 END) AS evaluable FROM scored s JOIN bits x ON x.subject = s.a JOIN bits y ON y.subject = s.b WHERE nf > 0 AND strength >= 0.3)"""
 
