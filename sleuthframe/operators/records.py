@@ -47,13 +47,13 @@ def capped(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFra
     return ranked.join(size, key)
 
 
-def blocking_keys(rows: DataFrame) -> DataFrame:
+def blocking_keys(rows: DataFrame, *also: str) -> DataFrame:
     """``ref, keys`` (array of ``kind, key``) from what a record has of ``name, born, city, country, phone, plate, imei, mac``.
 
     Names give their phonetic codes, sorted, four at most; the last word with the
     year of birth or the city; the whole name with the country. Phones give their
     last eight digits, devices and plates all of themselves. A missing or empty
-    part gives no key.
+    part gives no key. Columns ``also`` come along.
     """
     has = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in rows.columns else F.lit(None).cast("string")
     words = name_tokens(F.lower(has("name")))
@@ -65,7 +65,7 @@ def blocking_keys(rows: DataFrame) -> DataFrame:
         **{k: F.concat(F.lit(f"{k}:"), F.upper(F.regexp_replace(has(k), r"[^\p{L}\p{N}]", ""))) for k in ("plate", "imei", "mac")},
     }
     keys = F.array_compact(F.array(*[F.when(key.isNotNull(), F.struct(F.lit(kind).alias("kind"), key.alias("key"))) for kind, key in parts.items()]))
-    return rows.select("ref", keys.alias("keys"))
+    return rows.select("ref", *also, keys.alias("keys"))
 
 
 def keyed(rows: DataFrame) -> DataFrame:

@@ -110,24 +110,3 @@ def replay_breaks(events: DataFrame) -> DataFrame:
     seen = events.withColumn("_was", F.lag("new_value").over(order)).withColumn("_n", F.row_number().over(order))
     broken = seen.where((F.col("_n") > 1) & ~F.col("_was").eqNullSafe(F.col("old_value")))
     return broken.groupBy("entity").agg(F.min_by(F.struct("event_id", "field", F.col("_was").alias("expected"), "old_value"), F.struct("occurred_at", "event_id")).alias("e")).select("entity", "e.*")
-
-
-#: What stands before the first entry of a hash chain.
-GENESIS = "0" * 64
-
-
-def entry_hash(previous: Column, *fields: Column) -> Column:
-    """Digest of an entry and of the one before it; a null field differs from an empty one."""
-    return F.sha2(F.concat_ws("|", previous, *[F.coalesce(F.concat(F.lit("="), f.cast("string")), F.lit("-")) for f in fields]), 256)
-
-
-def chain_breaks(log: DataFrame, *fields: str) -> DataFrame:
-    """``log`` (``seq, prev_hash, entry_hash``) with ``linked`` and ``intact``: each entry is verified beside its neighbour only.
-
-    Every entry names its predecessor by sequence number, so the check is a join
-    and needs no order over the whole log.
-    """
-    before = log.select((F.col("seq") + 1).alias("seq"), F.col("entry_hash").alias("_before"))
-    joined = log.join(before, "seq", "left")
-    linked = F.col("prev_hash").eqNullSafe(F.coalesce("_before", F.lit(GENESIS)))
-    return joined.withColumn("linked", linked).withColumn("intact", F.col("entry_hash").eqNullSafe(entry_hash(F.col("prev_hash"), *[F.col(f) for f in fields]))).drop("_before")
