@@ -14,7 +14,7 @@ NO_DIRECTION = 1e-12
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return F.when(a.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def centroids(points: DataFrame, *keys: str) -> DataFrame:

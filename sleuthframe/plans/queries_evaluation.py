@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sleuthframe.operators import chains, evaluation, projections
+from sleuthframe.operators import chains, evaluation, profiles, projections
 from sleuthframe.operators import records as rec
 from sleuthframe.operators import resolution as r
 from sleuthframe.plans import queries_correlation as qc
@@ -60,6 +60,40 @@ def resolution_evaluation(spark, d):
     return evaluation.resolution_rates(judged(written(evaluation.labelled_pairs(rows, blocked))))
 
 
+def mixed_profiles(spark, d):
+    """Parts as profiles of the four types."""
+    rows = people(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("ref"), "p_size", "p_type"), "ref")
+    number = lambda step: F.lpad((F.col("ref") * step % 10_000_000_000).cast("string"), 10, "3")
+    return rows.select(
+        F.concat(F.lit("R"), F.col("ref").cast("string")).alias("ref"), F.element_at(F.array(*[F.lit(x) for x in ("Person", "Organization", "Vehicle", "Device")]), (F.col("ref") % 4 + 1).cast("int")).alias("entity_type"), "name",
+        F.col("born").alias("date_of_birth"), F.col("born").alias("registration_date"), "phone", "city", "country", number(7919).alias("plate"), number(104_729).alias("imei"), number(1_299_709).alias("mac"), F.col("p_size").cast("string").alias("make"), F.col("p_type").alias("device_type"),
+    )
+
+
+PROFILES = """pf AS (SELECT p_partkey AS k, 'R' || p_partkey AS ref, p_partkey % 4 AS kind, lpad(CAST(p_partkey * 7919 % 10000000000 AS VARCHAR), 10, '3') AS plate, lpad(CAST(p_partkey * 104729 % 10000000000 AS VARCHAR), 10, '3') AS imei, lpad(CAST(p_partkey * 1299709 % 10000000000 AS VARCHAR), 10, '3') AS mac FROM part)"""
+
+
+@query(
+    f"""WITH {PROFILES} SELECT 'X' || substr(ref, 2) AS probe, CASE WHEN k % 60 = 2 THEN 'ambiguous' ELSE 'matched' END AS verdict, CASE WHEN k % 60 <> 2 THEN ref END AS match, 1 AS searched, false AS truncated, ref AS candidates FROM pf WHERE k % 20 IN (2, 3)"""
+)
+def identifier_verdicts(spark, d):
+    """Vehicles and devices under new refs, some of them with another make or type: found by their numbers."""
+    rows = mixed_profiles(spark, d)
+    number = F.substring("ref", 2, 20).cast("long")
+    probes = rows.where(number % 20 < 4).where(number % 20 > 1).withColumn("make", F.when(number % 60 == 2, "other").otherwise(F.col("make")))
+    found = profiles.probe_verdicts(probes.withColumn("ref", F.concat(F.lit("X"), number.cast("string"))), rows)
+    return found.withColumn("candidates", F.array_join("candidates", ","))
+
+
+@query()
+def probe_verdicts(spark, d):
+    """What every twentieth profile is taken for when it comes again under another ref, with a slip in its name."""
+    rows = mixed_profiles(spark, d)
+    number = F.substring("ref", 2, 20).cast("long")
+    probes = rows.where(number % 20 < 4).withColumns({"ref": F.concat(F.lit("X"), number.cast("string")), "name": F.concat("name", F.lit("e"))})
+    return profiles.probe_verdicts(probes, rows).withColumn("candidates", F.array_join("candidates", ","))
+
+
 # --- correlation -------------------------------------------------------------------------------------------------
 
 
