@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sleuthframe.operators import rollups, sequences, statistics
+from sleuthframe.operators import patterns, rollups, sequences, statistics
 from sleuthframe.plans import world as w
 from sleuthframe.plans.queries_rollups import DENSE, HAVERSINE, dense_days
 from sleuthframe.sources.tables import table
@@ -133,6 +133,70 @@ def hot_spots(spark, d):
     return rounded(statistics.hot_spots(located_customers(spark, d), "balance", 120.0), "z", "p_value", digits=4)
 
 
+def lane_days(spark, d):
+    """``lane, day, total, elevated``: events a day, and those of a high value."""
+    rows = w.activity(spark, d).select("lane", F.to_date("ts").alias("day"), "value")
+    return rows.groupBy("lane", "day").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("value") > 90, 1)).alias("elevated"))
+
+
+SERIES = """seen AS (SELECT lane, CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER (value > 90) AS elevated FROM activity GROUP BY 1, 2), g AS (SELECT max(day) AS last FROM seen),
+grid AS (SELECT lane, last, CAST(last - k AS DATE) AS day, k FROM (SELECT DISTINCT lane FROM seen), g, (SELECT CAST(unnest(range(120)) AS INTEGER) AS k)), full_days AS (SELECT lane, grid.day, coalesce(total, 0) AS total, coalesce(elevated, 0) AS elevated, k < 30 AS in_window FROM grid LEFT JOIN seen USING (lane, day))"""
+
+
+@query(
+    w.sql(
+        "activity",
+        f"""WITH {SERIES}, c AS (SELECT lane, sum(total) FILTER (in_window) AS recent_n, sum(total) FILTER (NOT in_window) AS baseline_n FROM full_days GROUP BY 1), a AS (SELECT lane, total, row_number() OVER (PARTITION BY lane ORDER BY day) AS i FROM full_days),
+t AS (SELECT a.lane, sum(sign(b.total - a.total)) AS s, median((b.total - a.total) / (b.i - a.i)) AS slope, count(DISTINCT b.total) > 1 AS varied FROM a JOIN a b ON a.lane = b.lane AND a.i < b.i GROUP BY 1), wd AS (SELECT lane, isodow(day) - 1 AS k, sum(total) AS o FROM full_days GROUP BY 1, 2),
+wk AS (SELECT lane, arg_max(k, (o, -k)) AS busiest, arg_min(k, (o, k)) AS quietest, sum(o) >= 35 AS enough FROM wd GROUP BY 1)
+SELECT c.lane, CAST(recent_n AS BIGINT) AS recent_n, CAST(baseline_n AS BIGINT) AS baseline_n, CASE WHEN varied THEN CAST(s AS BIGINT) END AS trend_s, CASE WHEN varied THEN round(slope, 6) END AS slope, CASE WHEN enough THEN busiest END AS busiest, CASE WHEN enough THEN quietest END AS quietest FROM c JOIN t USING (lane) JOIN wk USING (lane)""",
+    )
+)
+def temporal_lanes(spark, d):
+    """Of each lane's last 30 days and the 90 before: counts, trend, and the days of the week with most and least."""
+    lanes, _ = patterns.temporal_analysis(lane_days(spark, d))
+    return lanes.select("lane", "recent_n", "baseline_n", "trend_s", F.round("slope", 6).alias("slope"), "busiest", "quietest")
+
+
+@query(w.sql("activity", f"WITH {SERIES} SELECT lane, day, total, elevated, in_window, round((sum(total) OVER (PARTITION BY lane) - total) / 119, 6) AS expected FROM full_days"))
+def temporal_days(spark, d):
+    """Each of those days, and what the lane's others would let expect."""
+    _, days = patterns.temporal_analysis(lane_days(spark, d))
+    return days.select("lane", "day", "total", "elevated", "in_window", F.round("expected", 6).alias("expected"))
+
+
+@query()
+def temporal_analysis(spark, d):
+    """The same with all tests: how sure a change, trend, split or week is, and how many days are unusual."""
+    lanes, _ = patterns.temporal_analysis(lane_days(spark, d))
+    return rounded(lanes, "ratio", "ratio_low", "ratio_high", "change_p", "trend_z", "trend_p", "slope", "split_statistic", "split_p", "weekly_p")
+
+
+def mapped_customers(spark, d):
+    return located_customers(spark, d).join(w.nations(spark, d).select("country", "region"), "country")
+
+
+@query(
+    w.sql(
+        "nations",
+        f"""WITH {LOCATED}, r AS (SELECT country, radians(lat) AS a, radians(lng) AS b, band FROM located), m AS (SELECT country, count(*) AS entity_count, count(*) FILTER (band = 'elevated') AS elevated_count, count(band) AS assessed_count, avg(cos(a) * cos(b)) AS x, avg(cos(a) * sin(b)) AS y, avg(sin(a)) AS z FROM r GROUP BY 1),
+p AS (SELECT m.*, region, degrees(atan2(z, sqrt(x * x + y * y))) AS lat, degrees(atan2(y, x)) AS lng FROM m JOIN nations USING (country)), s AS (SELECT count(*) AS n, avg(elevated_count) AS mean, stddev_pop(elevated_count) AS sd FROM p),
+k AS (SELECT a.country, count(*) AS w, sum(b.elevated_count) AS wx FROM p a, p b WHERE {HAVERSINE.format("a.lat", "b.lat", "a.lng", "b.lng")} <= 1200 GROUP BY 1)
+SELECT country, region, entity_count, elevated_count, assessed_count, round(lat, 4) AS lat, round(lng, 4) AS lng, w AS n_near, round((wx - mean * w) / (sd * sqrt(greatest(1e-12, (n * w - w * w) / (n - 1)))), 4) AS z FROM p JOIN k USING (country), s""",
+    )
+)
+def spatial_hotspots(spark, d):
+    """Countries by how many of their customers are elevated, against those around them: within 1,200 km instead of 250, as these countries are far apart."""
+    _, hot, _ = patterns.spatial_analysis(mapped_customers(spark, d), 25.0, 4, 1200.0)
+    return rounded(hot, "lat", "lng", "z", digits=4).select("country", "region", "entity_count", "elevated_count", "assessed_count", "lat", "lng", "n_near", "z")
+
+
+@query()
+def spatial_totals(spark, d):
+    """How many customers are located, in how many concentrations, and how many in none."""
+    return patterns.spatial_analysis(mapped_customers(spark, d), 25.0, 4)[2]
+
+
 def account_features(spark, d):
     """Transfers of each account from either side: how many, how much, and the most within a day."""
     ways = rollups.both_ways(w.transfers(spark, d))
