@@ -114,11 +114,6 @@ def evaluation_by_band(spark, d):
     return rounded(assessment.precision_recall(rollups.latest_per(w.assessments(spark, d), "subject"), truth, "band"), "precision", "recall")
 
 
-@query()
-def model_fingerprints(spark, d):
-    return spark.createDataFrame([(k, assessment.fingerprint(v)) for k, v in assessment.SIGNALS.items()], "kind string, fingerprint string")
-
-
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY computed_at DESC, id DESC) AS n FROM assessments) WHERE n = 1)"
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sleuthframe.functions import distributions as dist
-from sleuthframe.operators import components, correlation, ingest, resolution, sequences
+from sleuthframe.operators import assessment, components, correlation, ingest, resolution, sequences
 from sleuthframe.streaming import feeds
 
 
@@ -173,3 +173,8 @@ def test_places_over_all_rows_without_one_window(spark):
     tests = spark.createDataFrame([(i, p) for i, p in enumerate((0.001, 0.04, 0.03, 0.9, None, 0.02))], "ref long, p double")
     kept = {r["ref"] for r in sequences.false_discovery(tests, "p", ["ref"]).where("kept").collect()}
     assert kept == {0, 1, 2, 5}
+
+
+def test_a_fingerprint_tells_any_changed_parameter():
+    model = assessment.SIGNALS
+    assert assessment.fingerprint(model) == assessment.fingerprint(dict(reversed(model.items()))) != assessment.fingerprint({"a": 1})
