@@ -81,7 +81,7 @@ def prioritised(alerts: DataFrame, now: Column) -> DataFrame:
 
 
 def suppressed(alerts: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
-    """``alerts`` with ``suppressed_by``: the most specific active suppression that fits (rule and subject, subject, rule), then the least id.
+    """``alerts`` with ``suppressed_by``: the narrowest active suppression that fits (one by rule and subject before those by either), then the least id.
 
     ``rules`` has ``id, rule, subject, expires_at, revoked``; active are those that aren't revoked or over.
     """
@@ -90,7 +90,7 @@ def suppressed(alerts: DataFrame, rules: DataFrame, now: Column) -> DataFrame:
     at = alerts.select("key", "rule", F.explode("scope").alias("subject"))
     by_subject = at.join(active.where("ssubject is not null"), (F.col("subject") == F.col("ssubject")) & (F.col("srule").isNull() | (F.col("srule") == F.col("rule"))))
     by_rule = at.join(active.where("ssubject is null"), F.col("rule") == F.col("srule"))
-    weight = F.col("srule").isNotNull().cast("int") + 2 * F.col("ssubject").isNotNull().cast("int")
+    weight = F.col("srule").isNotNull().cast("int") + F.col("ssubject").isNotNull().cast("int")
     best = by_subject.select("key", weight.alias("w"), "sid").unionByName(by_rule.select("key", weight.alias("w"), "sid")).groupBy("key").agg(F.min_by("sid", F.struct(-F.col("w"), F.col("sid"))).alias("suppressed_by"))
     return alerts.join(best, "key", "left")
 

@@ -127,6 +127,31 @@ def resolved(records: DataFrame, known: DataFrame) -> DataFrame:
     return joined.withColumn("reason", F.when(lost, F.concat(F.lit("unknown subject "), F.coalesce("subject", F.lit("")))).otherwise(F.col("reason"))).withColumn("stage", F.when(lost, "resolve").otherwise(F.col("stage"))).drop("_known")
 
 
+def replayed(letters: DataFrame, raw: DataFrame, mapping: Mapping, observed: DataFrame) -> DataFrame:
+    """Dead letters after another run of their stored records through a corrected mapping.
+
+    ``letters`` has ``letter, connector, raw_id, status, replay_count``, ``raw``
+    ``raw_id, payload``, ``observed`` the ``connector, hash`` of the observations
+    there are. Gives ``letter, connector, status, replay_count, subject,
+    occurred_at, hash, created, error``. What maps now is ``resolved``, and
+    ``created`` says whether it makes an observation: of letters with one content
+    the least makes it, unless it is there already. What fails again keeps its
+    status and says why. A letter without a stored record (it failed when it was
+    fetched) can't be replayed, and a resolved one isn't: neither counts as a try.
+    """
+    stored = letters.join(raw.select("raw_id", "payload").dropDuplicates(["raw_id"]), "raw_id", "left")
+    tried = (F.col("status") != "resolved") & F.col("payload").isNotNull()
+    again = mapped(stored, mapping).withColumn("_tried", tried).withColumn("_ok", tried & (F.col("stage") == "ok")).withColumn("hash", F.when(F.col("_ok"), content_hash(F.col("payload"))))
+    makers = again.where("_ok").groupBy("connector", "hash").agg(F.min("letter").alias("letter")).join(observed.select("connector", "hash"), ["connector", "hash"], "left_anti")
+    joined = again.join(makers.select("letter", F.lit(True).alias("_makes")), "letter", "left")
+    error = F.when(F.col("status") == "resolved", None).when(F.col("payload").isNull(), "no stored record").when(~F.col("_ok"), F.col("reason"))
+    when = lambda c: F.when(F.col("_ok"), F.col(c))
+    return joined.select(
+        "letter", "connector", F.when(F.col("_ok"), "resolved").otherwise(F.col("status")).alias("status"), (F.col("replay_count") + F.col("_tried").cast("int")).alias("replay_count"), when("subject").alias("subject"), when("occurred_at").alias("occurred_at"),
+        "hash", F.coalesce("_makes", F.lit(False)).alias("created"), error.alias("error"),
+    )
+
+
 def drift(raw: DataFrame, known: DataFrame) -> DataFrame:
     """Paths that a connector's records have and its known fields (``connector, path``) don't: ``connector, path, n``."""
     paths = raw.select("connector", F.explode(field_paths("payload")).alias("path"))
