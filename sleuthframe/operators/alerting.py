@@ -47,10 +47,6 @@ def escalated(ledger: DataFrame) -> DataFrame:
     return firing(risen, "assessment.escalated", F.array("subject"), F.least(F.lit(1.0), (rank("band") - rank("previous")) / 3), F.col("coverage"))
 
 
-def established_pairs(links: DataFrame) -> DataFrame:
-    return firing(links.where("tier = 'established'"), "correlation.established_pair", F.array("a", "b"), F.col("strength"), F.col("coverage"))
-
-
 def convergences(members: DataFrame, current: DataFrame) -> DataFrame:
     """Clusters (``cluster, subject``) of which at least two members are elevated or notable."""
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sleuthframe.operators import alert_runs as runs
+from sleuthframe.operators import alerting
 from sleuthframe.operators import dossiers as ds
 from sleuthframe.operators import ingest
 from sleuthframe.plans import queries_ingest as qi
@@ -125,6 +126,19 @@ def alert_run_report(spark, d):
     return runs.run_report(alerts, after)
 
 
+@query(
+    """SELECT c_custkey AS id, c_custkey % 7 AS days FROM customer WHERE (c_custkey % 3 <> 0 OR c_custkey % 4 <> 0) AND c_custkey % 7 > 0 AND c_custkey % 7 * 16 <= 90 AND length(trim(CASE WHEN c_custkey % 5 = 0 THEN 'see above   ' ELSE c_mktsegment || ' is known' END)) >= 10"""
+)
+def suppressions_accepted(spark, d):
+    """Suppressions that analysts ask for, of which those without a rule and a subject, an end within 90 days or a reason are turned away."""
+    key = F.col("c_custkey")
+    asked = table(spark, d, "customer").select(
+        key.alias("id"), F.when(key % 3 != 0, "assessment.elevated").alias("rule"), F.when(key % 4 != 0, key.cast("string")).alias("subject"), at("2001-08-02").alias("created_at"),
+        (at("2001-08-02") + F.make_dt_interval(days=(key % 7 * 16).cast("int"))).alias("expires_at"), F.when(key % 5 == 0, "see above   ").otherwise(F.concat("c_mktsegment", F.lit(" is known"))).alias("note"), (key % 7).alias("days"),
+    )
+    return alerting.accepted_suppressions(asked).select("id", "days")
+
+
 # --- dead letters once more --------------------------------------------------------------------------------------
 
 #: The mapping after it was put right: the subject is the record's own number.
@@ -145,6 +159,14 @@ def letter_replays(spark, d):
     return ingest.replayed(letters, landed.select(F.col("event_id").alias("raw_id"), "payload"), CORRECTED, known).drop("hash")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 11 > 1 THEN date_trunc('second', ts) - CASE WHEN event_id % 11 = 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END END AS occurred_at FROM events")
+def lenient_times(spark, d):
+    """Times as feeds write them, with Z, an offset or no zone; what is none is null and no error."""
+    ts, kind = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.col("event_id") % 11
+    text = F.when(kind == 0, "soon").when(kind == 1, F.lit(None)).when(kind == 2, F.concat(ts, F.lit("+02:00"))).when(kind == 3, ts).otherwise(F.concat(ts, F.lit("Z")))
+    return w.activity(spark, d).select("event_id", ingest.lenient_time(text).alias("occurred_at"))
+
+
 # --- investigations ----------------------------------------------------------------------------------------------
 
 
@@ -216,10 +238,8 @@ SELECT subject AS investigation, s AS state, CASE WHEN s = 'closed' THEN o END A
 )
 def investigation_closures(spark, d):
     """How investigations stand: outcomes and times of closing of those that are closed and weren't opened again."""
-    from sleuthframe.operators.alerting import CASE_MOVES, OUTCOMES
-
     pick = lambda names, n: F.get(F.array(*[F.lit(x) for x in names]), (F.col("id") % n).cast("int"))
-    moves = w.assessments(spark, d).select(F.col("subject").alias("investigation"), F.col("computed_at").alias("at"), "id", pick(CASE_MOVES, 3).alias("to_state"), pick(OUTCOMES, 4).alias("outcome"))
+    moves = w.assessments(spark, d).select(F.col("subject").alias("investigation"), F.col("computed_at").alias("at"), "id", pick(alerting.CASE_MOVES, 3).alias("to_state"), pick(alerting.OUTCOMES, 4).alias("outcome"))
     return ds.closures(moves)
 
 
