@@ -13,8 +13,22 @@ EXPECTED_FLOOR = 0.5
 
 
 def bursts(rows: DataFrame, hours: int) -> DataFrame:
-    """``rows`` (``ref, ts``) with ``in_span``: events of the ref within the closed span of ``hours`` that ends here."""
-    return rows.withColumn("in_span", F.expr(f"count(1) over (partition by ref order by ts range between interval {hours} hours preceding and current row)"))
+    """``rows`` (``ref, ts``) with ``in_span``: events of the ref within the closed span of ``hours`` that ends here.
+
+    What has begun less what is over, each a running sum: a window that slides
+    would add up all of its span again for every row.
+    """
+    return _spans(rows, hours).where("not over").drop("over", "at")
+
+
+def _spans(rows: DataFrame, hours: int) -> DataFrame:
+    """``rows`` twice, as they begin and when they are ``over``, ``hours`` later, by ``at``; with ``in_span`` (of those that begin here)."""
+    span = F.expr(f"interval {hours} hours")
+    marks = F.array(F.struct(F.lit(False).alias("over"), F.col("ts").alias("at")), F.struct(F.lit(True).alias("over"), (F.col("ts") + span).alias("at")))
+    twice = rows.repartition("ref").select("*", F.inline(marks))
+    # all that begin at one time count there, and what is over at that time still does
+    so_far = Window.partitionBy("ref").orderBy(F.col("at").asc_nulls_first(), "over").rangeBetween(Window.unboundedPreceding, 0)
+    return twice.withColumn("in_span", F.sum(F.when(F.col("over"), -1).otherwise(1)).over(so_far))
 
 
 def burst_profile(rows: DataFrame, hours: int) -> DataFrame:
@@ -24,8 +38,9 @@ def burst_profile(rows: DataFrame, hours: int) -> DataFrame:
     event of the first such span. ``ratio`` is the peak over what an even rate
     would put into a span, that being EXPECTED_FLOOR at least.
     """
-    first = F.expr(f"min(ts) over (partition by ref order by ts range between interval {hours} hours preceding and current row)")
-    spans = bursts(rows.select("ref", "ts"), hours).withColumn("begins", first)
+    # the first event of a span is the next one that will be over
+    later = Window.partitionBy("ref").orderBy(F.col("at").desc_nulls_last(), F.desc("over")).rowsBetween(Window.unboundedPreceding, 0)
+    spans = _spans(rows.select("ref", "ts"), hours).withColumn("begins", F.when(F.col("ts").isNotNull(), F.last(F.when(F.col("over"), F.col("ts")), ignorenulls=True).over(later))).where("not over")
     best = spans.groupBy("ref").agg(
         F.count(F.lit(1)).alias("n"), F.max("in_span").alias("peak"), F.min_by("begins", F.struct(-F.col("in_span"), F.col("begins"))).alias("peak_start"),
         (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))).alias("micros"),
