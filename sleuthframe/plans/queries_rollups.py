@@ -306,7 +306,7 @@ def successor_transfers(spark, d):
 @query(w.sql("accounts", f"SELECT a.ref AS a, b.ref AS b, round({HAVERSINE.format('a.lat', 'b.lat', 'a.lng', 'b.lng')}, 4) AS km FROM accounts a, accounts b WHERE a.ref < b.ref AND {HAVERSINE.format('a.lat', 'b.lat', 'a.lng', 'b.lng')} <= 1500"))
 def near_pairs(spark, d):
     nodes = w.accounts(spark, d)
-    return geo.within_km(nodes, nodes, 1500.0).where("a < b").select("a", "b", F.round("km", 4).alias("km"))
+    return geo.within_km(nodes, nodes, 1500.0, ordered=True).select("a", "b", F.round("km", 4).alias("km"))
 
 
 @query(w.sql("activity", "SELECT n + (SELECT coalesce(max(event_id), 0) FROM activity) AS number, 'ALT' || lpad(CAST(n + (SELECT max(event_id) FROM activity) AS VARCHAR), 7, '0') AS code, ref FROM (SELECT row_number() OVER (ORDER BY ref) AS n, ref FROM (SELECT DISTINCT ref FROM activity))"))
