@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +88,22 @@ def signals_long(kind: str, **found: DataFrame) -> DataFrame:
     return out
 
 
+def signals_of_rows(kind: str, rows: DataFrame) -> DataFrame:
+    """As ``signals_long``, from a row a subject with a magnitude in a column for each signal of the type."""
+    told = lambda name, weight, family: F.struct(F.lit(name).alias("signal"), F.lit(family).alias("family"), F.lit(float(weight)).alias("weight"), F.col(name).cast("double").alias("magnitude"))
+    return rows.select(F.lit(kind).alias("kind"), "subject", F.inline(F.array(*[told(name, *rest) for name, rest in SIGNALS[kind].items()])))
+
+
+def row_scores(kind: str, rows: DataFrame) -> DataFrame:
+    """``subject, coverage, raw, score, band`` as ``scores``, where a subject is one row with all of its magnitudes: nothing is gathered."""
+    signals = [(F.col(name).cast("double"), float(weight)) for name, (weight, _) in SIGNALS[kind].items()]
+    earned = reduce(Column.__add__, [F.coalesce(weight * m, F.lit(0.0)) for m, weight in signals])
+    able = reduce(Column.__add__, [F.when(m.isNotNull(), weight).otherwise(0.0) for m, weight in signals])
+    found = rows.select("subject", (able / sum(weight for _, weight in signals)).alias("coverage"), F.least(F.lit(100.0), earned / FULL_WEIGHT * 100).alias("raw"))
+    found = found.withColumn("band", band(F.col("raw"), F.col("coverage")))
+    return found.select("subject", "coverage", "raw", F.when(F.col("band") != "insufficient", F.col("raw")).alias("score"), "band")
+
+
 def scores(signals: DataFrame) -> DataFrame:
     """By subject: ``coverage, raw, score, band, n_fired, families, reliability, credibility``.
 

@@ -27,13 +27,17 @@ def rounded(df, *names, digits: int = 4):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def shipment_signals(spark, d):
+def shipment_magnitudes(spark, d):
+    """A row a shipment with the magnitude of each of its signals."""
     rows = w.shipments(spark, d)
     share = rollups.corridor_shares(rows).select("origin", "destination", "share")
     manifest = assessment.manifest_discrepancy(F.when(F.col("flagged").isNotNull(), F.array("flagged")), F.array(F.lit(False)))
-    found = rows.join(F.broadcast(share), ["origin", "destination"]).select(F.col("shipment_id").alias("subject"), manifest.alias("m"), assessment.route_detour(F.col("detour")).alias("r"), assessment.rare_corridor(F.col("share")).alias("c"))
-    pick = lambda c: found.select("subject", F.col(c).alias("magnitude"))
-    return assessment.signals_long("Shipment", manifest_discrepancy=pick("m"), route_detour=pick("r"), rare_corridor=pick("c"))
+    found = rows.join(F.broadcast(share), ["origin", "destination"])
+    return found.select(F.col("shipment_id").alias("subject"), manifest.alias("manifest_discrepancy"), assessment.route_detour(F.col("detour")).alias("route_detour"), assessment.rare_corridor(F.col("share")).alias("rare_corridor"))
+
+
+def shipment_signals(spark, d):
+    return assessment.signals_of_rows("Shipment", shipment_magnitudes(spark, d))
 
 
 @query(
@@ -48,7 +52,7 @@ SELECT subject, round(coverage, 4) AS coverage, round(raw, 4) AS score, CASE WHE
     )
 )
 def shipment_scores(spark, d):
-    return rounded(assessment.scores(shipment_signals(spark, d)).select("subject", "coverage", "score", "band"), "coverage", "score")
+    return rounded(assessment.row_scores("Shipment", shipment_magnitudes(spark, d)).select("subject", "coverage", "score", "band"), "coverage", "score")
 
 
 def owner_signals(spark, d):
