@@ -98,6 +98,21 @@ def test_louvain_of_cliques_and_of_nothing(spark):
     assert communities.louvain(spark.createDataFrame([], "a long, b long, weight double")).count() == 0
 
 
+def test_louvain_folds_leaves_without_rounds(spark, monkeypatch):
+    stars = [(h, 100 * h + i, 1.0 + i) for h in range(1, 6) for i in range(1, 8)] + [(-h, 5000 + h, 2.0) for h in range(4)] + [(9000 + i, 9999, 1.0) for i in range(5)]
+    asked = []
+    rounds = communities.local_moves
+    monkeypatch.setattr(communities, "local_moves", lambda *a: asked.append(a) or rounds(*a))
+    found = {r["ref"]: r["community"] for r in communities.louvain(spark.createDataFrame(stars, "a long, b long, weight double")).collect()}
+    want = {x: 9000 if x >= 9000 else min(a, b) for a, b, _ in stars for x in (a, b)}
+    assert found == want and not asked
+    links = [*ring_of_cliques(5, 4), *((i, 50 + i, 1.0) for i in range(20)), (3, -1, 0.5), (-7, -8, 3.0)]
+    part = {r["ref"]: r["community"] for r in communities.louvain(spark.createDataFrame(links, "a long, b long, weight double")).collect()}
+    assert asked and all(part[i] == part[50 + i] for i in range(20)) and part[3] == part[-1] == -1 and part[-7] == part[-8] == -8
+    assert all(part[c] == c == min(x for x in part if part[x] == c) for c in set(part.values()))
+    assert plain_modularity(links, part) >= 0.98 * plain_modularity(links, sequential_louvain(links))
+
+
 def test_community_summary_counts_with_denominators(spark):
     members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)], "ref long, community long")
     nodes = spark.createDataFrame([(1, "elevated", 5.0), (2, "insufficient", 9.0), (3, None, None), (4, "routine", 9.0), (6, None, None)], "ref long, band string, score double")
