@@ -165,6 +165,24 @@ def test_closed_trails_of_every_length(spark, seed):
         assert [t for _, t in got] == [t for _, t in ranked]
 
 
+def test_best_trails_in_few_rounds_and_few_rows(spark, monkeypatch):
+    rows = money(3, 60)
+    table = spark.createDataFrame(rows, "edge_id long, src long, dst long, amount double")
+    want = plain_trails(rows, 3, 6, 0.85)
+    losses, halves = [], graph.half_trails
+    monkeypatch.setattr(graph, "half_trails", lambda *a: losses.append(a[3]) or halves(*a))
+    best = graph.best_trails(table, 4).collect()
+    for length in range(3, 7):
+        ranked = sorted(((-x[3], x[0]) for x in want if x[1] == length))[:4]
+        assert [t for _, t in sorted((r["rank"], tuple(r["trail"])) for r in best if r["length"] == length)] == [t for _, t in ranked]
+    assert len(losses) <= 5
+    for keys, passes in ((16, 1 << 20), (1, 0)):
+        monkeypatch.setattr(graph, "KEYS", keys)
+        monkeypatch.setattr(graph, "PASSES", passes)
+        found = graph.closed_trails(table, 3, 4).collect()
+        assert sorted((tuple(r["trail"]), r["length"], round(r["total"], 6), round(r["retention"], 9)) for r in found) == plain_trails(rows, 3, 4, 0.85)
+
+
 # Reach
 
 
