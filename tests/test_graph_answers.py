@@ -6,8 +6,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from sleuthframe.operators import communities, graph, search
+from sleuthframe.operators import communities, components, graph, search
 
 DAY = datetime.datetime(2024, 1, 1)
 
@@ -289,3 +290,24 @@ def test_search_forgives_two_slips_and_ranks(spark):
         assert [(r, m, pytest.approx(s, abs=2e-6)) for r, m, s in sorted(want, key=lambda x: (-x[2], x[0]))] == got[q]
     top = search.search_names(spark.createDataFrame(names, "ref long, name string"), spark.createDataFrame(texts, "query long, text string"), 2)
     assert all(top.where(f"query = {q}").count() == min(2, len(got[q])) for q in (0, 1, 16))
+
+
+# Components
+
+
+def test_the_rows_of_a_hub_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", 50)
+    rng = random.Random(5)
+    rows = [(0, i) for i in range(1, 2001)] + [(i, rng.randrange(5000, 9000)) for i in range(3000, 3400)]
+    both = spark.createDataFrame(rows, "a long, b long").repartition(4)
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    told = components._with_least(both, least, len(rows)).withColumn("task", F.spark_partition_id()).collect()
+    m = {a: min(y for x, y in rows if x == a) for a, _ in rows}
+    assert sorted((r["a"], r["b"], r["m"]) for r in told) == sorted((a, b, m[a]) for a, b in rows)
+    assert len({r["task"] for r in told if r["a"] == 0}) == 4
+    of = {}
+    for a, b in rows:
+        joined = {x for x, c in of.items() if c in (of.get(a, a), of.get(b, b))} | {a, b}
+        of |= dict.fromkeys(joined, min(of.get(a, a), of.get(b, b)))
+    found = components.connected_components(both)
+    assert {r["node"]: r["component"] for r in found.collect()} == of
