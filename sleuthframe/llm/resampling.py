@@ -20,8 +20,8 @@ from sleuthframe.plans.lineage import materialise, scratch_folder
 
 #: Columns of the matrix, words of the longest feature, words a drawn document has at least, and percent of those that are drawn.
 BUCKETS, LONGEST, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-#: Features after which a block is closed, rows of a block at most, and bytes of a text that are taken apart at once.
-BLOCK_FEATURES, BLOCK_ROWS, SLICE = 1 << 19, 4096, 4 << 20
+#: Features after which a block is closed, rows of a block and blocks of a file at most, and bytes of a text that are taken apart at once.
+BLOCK_FEATURES, BLOCK_ROWS, FILE_BLOCKS, SLICE = 1 << 17, 4096, 16, 4 << 20
 
 # A-Z to a-z, and what a word is made of, in the bytes of UTF-8.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -68,7 +68,9 @@ def count_matrix(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS
 
     A row is a block: ``ids, words`` (a value a document), ``indptr`` (one more),
     and ``indices, data`` (a value for each bucket that a document has). A block
-    ends with BLOCK_FEATURES counts or BLOCK_ROWS documents.
+    ends with BLOCK_FEATURES counts or BLOCK_ROWS documents. A reader unpacks up to
+    4,096 rows of a file at once, however long their lists are, so a file has
+    FILE_BLOCKS at most.
     """
     id_type = docs.schema["doc_id"].dataType
     schema = StructType([
@@ -104,7 +106,7 @@ def count_matrix(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS
 
     spark = docs.sparkSession
     folder = f"{scratch_folder(spark, 'matrix-')}/matrix-{uuid.uuid4().hex}"
-    docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(blocks, schema).write.parquet(folder)
+    docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("raw")).mapInArrow(blocks, schema).write.option("maxRecordsPerFile", FILE_BLOCKS).parquet(folder)
     return spark.read.schema(schema).parquet(folder)
 
 

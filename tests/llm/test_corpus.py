@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,15 @@ def test_resampling_persists_csr_blocks(spark):
     assert resampling.column_sums(matrix, 10).sum() == 4
 
 
+def test_resampling_files_have_few_blocks(spark, monkeypatch):
+    """What a task unpacks at once is bounded, whatever the size of what it reads."""
+    monkeypatch.setattr(resampling, "BLOCK_ROWS", 1)
+    matrix = resampling.count_matrix(frame(spark, [(i, f"a b w{i}") for i in range(50)], "doc_id long, text string").coalesce(1))
+    sizes = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata.num_rows for f in matrix.inputFiles()]
+    assert sum(sizes) == 50 and max(sizes) <= resampling.FILE_BLOCKS
+    assert resampling.column_sums(matrix).sum() == 150
+
+
 def test_resampling_of_nothing_and_of_repeated_rows(spark):
     none = frame(spark, [], "doc_id long, text string")
     assert resampling.resample(none, none).count() == 0
