@@ -244,3 +244,18 @@ def test_fragments_own_each_run_once():
                     got[(*left[:i][::-1], int(pivot[row]), *right[:j])] += int(n[row])
     want = Counter(tuple(ids[i : i + k]) for k in (2, 3, 4) for i in range(len(ids) - k + 1) if collocations.GAP not in ids[i : i + k])
     assert got == want
+
+
+def test_phrases_of_fragments_cross_the_shuffle_in_parts(spark):
+    """A window's fragments are a row a part, not one a fragment, and each pivot's are in one part."""
+    docs = frame(spark, [(f"{w} {v} {w} {v}", "en") for w in ("a", "b", "c") for v in ("d", "e", "f")], "text string, lang string").coalesce(1)
+    texts = docs.select("lang", F.col("text").cast("binary").alias("raw"), F.lit(None).cast("map<binary,long>").alias("rare"))
+    rows = collocations.fragments(texts, {"en": {w.encode(): i + 1 for i, w in enumerate("abcdef")}}, np.zeros(1, np.int64), 4, 3).collect()
+    parts = [np.frombuffer(r["rows"], np.int64).reshape(5, -1) for r in rows]
+    assert len({r["part"] for r in rows}) == len(rows) <= 3
+    assert sum(len(set(p[0])) for p in parts) == len({x for p in parts for x in p[0].tolist()})
+    found = Counter()
+    for p in parts:
+        (g0, g1), _, n = collocations.phrases_over_pivot(p, 4)
+        found.update(dict(zip(zip(g0.tolist(), g1.tolist(), strict=True), n.tolist(), strict=True)))
+    assert found[1 << 32 | 4, 0] == 2 and found[4 << 32 | 1, 0] == 1 and found[1 << 32 | 4, 1 << 32 | 4] == 1 and sum(found.values()) == 9 * 6
