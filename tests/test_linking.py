@@ -111,3 +111,11 @@ def test_lift_is_over_what_chance_would_share(spark):
     mean = sum(plain_rarity(len(m), 30) for m in by_key.values()) / len(by_key)
     lift = 2 * plain_rarity(2, 30) / (2 * 2 / len(by_key) * mean)
     assert got[1, 2] == pytest.approx(min(1.0, max(0.0, (lift - 3) / 5))) and got[1, 2] > 0
+
+
+def test_without_a_fan_out_keys_of_any_size_propose_pairs(spark):
+    owned = spark.createDataFrame([("affiliation", i, "large") for i in range(300)] + [("shared_corridor", i, "small") for i in range(3)], "source string, subject long, key string")
+    sizes = linking.key_sizes(owned, 1000)
+    found = {(r["a"], r["b"]): r["sources"] for r in linking.proposed_pairs(owned, sizes, {}, None).collect()}
+    assert found == {(a, b): 8 + 16 * (b < 3) for a in range(300) for b in range(a + 1, 300)}
+    assert linking.proposed_pairs(owned, sizes, {}).count() == 3
