@@ -119,3 +119,15 @@ def test_without_a_fan_out_keys_of_any_size_propose_pairs(spark):
     found = {(r["a"], r["b"]): r["sources"] for r in linking.proposed_pairs(owned, sizes, {}, None).collect()}
     assert found == {(a, b): 8 + 16 * (b < 3) for a in range(300) for b in range(a + 1, 300)}
     assert linking.proposed_pairs(owned, sizes, {}).count() == 3
+
+
+def test_a_round_of_louvain_sums_links_before_they_are_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from sleuthframe.operators import communities
+
+    links = spark.createDataFrame([(a, b, 1.0) for a in range(4) for b in range(4) if a != b], "ref long, other long, w double")
+    at = spark.createDataFrame([(a, 3.0, 0) for a in range(4)], "ref long, k double, c long")
+    moves = communities._best_moves(links, at, F.lit(True), 12.0)
+    assert "REPARTITION" not in moves._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in moves.collect()} == {(a, 0) for a in range(4)}
