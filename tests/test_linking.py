@@ -131,3 +131,13 @@ def test_a_round_of_louvain_sums_links_before_they_are_shuffled(spark):
     moves = communities._best_moves(links, at, F.lit(True), 12.0)
     assert "REPARTITION" not in moves._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in moves.collect()} == {(a, 0) for a in range(4)}
+
+
+def test_scoring_moves_no_pair(spark):
+    names = [f"raw_{name}" for name in linking.DIMENSIONS]
+    pairs = spark.createDataFrame([(1, 2, 255, False, *[0.5] * 8), (3, 4, 255, True, *[0.1] * 8)], "a long, b long, able int, cut boolean, " + ", ".join(f"{n} double" for n in names))
+    scored = linking.score_links(pairs)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    (row,) = scored.collect()
+    assert row["families"] == ["financial", "logistical", "social"] and row["supporting"] == ["spatial", "temporal"] and row["evaluable"] == 8
+    assert row["strength"] == pytest.approx(1 - 0.5 * 0.5 * (1 - 0.425) * (1 - 0.125) * 0.9, abs=6e-5)
