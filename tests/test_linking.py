@@ -141,3 +141,20 @@ def test_scoring_moves_no_pair(spark):
     (row,) = scored.collect()
     assert row["families"] == ["financial", "logistical", "social"] and row["supporting"] == ["spatial", "temporal"] and row["evaluable"] == 8
     assert row["strength"] == pytest.approx(1 - 0.5 * 0.5 * (1 - 0.425) * (1 - 0.125) * 0.9, abs=6e-5)
+
+
+def test_with_every_key_large_ones_propose_all_that_can_be_links(spark, world):
+    owned = spark.createDataFrame(sorted(world), OWNED)
+    direct = spark.createDataFrame([(1, 2, 3), (38, 39, 1)], "a long, b long, n long")
+    paths = spark.createDataFrame([(5, 6, 0.4)], "a long, b long, raw double")
+    places = spark.createDataFrame([(s, 10.0 + s % 3 / 20, 20.0) for s in range(0, 40, 3) for _ in range(2)], "subject long, lat double, lng double")
+    times = spark.createDataFrame([(s, DAY + datetime.timedelta(days=40 * i, hours=s % 30)) for s in range(0, 40, 4) for i in range(3)], "subject long, ts timestamp_ntz")
+    able = linking.able_subjects({name: spark.range(40).toDF("subject") for name in linking.DIMENSIONS})
+    found = lambda **how: {tuple(map(str, r)) for r in linking.link_subjects(owned, 40, direct, paths, places, times, able, **how).collect()}
+    whole = found(fan_out=1_000)
+    assert found(fan_out=6, every=True) == whole
+    assert found(fan_out=6) < whole
+    sizes = linking.key_sizes(owned, 40)
+    backed = spark.createDataFrame([(s, s % 3 == 0, s % 4 == 0) for s in range(40)], "subject long, located boolean, active boolean")
+    large = owned.join(sizes.where("n > 6 and weight > 0"), ["source", "key"])
+    assert 0 < linking.unlisted(owned, sizes, backed, 6).count() < large.count()
